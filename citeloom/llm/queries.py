@@ -7,12 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, format_copies, packing
+from citeloom.llm import bpe, format_copies, packing, venues
 from citeloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _venue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "venues", "venue_id", "venue_name", "acronym")
+    return v.select(F.col("venue_id").alias("key"), F.col("venue_name").alias("name"), F.col("acronym").alias("alias"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "bib_references", "ref_id", "journal", "booktitle").select(
+        F.lit("bib_references").alias("record_table"),
+        F.col("ref_id").cast("string").alias("record_key"),
+        F.explode(F.map_from_arrays(F.array(F.lit("journal"), F.lit("booktitle")), F.array("journal", "booktitle"))).alias(
+            "field_name", "value"
+        ),
+    )
+    inst = (
+        table(spark, sf_dir, "instances", "instance_id", "citation_metadata")
+        .select(F.col("instance_id").alias("record_key"), F.col("citation_metadata.venue").alias("value"))
+        .where("value is not null")
+        .groupBy("record_key")
+        .agg(F.min("value").alias("value"))
+        .select(F.lit("instances").alias("record_table"), "record_key", F.lit("venue").alias("field_name"), "value")
+    )
+    found = venues.resolve(refs.unionByName(inst), "value", "record_key", _venue_entries(spark, sf_dir))
+    return found.select("record_table", "record_key", "field_name", F.col("key").alias("venue_id"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["entrytype", "id", "title", "author", "year", "journal", "booktitle"]
     refs = table(spark, sf_dir, "bib_references", "ref_id", *cols, "extra_fields")
@@ -66,6 +91,7 @@ firsts AS (SELECT k, min(ref_id) AS first_ref_id, count(*) AS n FROM keyed GROUP
 )
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_copies": p3_copies,
     "p7_ids": p7_ids,
