@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, format_copies, packing, venues
-from citeloom.session import table
+from citeloom.llm import bpe, format_copies, names, packing, venues
+from citeloom.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "bib_references", "author").select(F.explode(names.split_authors(F.col("author"))))
+    listed = table(spark, sf_dir, "instances", "citation_metadata").select(F.explode("citation_metadata.authors"))
+    return names.entities(checkpointed(names.spellings(typed, listed)))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(checkpointed(_entities(spark, sf_dir)))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its entity and the number of other spellings linked to it."""
+    e = checkpointed(_entities(spark, sf_dir))
+    return e.join(e.groupBy("entity").agg((F.count("*") - 1).alias("n_links")), "entity").select("name", "entity", "n_links")
+
+
 def _venue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "venues", "venue_id", "venue_name", "acronym")
     return v.select(F.col("venue_id").alias("key"), F.col("venue_name").alias("name"), F.col("acronym").alias("alias"))
@@ -91,6 +107,8 @@ firsts AS (SELECT k, min(ref_id) AS first_ref_id, count(*) AS n FROM keyed GROUP
 )
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_copies": p3_copies,
