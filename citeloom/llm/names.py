@@ -190,42 +190,52 @@ def entities(names: DataFrame) -> DataFrame:
         .select("form", F.coalesce("label", "home").alias("entity"))
         .join(nodes.groupBy("form").agg(F.max("m").alias("m")), "form")
     )
-    # short forms: what each asks for, and the entities that hold it
+    # nicknames: a form with keys of its own that may mean another entity's full name
+    keyed = distinct.join(nodes.select("node", "form").distinct(), "node").join(homes.drop("m"), "form")
+    named = forms.where(F.size("keys") > 0).select("form", "middle", F.explode("asks").alias("ask"))
+    meant = meant_by(named, keyed.select("entity", "m", F.col("key").alias("ask")))
+    moved = (
+        meant.join(homes.select("form", F.col("entity").alias("from")), "form")
+        .groupBy("from")
+        .agg(F.min("meant").alias("to"), F.max("meant").alias("to2"))
+        .where("to = to2 and from <> to")
+        .select("from", "to")
+    )
+    homes = checkpointed(
+        homes.join(moved, F.col("entity") == F.col("from"), "left").select("form", F.coalesce("to", "entity").alias("entity"), "m")
+    )
+    # initials: a form without keys that may mean one entity
+    short = forms.where(F.size("keys") == 0).select("form", "middle", F.explode("asks").alias("ask"))
     holds = homes.join(forms.select("form", "holds"), "form").select("entity", "m", F.explode("holds").alias("ask"))
-    holds = holds.unionAll(distinct.join(nodes.select("node", "form").distinct(), "node").join(homes.drop("m"), "form").select("entity", "m", F.col("key").alias("ask")))
-    held = holds.groupBy("ask", "entity").agg(F.max("m").alias("m"))
+    settled = (
+        forms.select("form")
+        .join(homes.select("form", "entity"), "form", "left")
+        .join(meant_by(short, holds), "form", "left")
+        .select("form", F.coalesce("entity", "meant", "form").alias("entity"))
+    )
+    return parsed.select("name", "form").join(checkpointed(settled), "form").select("name", "entity")
+
+
+def meant_by(asking: DataFrame, holding: DataFrame) -> DataFrame:
+    """(form, meant): the one entity that each short form can mean; ambiguous forms do not come out.
+
+    asking (form, middle, ask), holding (entity, m, ask). Middle initials must not contradict; a single entity with
+    the same middle initials wins over others without any.
+    """
     asked = (
-        forms.where(F.size("asks") > 0)
-        .select("form", "middle", F.explode("asks").alias("ask"))
-        .join(held, "ask")
+        asking.join(holding.groupBy("ask", "entity").agg(F.max("m").alias("m")), "ask")
         .groupBy("form", "middle", "entity")
         .agg(F.max("m").alias("m"))
         .where("middle = '' or m = '' or startswith(m, middle) or startswith(middle, m)")
         .withColumn("exact", (F.col("middle") != "") & (F.col("m") == F.col("middle")))
     )
-    meant = (
-        asked.groupBy("form")
-        .agg(
-            F.count_if("exact").alias("exact"), F.count("*").alias("n"),
-            F.min(F.when(F.col("exact"), F.col("entity"))).alias("by_exact"), F.min("entity").alias("by_any"),
-        )
-        .select("form", F.when(F.col("exact") == 1, F.col("by_exact")).when((F.col("exact") == 0) & (F.col("n") == 1), F.col("by_any")).alias("meant"))
-        .where("meant is not null")
-    )
-    # a nickname's form has keys of its own: the entity of its own keys follows it
-    moved = (
-        meant.join(homes.select("form", F.col("entity").alias("from")), "form")
-        .groupBy("from").agg(F.min("meant").alias("to"), F.max("meant").alias("to2")).where("to = to2 and from <> to").select("from", "to")
-    )
-    settled = (
-        forms.select("form")
-        .join(homes.select("form", "entity"), "form", "left")
-        .join(meant, "form", "left")
-        .select("form", F.when(F.col("entity").isNull(), F.coalesce("meant", "form")).otherwise(F.col("entity")).alias("entity"))
-        .join(moved, F.col("entity") == F.col("from"), "left")
-        .select("form", F.coalesce("to", "entity").alias("entity"))
+    by_exact = F.min(F.when(F.col("exact"), F.col("entity")))
+    counts = asked.groupBy("form").agg(
+        F.count_if("exact").alias("exact"), F.count("*").alias("n"), by_exact.alias("e1"), F.min("entity").alias("e2")
     )
-    return parsed.select("name", "form").join(checkpointed(settled), "form").select("name", "entity")
+    return counts.select(
+        "form", F.when(F.col("exact") == 1, F.col("e1")).when((F.col("exact") == 0) & (F.col("n") == 1), F.col("e2")).alias("meant")
+    ).where("meant is not null")
 
 
 def linked_pairs(named: DataFrame) -> DataFrame:

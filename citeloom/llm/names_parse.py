@@ -119,7 +119,8 @@ def links(spelling: str) -> tuple[str, list[str], str, list[str], list[str]]:
     if any(len(h) > 1 for h in halves):
         sets += [[h[0] for h in halves], [x for h in halves for x in h]]
     keys = list(dict.fromkeys("p:" + " ".join(sorted(s)) for s in sets))
-    holds = sorted({f"{t}|{u[0]}" for s in sets for i, t in enumerate(s) for j, u in enumerate(s) if i != j})
+    # the second half of a double surname is no given name, and three parted tokens do not tell which is
+    holds = sorted({f"{t}|{s[j][0]}" for s in sets[: 2 if len(full) == 2 else 0] for i, t in enumerate(s) for j in range(len(s)) if i != j})
     asks = []
     for i, t in enumerate(joined):
         for whole in NICKNAMES.get(t, "").split():
