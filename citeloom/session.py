@@ -55,25 +55,22 @@ def salted_lookup(rows: DataFrame, reps: DataFrame, key: str, rows_id: str, reps
     there are at most HOT_SHARE of them, which bounds the broadcast list of hot keys. A hot key's rep is
     copied SALTS times and its rows spread over the copies by a hash of `rows_id`; every other key keeps one copy.
     """
-    total = reps.agg(F.sum(reps_count).alias("__total"))
-    hot = (
-        reps.select(key, reps_count)
-        .join(F.broadcast(total), F.col(reps_count) * HOT_SHARE > F.col("__total"))
-        .select(F.col(key).alias("__hot"))
+    reps = checkpointed(reps)
+    total = reps.agg(F.sum(reps_count)).first()[0] or 0
+    hot = [r[0] for r in reps.where(F.col(reps_count) * HOT_SHARE > F.lit(total)).select(key).collect()]
+    if not hot:
+        return rows.join(reps.drop(reps_count), key)
+    kind = reps.schema[key].dataType.simpleString()
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], f"__hot {kind}"))
+    is_hot = F.col("__hot").isNotNull()
+    left = (
+        rows.join(listed, F.col(key) == F.col("__hot"), "left")
+        .withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(rows_id), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+        .drop("__hot")
     )
-    flagged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    left = flagged.withColumn(
-        "__salt",
-        F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(rows_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
-    ).drop("__hot")
     right = (
-        reps.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-        .withColumn(
-            "__salt",
-            F.explode(
-                F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
+        reps.join(listed, F.col(key) == F.col("__hot"), "left")
+        .withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
         .drop("__hot", reps_count)
     )
     return left.join(right, [key, "__salt"]).drop("__salt")
