@@ -5,7 +5,7 @@ of possible copies are refined step by step, and only members of a class with se
 
 1. cheap invariants: the number of letters and digits of the whole record and of three fields, which needs
    no copying of text beyond one length;
-2. the histogram of letters and digits: the record's characters in sorted order, as one hash;
+2. a histogram of letters: how often each of HISTOGRAM occurs in the record, as one hash;
 3. the full key: the SHA-256 of every field's letters and digits in the order of the fields.
 
 Classes of step 1 and 2 are counted, not collected: each is a group-by with map-side combine on a 64-bit
@@ -25,6 +25,8 @@ from citeloom.session import checkpointed, salted_lookup
 
 #: Everything that is neither a letter nor a digit, in any script.
 NOT_ALNUM = r"[^\p{L}\p{Nd}]+"
+#: The letters and digits that the histogram counts; all others show in the length.
+HISTOGRAM = "aeinorst0125"
 SEP = "\u0001"
 
 
@@ -63,12 +65,16 @@ def copies(
     # 1: lengths. Only the class numbers of all rows are shuffled; text moves for members of larger classes alone.
     lengths = [F.length(f"f{fields.index(f)}") for f in cheap or fields[:3]]
     one = base.withColumn("c1", F.xxhash64(F.length(F.concat(*parts)), *lengths))
-    inside = checkpointed(salted_lookup(one, several(one, "c1"), "c1", "rid", "n"))
-    # 2: the histogram of letters of the whole record, within the class of step 1
-    two = inside.withColumn("c2", F.xxhash64("c1", F.array_sort(F.split(F.concat(*parts), ""))))
-    # 3: the full key, within the classes of step 2 that have several members
-    three = salted_lookup(two, several(two, "c2"), "c2", "rid", "n").select(
-        "rid", F.sha2(F.concat_ws(SEP, *parts), 256).alias("key")
+    text = F.concat(*parts)
+    histogram = [F.length(F.replace(text, F.lit(ch))) for ch in HISTOGRAM]
+    inside = checkpointed(
+        salted_lookup(one, several(one, "c1"), "c1", "rid", "n").withColumn("c2", F.xxhash64("c1", *histogram))
+    )
+    # 2 and 3: the histogram of letters within the class of step 1, then the full key within the classes left
+    three = checkpointed(
+        salted_lookup(inside, several(inside, "c2"), "c2", "rid", "n").select(
+            "rid", F.sha2(F.concat_ws(SEP, *parts), 256).alias("key")
+        )
     )
     reps = three.groupBy("key").agg(F.min("rid").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     return (
