@@ -145,6 +145,7 @@ def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], id_col: str =
         raise ValueError("a capacity must be at least 1")
     kind = sized.schema[id_col].dataType.simpleString()
     s = sized.select(F.col(id_col).alias("k"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
+    s = checkpointed(s)  # the range sort reads its input twice: once for the bounds
     ranged = checkpointed(
         s.repartitionByRange(F.desc("n"), "k")
         .sortWithinPartitions(F.desc("n"), "k")
