@@ -103,7 +103,13 @@ def typing_errors(keys: DataFrame) -> DataFrame:
         .select("key", "tok", "rest", F.explode("es").alias("e"))
         .select("key", "tok", "rest", F.col("e.g").alias("g"), F.col("e.p").alias("p"))
     )
-    prefix = checkpointed(prefix)
+    # short tokens have too few grams for that: within one edit they share their first or their last letter
+    ends = each.where(F.length("tok") <= 2 * Q).select(
+        "key", "tok", "rest",
+        F.explode(F.array(F.concat(F.lit("^"), F.substr("tok", F.lit(1), F.lit(1))), F.concat(F.substr("tok", F.length("tok"), F.lit(1)), F.lit("$")))).alias("g"),
+        F.lit(0).alias("p"),
+    )
+    prefix = checkpointed(prefix.unionByName(ends))
     x = prefix.select(F.col("key").alias("a"), F.col("tok").alias("ta"), "rest", "g", F.col("p").alias("pa"))
     y = prefix.select(F.col("key").alias("b"), F.col("tok").alias("tb"), "rest", "g", F.col("p").alias("pb"))
     swaps = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1, F.lit(1)), F.substr(s, i, F.lit(1)), F.substr(s, i + 2)))
