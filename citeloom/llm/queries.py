@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, format_copies, names, packing, venues
+from citeloom.llm import bpe, format_copies, names, packing, residue, venues
 from citeloom.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,20 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, sf_dir), _packs(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, by section and source, against all."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    marked = residue.residue(docs)
+    return (
+        docs.select("doc_id", "source").join(marked, "doc_id", "left")
+        .groupBy("source").agg(F.count("*").alias("docs"), F.count("kinds").alias("excluded"))
+    )
+
+
 _BARE = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 _P3_KEYED = """
 WITH keyed AS (
@@ -116,6 +130,8 @@ QUERIES: dict[str, Query] = {
     "p7_round_trip": p7_round_trip,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_kept": p9_kept,
 }
 
 SQL: dict[str, str] = {
