@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, format_copies, names, packing, residue, venues
+from citeloom.llm import bpe, format_copies, names, packing, quota_sample, residue, venues
 from citeloom.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,59 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("first_id").agg(F.max("n_copies").alias("n_copies")).withColumnRenamed("first_id", "ref_id")
 
 
+_P4_LABELS = ["true_existence", "true_hallucination_category", "true_alignment"]
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """The target list: a short configuration table."""
+    rows = table(spark, sf_dir, "sample_targets").orderBy("target_id").collect()
+    return [
+        {
+            "id": r["target_id"], "set": r["target_set"], "share": r["share"], "sample_size": r["sample_size"], "min_rows": r["min_rows"],
+            "labels": tuple(quota_sample.plain_label(r[c]) for c in _P4_LABELS),
+        }
+        for r in rows
+    ]
+
+
+def _cells(spark: SparkSession, sf_dir: str, targets: list[dict]) -> DataFrame:
+    rows = table(spark, sf_dir, "instances", "instance_id", "true_outputs", "loaded_at").select(
+        "instance_id", "loaded_at", *[F.col(f"true_outputs.{c}").alias(c) for c in _P4_LABELS]
+    )
+    return checkpointed(quota_sample.cell_rows(rows, "instance_id", _P4_LABELS, targets, "loaded_at"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _targets(spark, sf_dir)
+    counts = quota_sample.cell_counts(_cells(spark, sf_dir, targets), 3)
+    short = quota_sample.shortfalls(counts, targets)
+    return spark.createDataFrame([(k,) for k, n in sorted(short.items()) if n > 0], "target_id int")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each target needs, how many rows match it, and what it lacks."""
+    targets = _targets(spark, sf_dir)
+    counts = quota_sample.cell_counts(_cells(spark, sf_dir, targets), 3)
+    short, need = quota_sample.shortfalls(counts, targets), quota_sample.needs(targets)
+    rows = [
+        (t["id"], need[t["id"]], sum(n for c, n in counts.items() if quota_sample.matches(c, t["labels"])), short[t["id"]])
+        for t in targets
+    ]
+    return spark.createDataFrame(rows, "target_id int, needed bigint, available bigint, lacking bigint")
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn samples of all target sets."""
+    targets = _targets(spark, sf_dir)
+    cells = _cells(spark, sf_dir, targets)
+    counts = quota_sample.cell_counts(cells, 3)
+    quota = {}
+    for name in sorted({t["set"] for t in targets}):
+        mine = [t for t in targets if t["set"] == name]
+        quota |= {(name, t, c): n for (t, c), n in quota_sample.quotas(counts, mine, seed=7)[0].items()}
+    return quota_sample.draw(cells, 3, quota, seed=7).withColumnRenamed("id", "instance_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -120,12 +173,32 @@ firsts AS (SELECT k, min(ref_id) AS first_ref_id, count(*) AS n FROM keyed GROUP
     value=_BARE.format("e.value"),
 )
 
+_P4_COUNTED = """
+WITH latest AS (
+  SELECT instance_id, arg_max(true_outputs, loaded_at) AS o FROM instances WHERE instance_id IS NOT NULL GROUP BY 1),
+labelled AS (
+  SELECT o.true_existence AS e, o.true_alignment AS a,
+    regexp_replace(upper(trim(o.true_hallucination_category)), '[\\s_-]+', '_', 'g') AS c FROM latest),
+counted AS (
+  SELECT target_id,
+    greatest(CAST(ceil(share * sample_size - 1e-6) AS BIGINT), min_rows) AS needed,
+    count(l.n) AS available
+  FROM sample_targets t LEFT JOIN (SELECT 1 AS n, * FROM labelled) l
+    ON (t.true_existence IS NULL OR t.true_existence = l.e)
+   AND (t.true_hallucination_category IS NULL OR t.true_hallucination_category = l.c)
+   AND (t.true_alignment IS NULL OR t.true_alignment = l.a)
+  GROUP BY ALL)
+"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_copies": p3_copies,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p4_sample": p4_sample,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_packed": p8_packed,
@@ -138,5 +211,8 @@ SQL: dict[str, str] = {
     "p3_found": _P3_KEYED
     + "SELECT first_ref_id, ref_id AS copy_ref_id FROM keyed JOIN firsts USING (k) WHERE ref_id <> first_ref_id",
     "p3_copies": _P3_KEYED + "SELECT first_ref_id AS ref_id, n AS n_copies FROM firsts",
+    "p4_found": _P4_COUNTED + "SELECT target_id FROM counted WHERE available < needed",
+    "p4_report": _P4_COUNTED
+    + "SELECT target_id, needed, available, greatest(needed - available, 0) AS lacking FROM counted",
     "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
 }
