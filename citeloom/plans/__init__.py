@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.plans import p_core
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP: Query | None = None
+QUERIES: dict[str, Query] = {**p_core.QUERIES}
+SQL: dict[str, str] = {**p_core.SQL}
+FLAGSHIP: Query = p_core.p6_citations
