@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import p_core
+from citeloom.plans import metrics_q, p_core
 
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = [p_core, metrics_q]
 
-QUERIES: dict[str, Query] = {**p_core.QUERIES}
-SQL: dict[str, str] = {**p_core.SQL}
-FLAGSHIP: Query = p_core.p6_citations
+QUERIES: dict[str, Query] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
+FLAGSHIP: Query = metrics_q.agg04_class_metrics
