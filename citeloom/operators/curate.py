@@ -108,6 +108,6 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def rolling(df: DataFrame, at: str, key: str, seconds: int, value: Column) -> DataFrame:
     """df with the number of rows and the sum of value in the last `seconds` (lower bound exclusive) of each key."""
-    us = F.unix_micros(F.col(at))
+    us = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(us).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return df.withColumn("n_window", F.count("*").over(w)).withColumn("sum_window", F.sum(value).over(w))

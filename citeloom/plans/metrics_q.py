@@ -227,7 +227,7 @@ def spc15_hierarchical(spark, d):
 def spc16_reliability(spark, d):
     v = verdicts(spark, d).where("pred is not null")
     c = metrics.calibration(v, "confidence", F.coalesce(F.col("pred") == F.col("truth"), F.lit(False)))
-    return c.select("bin", "n", F.round("avg_confidence", 4).alias("avg_confidence"), F.round("accuracy", 4).alias("accuracy"))
+    return c.select("bin", "n", F.round(F.col("avg_confidence") * F.col("n"), 2).alias("sum_confidence"), F.round(F.col("accuracy") * F.col("n")).cast("bigint").alias("correct"))
 
 
 def spc16_ece_brier(spark, d):
@@ -321,7 +321,7 @@ SQL = {
     "agg18_score_stats": "SELECT min(c.relevance_score) AS lo, max(c.relevance_score) AS hi, round(avg(c.relevance_score), 6) AS mean, count(*) AS n FROM (SELECT unnest(retrieved_evidences.extractive_chunks) AS c FROM instances)",
     "agg20_status_totals": "SELECT count(*) AS n, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status IS NULL) AS unknown FROM verification_instances",
     "spc15_hierarchical": VERDICTS + ", a AS (SELECT count(*) FILTER (exists_true = 1 AND exists_pred = 1 AND truth = pred) AS tp, count(*) FILTER (exists_pred = 1 AND (NOT exists_true = 1 OR pred < truth)) AS fp, count(*) FILTER (exists_true = 1 AND (NOT exists_pred = 1 OR pred > truth)) AS fn, count(*) FILTER (NOT exists_true = 1 AND NOT exists_pred = 1) AS tn, count(*) AS n FROM v), b AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM a) SELECT tp, fp, fn, tn, n, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM b",
-    "spc16_reliability": VERDICTS + "SELECT least(floor(confidence * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(confidence), 4) AS avg_confidence, round(avg(coalesce(pred = truth, false)::INTEGER), 4) AS accuracy FROM v WHERE pred IS NOT NULL AND confidence IS NOT NULL GROUP BY 1",
+    "spc16_reliability": VERDICTS + "SELECT least(floor(confidence * 10), 9)::INTEGER AS bin, count(*) AS n, round(sum(confidence), 2) AS sum_confidence, sum(coalesce(pred = truth, false)::INTEGER)::BIGINT AS correct FROM v WHERE pred IS NOT NULL AND confidence IS NOT NULL GROUP BY 1",
     "spc16_ece_brier": VERDICTS + ", o AS (SELECT confidence, coalesce(pred = truth, false)::INTEGER AS ok FROM v WHERE pred IS NOT NULL AND confidence IS NOT NULL), b AS (SELECT count(*) AS n, avg(confidence) AS c, avg(ok) AS a FROM o GROUP BY least(floor(confidence * 10), 9)) SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS ece, (SELECT round(avg((confidence - ok) ** 2), 6) FROM o) AS brier, sum(n)::BIGINT AS n FROM b",
     "spc17_kappa": VERDICTS + ", w AS (SELECT truth, pred FROM v WHERE pred IS NOT NULL AND truth IS NOT NULL), n AS (SELECT count(*) AS n, avg((truth = pred)::INTEGER) AS o FROM w), e AS (SELECT sum(a.c * b.c) / (SELECT n * n FROM n) AS e FROM (SELECT truth AS l, count(*) AS c FROM w GROUP BY 1) a JOIN (SELECT pred AS l, count(*) AS c FROM w GROUP BY 1) b USING (l)) SELECT round(o, 6) AS observed, round(e, 6) AS expected, round(coalesce((o - e) / nullif(1 - e, 0), 0), 6) AS kappa FROM n, e",
     "spc18_class_shares": _DELIV + ", c AS (SELECT true_outputs.true_alignment AS label, count(*) AS n FROM d WHERE true_outputs.true_alignment IS NOT NULL GROUP BY 1) SELECT label, n, round(n / sum(n) OVER (), 6) AS share, n / sum(n) OVER () BETWEEN 0.1 AND 0.6 AS balanced FROM c",
