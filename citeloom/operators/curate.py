@@ -84,14 +84,14 @@ def interleave(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     differently and would change ties.
     """
     first = F.min(F.struct(*order))
-    groups = df.groupBy(group).agg(F.count("*").alias("n"), first.alias("f"))
-    groups = groups.withColumn("g", F.row_number().over(Window.orderBy("f")))
+    groups = df.groupBy(group).agg(F.count("*").alias("__n"), first.alias("__f"))
+    groups = groups.withColumn("__g", F.row_number().over(Window.orderBy("__f")))
     w = Window.partitionBy(group).orderBy(*order)
-    step = F.lit(1.0) / F.col("n")
-    when = F.aggregate(F.sequence(F.lit(1), F.col("rn")), F.lit(0.0), lambda s, i: s + step)
-    d = df.withColumn("rn", F.row_number().over(w)).join(F.broadcast(groups.drop("f")), group)
-    d = d.withColumn("virtual_time", when)
-    return d.withColumn("slot", F.row_number().over(Window.orderBy("virtual_time", "g"))).drop("rn", "n", "g", "virtual_time")
+    step = F.lit(1.0) / F.col("__n")
+    when = F.aggregate(F.sequence(F.lit(1), F.col("__rn")), F.lit(0.0), lambda s, i: s + step)
+    d = df.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(groups.drop("__f")), group)
+    d = d.withColumn("__v", when)
+    return d.withColumn("slot", F.row_number().over(Window.orderBy("__v", "__g"))).drop("__rn", "__n", "__g", "__v")
 
 
 def allocate(shares: list[tuple[str, str]], total: Column) -> Column:

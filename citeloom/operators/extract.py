@@ -41,7 +41,9 @@ def citing_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     paragraphs = F.split(F.col(text), r"\r?\n\s*\r?\n|\\par\b|(?m)^\\(?:sub)?section\*?\{[^}]*\}")
     p = df.select(key, F.posexplode(paragraphs).alias("paragraph", "p")).where(F.col("p").rlike(r"\\cite"))
-    s = p.select(key, "paragraph", F.posexplode(F.split("p", r"(?<=[.!?])\s+")).alias("i", "s"))
+    # optional arguments may hold full stops, so they go before the text is parted into sentences
+    bare = F.regexp_replace("p", r"(\\cite[a-z]*)(?:\[[^\]]*\])+\{", "$1{")
+    s = p.select(key, "paragraph", F.posexplode(F.split(bare, r"(?<=[.!?])\s+")).alias("i", "s"))
     keys = F.flatten(F.transform(F.regexp_extract_all("s", F.lit(CITE), F.lit(1)), lambda x: F.split(x, ",")))
     marked = F.regexp_replace("s", CITE, "[CITATION]")
     return s.select(key, "paragraph", "i", F.explode(keys).alias("k"), clean_latex(marked).alias("sentence")).select(key, "paragraph", F.trim("k").alias("cite_key"), "sentence")

@@ -296,14 +296,15 @@ _F = lambda p: f"nullif(trim(regexp_extract(line, '{p}', 1)), '')"
 _CLAIM = r"regexp_replace(trim(regexp_replace(regexp_replace(claim_text, '(?i)\[CITATION\]|<cit[^>]*>|\(cit[^)]*\)', ' ', 'g'), '\s+', ' ', 'g')), '^[\s,;:.\-]+|[\s,;:.\-]+$', '', 'g')"
 _ENF = "regexp_replace(trim(claim_text), '^[\"'']+|[\"'']+$', '', 'g')"
 _LAST = "list_distinct(list_transform(list_filter({0}, lambda a: trim(a) <> ''), lambda a: lower(list_extract(string_split(trim(regexp_replace(a, '\\s+', ' ', 'g')), ' '), -1))))"
+_LASTS = _LAST.removeprefix("list_distinct(").removesuffix(")")
 _TOK = "list_distinct(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
 _JAC = "CASE WHEN len({0}) + len({1}) > 0 THEN len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) ELSE 0 END"
 _ED = "CASE WHEN greatest(length({0}), length({1})) > 0 AND {0} IS NOT NULL AND {1} IS NOT NULL THEN 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) ELSE 0 END"
-_SC = VERDICTS + f""", n AS (SELECT instance_id, confidence, m, x, {_N.format('m.title')} AS ta, {_N.format('x.title')} AS tb, {_N.format('m.venue')} AS va, {_N.format('x.venue')} AS vb, {_LAST.format('m.authors')} AS la, {_LAST.format('x.authors')} AS lb FROM v),
+_SC = VERDICTS + f""", n AS (SELECT instance_id, confidence, m, x, {_N.format('m.title')} AS ta, {_N.format('x.title')} AS tb, {_N.format('m.venue')} AS va, {_N.format('x.venue')} AS vb, {_LAST.format('m.authors')} AS la, {_LAST.format('x.authors')} AS lb, ({_LASTS.format('m.authors')})[1] AS fa, ({_LASTS.format('x.authors')})[1] AS fb FROM v),
 k AS (SELECT *, {_TOK.format('ta')} AS ka, {_TOK.format('tb')} AS kb FROM n),
 s AS (SELECT instance_id, confidence,
   coalesce(round(0.5 * ({_ED.format('ta', 'tb')}) + 0.5 * ({_JAC.format('ka', 'kb')}), 6), 0) AS title,
-  coalesce(round(0.6 * ({_JAC.format('la', 'lb')}) + 0.2 * CASE WHEN len(la) > 0 AND len(lb) > 0 AND la[1] = lb[1] THEN 1 ELSE 0 END + 0.2 * CASE WHEN m.authors IS NULL OR x.authors IS NULL THEN NULL ELSE least(len(m.authors), len(x.authors)) / nullif(greatest(len(m.authors), len(x.authors)), 0) END, 6), 0) AS authors,
+  coalesce(round(0.6 * ({_JAC.format('la', 'lb')}) + 0.2 * CASE WHEN len(la) > 0 AND len(lb) > 0 AND fa = fb THEN 1 ELSE 0 END + 0.2 * CASE WHEN m.authors IS NULL OR x.authors IS NULL THEN NULL ELSE least(len(m.authors), len(x.authors)) / nullif(greatest(len(m.authors), len(x.authors)), 0) END, 6), 0) AS authors,
   CASE abs(m.year - x.year) WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.0 END::DOUBLE AS year,
   coalesce(round(CASE WHEN va = vb THEN 1.0::DOUBLE WHEN contains(va, vb) OR contains(vb, va) THEN 0.95 ELSE 0.9 * ({_ED.format('va', 'vb')}) END, 6), 0) AS venue,
   CASE WHEN coalesce(m.identifiers.doi, '') = '' OR coalesce(x.identifiers.doi, '') = '' THEN NULL WHEN coalesce({_BARE.format('m.identifiers.doi')} = {_BARE.format('x.identifiers.doi')} AND {_BARE.format('m.identifiers.doi')} <> '', false) THEN 1.0 ELSE 0.0 END::DOUBLE AS identifier FROM k),
