@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
+from citeloom.operators import ranking
 
 
 def split(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -81,17 +82,15 @@ def interleave(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """df with `slot`: rows of all groups in proportion, by virtual time; ties go to the group that appears first.
 
     The virtual time of a group's j-th row is the sum of j times 1/n, added up from the left, because j/n rounds
-    differently and would change ties.
+    differently and would change ties. order must be total. Groups may be hot: ranks come from range sorts.
     """
     first = F.min(F.struct(*order))
     groups = df.groupBy(group).agg(F.count("*").alias("__n"), first.alias("__f"))
-    groups = groups.withColumn("__g", F.row_number().over(Window.orderBy("__f")))
-    w = Window.partitionBy(group).orderBy(*order)
-    step = F.lit(1.0) / F.col("__n")
-    when = F.aggregate(F.sequence(F.lit(1), F.col("__rn")), F.lit(0.0), lambda s, i: s + step)
-    d = df.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(groups.drop("__f")), group)
-    d = d.withColumn("__v", when)
-    return d.withColumn("slot", F.row_number().over(Window.orderBy("__v", "__g"))).drop("__rn", "__n", "__g", "__v")
+    groups = groups.withColumn("__g", F.row_number().over(Window.orderBy("__f"))).drop("__f")  # one row for each group
+    groups = groups.withColumnRenamed(group, "__group")
+    d = ranking.rank_within(df, [group], order, "__rn").join(F.broadcast(groups), F.col(group).eqNullSafe(F.col("__group")))
+    d = ranking.virtual_times(d.drop("__group"), "__rn", "__n", "__v")
+    return ranking.global_rank(d, ["__v", "__g"], "slot").drop("__rn", "__n", "__g", "__v")
 
 
 def allocate(shares: list[tuple[str, str]], total: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators import ranking
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
@@ -91,6 +93,5 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve by rank sums on distinct scores: ties share their rank; no global sort of rows."""
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = by.withColumn("won", F.col("p") * (below + F.col("q") / 2.0))
+    c = ranking.running_sum(by, ["s"], "q", "below").withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2.0))
     return c.agg(ratio(F.sum("won"), F.sum("p") * F.sum("q").cast("double")).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
 from citeloom.operators import curate
+from citeloom.operators.ranking import rank_within
 from citeloom.plans.p_core import delivered
 from citeloom.session import table
 
@@ -197,8 +198,8 @@ def j10_bibliography_order(spark, d):
     """References in the order of another list of their paper, unmatched ones last in their own order."""
     r = table(spark, d, "bib_references", "ref_id", "paper_id", "entry_pos", "year")
     y = r.groupBy("paper_id", "year").agg(F.min("entry_pos").alias("year_pos"))
-    w = Window.partitionBy("paper_id").orderBy(F.asc_nulls_last("year_pos"), "entry_pos")
-    return r.join(y, ["paper_id", "year"], "left").select("ref_id", F.row_number().over(w).alias("place"))
+    r = r.join(y, ["paper_id", "year"], "left").select("ref_id", "paper_id", "year_pos", "entry_pos")
+    return rank_within(r, ["paper_id"], [F.asc_nulls_last("year_pos"), "entry_pos"], "place").select("ref_id", "place")
 
 
 def j14_upsert(spark, d):
@@ -254,17 +255,20 @@ def win08_paragraphs(spark, d):
 def top02_best_title(spark, d):
     """For each cited title the crawled paper with the best word overlap: 1000 x Jaccard, 1000 more if equal; the first of the best wins.
 
-    Candidates share a word; words are met rarest first by the join's own statistics, never by a cross join.
+    Equal titles have the highest score there is, so they are settled by an equi join; only titles without an equal one go
+    on to candidates that share a word with them.
     """
-    p = table(spark, d, "papers", "crawl_no", "title").withColumn("nt", t.normalize_title(F.col("title"))).where("trim(nt) <> ''")
-    p = p.select("crawl_no", "nt", F.array_distinct(t.tokens(F.col("nt"))).alias("pt"))
-    c = cited(spark, d).select(t.normalize_title(F.col("title")).alias("q")).where("trim(q) <> ''").distinct().select("q", F.array_distinct(t.tokens(F.col("q"))).alias("qt"))
-    pw = p.select("crawl_no", F.size("pt").alias("np"), "nt", F.explode("pt").alias("w"))
-    cw = c.select("q", F.size("qt").alias("nq"), F.explode("qt").alias("w"))
-    common = cw.join(pw, "w").groupBy("q", "nq", "crawl_no", "np", "nt").agg(F.count("*").alias("both"))
-    s = F.floor(1000 * F.col("both") / (F.col("nq") + F.col("np") - F.col("both"))) + F.when(F.col("q") == F.col("nt"), 1000).otherwise(0)
+    p = table(spark, d, "papers", "crawl_no", "title").withColumn("nt", t.normalize_title(F.col("title"))).where("trim(nt) <> ''").select("crawl_no", "nt")
+    p = p.groupBy("nt").agg(F.min("crawl_no").alias("crawl_no")).withColumn("pt", F.array_distinct(t.tokens(F.col("nt"))))
+    c = cited(spark, d).select(t.normalize_title(F.col("title")).alias("q")).where("trim(q) <> ''").distinct()
+    equal = c.join(p, F.col("q") == F.col("nt")).select("q", F.lit(2000).cast("bigint").alias("score"), "crawl_no")
+    rest = c.join(p, F.col("q") == F.col("nt"), "left_anti").withColumn("qt", F.array_distinct(t.tokens(F.col("q"))))
+    pw = p.select("crawl_no", F.size("pt").alias("np"), F.explode("pt").alias("w"))
+    cw = rest.select("q", F.size("qt").alias("nq"), F.explode("qt").alias("w"))
+    common = cw.join(pw, "w").groupBy("q", "nq", "crawl_no", "np").agg(F.count("*").alias("both"))
+    s = F.floor(1000 * F.col("both") / (F.col("nq") + F.col("np") - F.col("both")))
     best = common.groupBy("q").agg(F.max(F.struct(s.alias("score"), (-F.col("crawl_no")).alias("neg"))).alias("b"))
-    return best.select("q", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("crawl_no"))
+    return equal.unionAll(best.select("q", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("crawl_no")))
 
 
 STOP = ["with", "that", "this", "from", "have", "been", "were", "their", "which", "than"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
 from citeloom.operators import metrics
+from citeloom.operators.ranking import rank_within
 from citeloom.plans.p_core import delivered
 from citeloom.session import table
 
@@ -186,10 +187,9 @@ def agg11_average_where_known(spark, d):
 
 
 def agg12_instances_by_paper(spark, d):
-    """The instance ids of each paper, in order of creation, as one list."""
+    """The instances of each paper in order of creation, kept flat: a hot paper's rows are never gathered into one list."""
     i = table(spark, d, "instances", "instance_id", "original_paper", "created_at").distinct()
-    s = F.array_sort(F.collect_list(F.struct("created_at", "instance_id")))
-    return i.groupBy("original_paper").agg(s.alias("s")).select("original_paper", F.array_join(F.transform("s", lambda x: x["instance_id"]), ",").alias("ids"))
+    return rank_within(i, ["original_paper"], ["created_at", "instance_id"], "place").select("original_paper", "place", "instance_id")
 
 
 def agg16_author_pool(spark, d):
@@ -315,7 +315,7 @@ SQL = {
     "top08_error_examples": _PRED + f", e AS (SELECT model, {_ETYPE} AS error_type, instance_id FROM miss) SELECT model, error_type, instance_id, row_number() OVER (PARTITION BY model, error_type ORDER BY instance_id) AS rn FROM e QUALIFY rn <= 2",
     "agg10_agent_metrics": "SELECT agent_type, count(*) AS calls, sum(execution_time_ms) AS total_ms, round(avg(execution_time_ms), 4) AS avg_ms, count(confidence_score) AS scored, round(avg(confidence_score), 6) AS avg_score FROM (" + _P["p6_traces"] + ") GROUP BY 1",
     "agg11_average_where_known": VERDICTS + "SELECT exists_true, round(avg(CASE WHEN pred <> 3 THEN confidence END), 6) AS avg_confidence, count(*) AS n FROM v GROUP BY 1",
-    "agg12_instances_by_paper": "SELECT original_paper, string_agg(instance_id, ',' ORDER BY created_at, instance_id) AS ids FROM (SELECT DISTINCT instance_id, original_paper, created_at FROM instances) GROUP BY 1",
+    "agg12_instances_by_paper": "SELECT original_paper, row_number() OVER (PARTITION BY original_paper ORDER BY created_at, instance_id) AS place, instance_id FROM (SELECT DISTINCT instance_id, original_paper, created_at FROM instances)",
     "agg16_author_pool": "SELECT DISTINCT trim(a) AS author FROM (SELECT unnest(citation_metadata.authors) AS a FROM instances) WHERE trim(a) <> ''",
     "agg17_term_frequency": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(claim_text), '[^a-z0-9]+')) AS term FROM instances) WHERE term <> '' GROUP BY 1",
     "agg18_score_stats": "SELECT min(c.relevance_score) AS lo, max(c.relevance_score) AS hi, round(avg(c.relevance_score), 6) AS mean, count(*) AS n FROM (SELECT unnest(retrieved_evidences.extractive_chunks) AS c FROM instances)",

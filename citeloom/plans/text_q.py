@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as t
 from citeloom.operators import extract as x
 from citeloom.operators import perturb, scoring
+from citeloom.operators.ranking import rank_within
 from citeloom.plans.metrics_q import VERDICTS, verdicts
 from citeloom.plans.p_core import delivered
 from citeloom.session import table
@@ -169,7 +170,7 @@ def arr01_authors_joined(spark, d):
 
 def arr04_batches(spark, d):
     """Papers in batches of 100 within their field, by order of crawl."""
-    p = table(spark, d, "papers", "crawl_no", "field").withColumn("b", F.floor((F.row_number().over(Window.partitionBy("field").orderBy("crawl_no")) - 1) / 100))
+    p = rank_within(table(spark, d, "papers", "crawl_no", "field"), ["field"], ["crawl_no"], "n").withColumn("b", F.floor((F.col("n") - 1) / 100))
     return p.groupBy("field", "b").agg(F.count("*").alias("n"))
 
 
