@@ -2,7 +2,8 @@
 
 Every distinct value is cleaned once (letters folded, braces, quotes, numbers, ordinals and bibliographic
 filler removed) and turned into a set of elements: the beginnings of two, three and four letters of each
-content word, so that an abbreviation shares the elements of the word it shortens. A value of one content
+content word, so that an abbreviation shares the elements of the word it shortens, and its last two letters, so that
+a typing error at the start does not cost all elements of a word. A value of one content
 word has that word as its element and meets the acronyms and one-word names of the list.
 
 The join: elements are ordered by rarity, counted over all distinct values and the list; each set is cut to
@@ -73,7 +74,7 @@ def elements(passages: list[list[str]]) -> list[str]:
     words = [w for p in passages for w in p]
     if len(words) == 1:
         return ["=" + words[0]]
-    return sorted({w[:k] for w in words for k in (2, 3, 4) if len(w) >= k})
+    return sorted({w[:k] for w in words for k in (2, 3, 4) if len(w) >= k} | {"$" + w[-2:] for w in words})
 
 
 def distance(a: str, b: str, most: int) -> int:
