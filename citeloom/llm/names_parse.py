@@ -46,7 +46,7 @@ NICKNAMES = {
     "vince": "vincent", "walt": "walter", "wally": "walter", "will": "william", "zach": "zachary", "zack": "zachary",
 }
 
-_LATEX = re.compile(r"\\(?:[\"'`^~=.]|[uvHcdbtkr](?![a-zA-Z]))\s*\{?\s*\\?([a-zA-Z])\s*\}?")
+_LATEX = re.compile(r"\\(?:[\"'`^~=.]|[uvHcdbtkrUVCDBTKR](?![a-zA-Z]))\s*\{?\s*\\?([a-zA-Z])\s*\}?")
 _HYPHENS = re.compile(r"[\u2010-\u2015\u2212]")
 _SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
@@ -84,7 +84,7 @@ def parse(spelling: str) -> tuple[str, list[str], list[str], bool]:
             continue
         if not w[0].isalpha():
             continue
-        if w in PARTICLES and long:
+        if w in PARTICLES and long and not (short and long < 2):
             particle = True
         elif all(len(x) == 1 for x in w.split("-")):
             initials.extend(w.split("-"))
