@@ -45,6 +45,13 @@ SHORT_FORMS = {
     "bull": "bulletin", "rev": "review", "lett": "letters", "ltrs": "letters", "trns": "transactions", "cnf": "conference",
 }
 
+#: Filler that may also be a shortened last word of a name ("Robotic For"): kept at the end of a passage, and free to be left over.
+ENDINGS = frozenset("for in an at no ed a".split())
+#: Stands before the words of a value that begins as proceedings do: there a place may follow without a comma.
+PROCEEDINGS = "^"
+
+_IN_ACRONYM = re.compile(r"\bIn(?=[A-Z]{3,}\b)")
+_PROC = re.compile(r"^\W*(?:in\b\W*)?(?:proceedings|proc)\b")
 _BRACKET = re.compile(r"[(\[]([^()\[\]]*)[)\]]")
 _EDITION = re.compile(r"\bed(?:n|ition)?\b[.\s]*\d+")
 _NUMBER = re.compile(r"\d+(?:st|nd|rd|th)\b|\d+")
@@ -53,25 +60,30 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def clean(value: str) -> list[list[str]]:
     """The content words of a value, by passage (parted by commas, brackets, semicolons, colons and dashes)."""
-    s = value.replace("\\&", " and ").replace("&", " and ")
+    s = _IN_ACRONYM.sub("In ", value).replace("\\&", " and ").replace("&", " and ")
     s = re.sub(r"\\[\"'`^~=.uvHcdbtkr]\s*\{?\\?([a-zA-Z])\}?", r"\1", s)
     s = "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)).lower()
     s = re.sub(r"[{}]", "", s)
+    proceedings = bool(_PROC.match(s))
     s = _BRACKET.sub(r" , \1 , ", s)
     s = _EDITION.sub(" , ", s)
     s = _NUMBER.sub(" ", s)
     s = re.sub(r"\blnx\b|\blncs\b|\blnai\b", " ", s)
     out = []
     for passage in re.split(r"[,;:()\[\]|/]|\s[-\u2013\u2014]+\s", s):
-        words = [SHORT_FORMS.get(w, w) for w in _WORD.findall(passage) if w not in FILLER]
+        found = _WORD.findall(passage)
+        last = found[-1] if len(found) > 2 and found[-1] in ENDINGS else None
+        words = [SHORT_FORMS.get(w, w) for w in found if w not in FILLER or w == last]
         words = [w for i, w in enumerate(words) if w not in words[:i]]
         if words and words not in out:
             out.append(words)
+    if proceedings and out and len(out[0]) > 2:
+        out[0].insert(0, PROCEEDINGS)
     return out
 
 
 def elements(passages: list[list[str]]) -> list[str]:
-    words = [w for p in passages for w in p]
+    words = [w for p in passages for w in p if w != PROCEEDINGS]
     if len(words) == 1:
         return ["=" + words[0]]
     return sorted({w[:k] for w in words for k in (2, 3, 4) if len(w) >= k} | {"$" + w[-2:] for w in words})
@@ -116,9 +128,11 @@ def word_cost(typed: str, listed: str) -> float | None:
 
 def align(passages: list[list[str]], entry: list[str]) -> float | None:
     """Errors by which the value names the entry; None if a word of either is left over."""
-    words = [(p, w) for p, ws in enumerate(passages) for w in ws]
+    proceedings = bool(passages) and passages[0][:1] == [PROCEEDINGS]
+    words = [(p, w) for p, ws in enumerate(passages) for w in ws if w != PROCEEDINGS]
     free = set(range(len(words)))
     used: set[int] = set()
+    at = -1
     total = 0.0
     for want in sorted(entry, key=len, reverse=True):
         best = None
@@ -131,7 +145,11 @@ def align(passages: list[list[str]], entry: list[str]) -> float | None:
         total += best[0]
         free.discard(best[1])
         used.add(words[best[1]][0])
-    if any(words[i][0] in used for i in free):
+        at = max(at, best[1])
+    over = [i for i in free if words[i][0] in used and words[i][1] not in ENDINGS]
+    if over and proceedings and len(over) <= 2 and min(over) > at:
+        return total + 0.5
+    if over:
         return _joined(passages, entry)
     return total
 
@@ -139,7 +157,7 @@ def align(passages: list[list[str]], entry: list[str]) -> float | None:
 def _joined(passages: list[list[str]], entry: list[str]) -> float | None:
     """The same for a value whose words are wrongly joined or parted: compares the letters of a whole passage."""
     target = "".join(entry)
-    found = [d for p in passages if (d := distance("".join(p), target, 2)) <= 2]
+    found = [d for p in passages if (d := distance("".join(w for w in p if w != PROCEEDINGS), target, 2)) <= 2]
     return min(found) + 1.0 if found else None
 
 

@@ -16,7 +16,7 @@ def mapped(spark, values, entries=LIST):
 def test_forms_of_a_venue(spark):
     want = {
         "Journal of Neural Cartography": 1, "  JOURNAL  OF NEURAL CARTOGRAPHY.": 1, "J. of Neur. Carto.": 1, "Journal of Nueral Cartograhy, vol. 3": 1, "{JNC}": 1, "jnc": 1, "JNC'25": 1, "Neural Cartography, Journal of": 1,
-        "Trans. Neural Cartography 3(2)": 2, "Neural Cartography Lett.": 5, "Proceedings of the 2021 Halden Symposium on Memory \\& Attention, Lindmouth": 3, "HSMA-24": 3, "Halden Symp. Mem. Atten. (Halden Press)": 3,
+        "Trans. Neural Cartography 3(2)": 2, "Neural Cartography Lett.": 5, "Proceedings of the 2021 Halden Symposium on Memory \\& Attention, Lindmouth": 3, "HSMA-24": 3, "InHSMA": 3, "Halden Symposium on Memory and At": 3, "Proceedings of the Halden Symposium on Memory and Attention Lindmouth": 3, "Halden Symposium on Memory and Attention Lindmouth": 0, "Halden Symp. Mem. Atten. (Halden Press)": 3,
         "arXiv preprint arXiv:2101.00001": 4, "ArXiv, abs/2101.00001": 4, "Journal of Polar Numismatics": 0, "Annals of Neural Cartography": 0, "Journal of Neural Sedimentology": 0, "Technical report TR-1": 0, "2021": 0, "HSMB": 0, "x" * 20_000: 0,
     }
     assert mapped(spark, list(want)) == want
