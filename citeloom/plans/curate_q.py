@@ -384,7 +384,7 @@ SQL = {
     "win02_two_valid_per_reference": D + f" SELECT instance_id FROM d WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY citation_metadata.title ORDER BY instance_id) <= 2",
     "win03_claims_per_paper": D + " SELECT instance_id FROM d QUALIFY row_number() OVER (PARTITION BY original_paper ORDER BY created_at, instance_id) <= 75",
     "win06_rolling_minute": "SELECT event_id, count(*) OVER w AS n_window, round(sum(value) OVER w, 4) AS sum_window FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)",
-    "win08_paragraphs": r"WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS no FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents WHERE source = 'latex' AND text IS NOT NULL)), c AS (SELECT *, regexp_matches(trim(line), '^$|^\\(par|section|subsection)\b') AS cut FROM l), p AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY doc_id ORDER BY no) AS par FROM c) SELECT doc_id, par, count(*) AS lines, sum(length(line)) AS chars FROM p WHERE NOT cut GROUP BY 1, 2",
+    "win08_paragraphs": r"WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS no FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents WHERE source = 'latex' AND text IS NOT NULL)), c AS (SELECT *, regexp_matches(trim(line), '^$|^\\(par|section|subsection)\b') AS cut FROM l), p AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY doc_id ORDER BY no) AS par FROM c) SELECT doc_id, par::BIGINT AS par, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM p WHERE NOT cut GROUP BY 1, 2",
     "top02_best_title": _DM + ", q AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(m.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g') AS q FROM c), qq AS (SELECT q, list_distinct(list_filter(string_split(q, ' '), lambda w: w <> '')) AS qt FROM q WHERE trim(q) <> ''), p AS (SELECT crawl_no, regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g') AS nt FROM papers), pp AS (SELECT *, list_distinct(list_filter(string_split(nt, ' '), lambda w: w <> '')) AS pt FROM p WHERE trim(nt) <> ''), qw AS (SELECT q, len(qt) AS nq, unnest(qt) AS w FROM qq), pw AS (SELECT crawl_no, nt, len(pt) AS np, unnest(pt) AS w FROM pp), m AS (SELECT q, nq, crawl_no, np, nt, count(*) AS b FROM qw JOIN pw USING (w) GROUP BY ALL), s AS (SELECT q, crawl_no, floor(1000 * b / (nq + np - b))::BIGINT + CASE WHEN q = nt THEN 1000 ELSE 0 END AS score FROM m) SELECT q, score, crawl_no FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, crawl_no) = 1",
     "top04_keywords": D + f", w AS (SELECT instance_id, unnest(regexp_extract_all(lower(claim_text), '[a-z]{{4,}}')) AS w FROM d), n AS (SELECT instance_id, w, count(*) AS n FROM w WHERE w NOT IN ({_ST}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY n DESC, w) AS k FROM n) SELECT instance_id, string_agg(w, ',' ORDER BY k) AS keywords FROM r WHERE k <= 6 GROUP BY 1",
     "top06_best_clause": D + ", c AS (SELECT instance_id, unnest(x) AS c, generate_subscripts(x, 1) AS j FROM (SELECT instance_id, regexp_split_to_array(claim_text, '[,;]') AS x FROM d WHERE claim_text IS NOT NULL)) SELECT instance_id, trim(c) AS clause FROM c WHERE trim(c) <> '' QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY -len(regexp_extract_all(c, '[A-Za-z]{4,}')), length(trim(c)), j) = 1",

@@ -313,7 +313,7 @@ SQL = {
     "agg14_label_breakdown": _PRED + f", e AS (SELECT model, truth, {_ETYPE} AS t FROM miss) SELECT model, truth, " + ", ".join(f"count(*) FILTER (t = '{k}') AS {k}" for k in ["no_prediction", "undecided", "too_lenient", "too_strict", "other"]) + " FROM e GROUP BY 1, 2",
     "agg19_dominant_error": _PRED + f", e AS (SELECT model, {_ETYPE} AS t, count(*) AS n FROM miss GROUP BY 1, 2) SELECT model, t AS dominant, n FROM e QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, t) = 1",
     "top08_error_examples": _PRED + f", e AS (SELECT model, {_ETYPE} AS error_type, instance_id FROM miss) SELECT model, error_type, instance_id, row_number() OVER (PARTITION BY model, error_type ORDER BY instance_id) AS rn FROM e QUALIFY rn <= 2",
-    "agg10_agent_metrics": "SELECT agent_type, count(*) AS calls, sum(execution_time_ms) AS total_ms, round(avg(execution_time_ms), 4) AS avg_ms, count(confidence_score) AS scored, round(avg(confidence_score), 6) AS avg_score FROM (" + _P["p6_traces"] + ") GROUP BY 1",
+    "agg10_agent_metrics": "SELECT agent_type, count(*) AS calls, sum(execution_time_ms)::BIGINT AS total_ms, round(avg(execution_time_ms), 4) AS avg_ms, count(confidence_score) AS scored, round(avg(confidence_score), 6) AS avg_score FROM (" + _P["p6_traces"] + ") GROUP BY 1",
     "agg11_average_where_known": VERDICTS + "SELECT exists_true, round(avg(CASE WHEN pred <> 3 THEN confidence END), 6) AS avg_confidence, count(*) AS n FROM v GROUP BY 1",
     "agg12_instances_by_paper": "SELECT original_paper, row_number() OVER (PARTITION BY original_paper ORDER BY created_at, instance_id) AS place, instance_id FROM (SELECT DISTINCT instance_id, original_paper, created_at FROM instances)",
     "agg16_author_pool": "SELECT DISTINCT trim(a) AS author FROM (SELECT unnest(citation_metadata.authors) AS a FROM instances) WHERE trim(a) <> ''",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +81,17 @@ def salted_lookup(rows: DataFrame, reps: DataFrame, key: str, rows_id: str, reps
 def blank_to_null(c: Column) -> Column:
     """Null for a string that is empty or holds only white space."""
     return F.when(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")) != "", c)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started; once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_citeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="citeloom_pkg_")) / "citeloom_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._citeloom_shipped = True
