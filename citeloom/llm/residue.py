@@ -104,7 +104,7 @@ SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Cheap signs without which a sentence can hold no field, no blank, no announcement, no page message.
 FIELD_SIGN = re.compile(r"[{<%$\[(@#«]|__")
-BLANK_SIGN = re.compile(r"NaN|None|null|nil|undefined|N/A|XX|__|\?\?|\.\.\.|###|---|\[object|#REF|#VALUE|#NAME|\[\s*\]|\{\s*\}|nan|NAN|NONE|NULL|xx|n/a|UNDEFINED")
+BLANK_SIGN = re.compile(r"NaN|None|null|nil|undefined|N/A|XX|__|\?\?|\.\.\.|###|---|\[object|#REF|#VALUE|#NAME|\[\s*\]|\{\s*\}|nan|NAN|NONE|\bnone\b|NULL|xx|n/a|UNDEFINED")
 SAMPLE_SIGN = re.compile(r"\b(?:text|copy|content|wording|paragraph|abstract)\b", _I)
 #: Words with which the anchored shapes begin.
 STARTS = frozenset(
