@@ -11,8 +11,8 @@ script       a demand for scripts, cookies or another browser, in four languages
 Sentences that speak about or quote such things (they name templates, markers, logs, crawlers and so on, and do so in
 running prose) are no evidence. Markers and syntax of LaTeX, Markdown and [CITATION] are no fields.
 
-Evidence lines are counted, normalised, by host. A line on at least BOILERPLATE_SHARE of a host's documents (and on
-BOILERPLATE_DOCS of them) is boilerplate of the site and is subtracted; lines without evidence need no subtracting, since
+Evidence lines are counted, normalised, by host. A line that stands beside other text on at least BOILERPLATE_SHARE of a
+host's documents (and on BOILERPLATE_DOCS of them) is boilerplate of the site and is subtracted there; lines without evidence need no subtracting, since
 they cannot be evidence in the residual. A document whose residual holds evidence is residue.
 
 Defined cases: null, empty and blank texts are no residue; a null host is a host of its own; repeated documents are
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from citeloom.session import checkpointed
 
 BOILERPLATE_SHARE, BOILERPLATE_DOCS = 0.05, 50
+#: A line is boilerplate only beside this much other text; a page that is nothing but the line is residue, however often it occurs.
+CONTENT_CHARS = 200
 
 _I = re.IGNORECASE
 _NAME = r"[A-Za-z][\w .\-]{0,40}"
@@ -183,37 +185,53 @@ def line_kind(line: str) -> str | None:
     return None
 
 
-def evidence_lines(text: str) -> list[tuple[str, str]]:
-    """(kind, normalised line) of the evidence in a text, each line once."""
+def evidence(text: str) -> tuple[list[tuple[str, str]], int]:
+    """((kind, normalised line) of the evidence in a text, each line once; the characters of all other lines)."""
     found: dict[str, str] = {}
+    rest = 0
     for line in text.splitlines():
-        line = line.replace(" ", " ").strip()
-        if line and (kind := line_kind(line)):
+        line = line.replace("\xa0", " ").strip()
+        if not line:
+            continue
+        if kind := line_kind(line):
             found.setdefault(re.sub(r"\d+", "0", " ".join(line.lower().split())), kind)
-    return [(k, n) for n, k in found.items()]
+        else:
+            rest += len(line)
+    return [(k, n) for n, k in found.items()], rest
+
+
+def evidence_lines(text: str) -> list[tuple[str, str]]:
+    return evidence(text)[0]
 
 
 def find_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(k, host, kind, line_hash): a row for each evidence line of each document; one pass, no shuffle."""
+    """(k, host, kind, line_hash, beside): a row for each evidence line of each document; one pass, no shuffle.
+
+    beside: whether the document has at least CONTENT_CHARS characters in other lines.
+    """
     d = docs.select(F.col(id_col).alias("k"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, kinds, lines = [], [], []
+            row, kinds, lines, beside = [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                for kind, line in evidence_lines(t) if t else ():
+                if not t:
+                    continue
+                found, rest = evidence(t)
+                for kind, line in found:
                     row.append(i)
                     kinds.append(kind)
                     lines.append(line)
+                    beside.append(rest >= CONTENT_CHARS)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(kinds, pa.string()), pa.array(lines, pa.string())],
-                ["k", "host", "kind", "line"],
+                [b.column(0).take(at), b.column(1).take(at), pa.array(kinds, pa.string()), pa.array(lines, pa.string()), pa.array(beside, pa.bool_())],
+                ["k", "host", "kind", "line", "beside"],
             )
 
     kind = d.schema["k"].dataType.simpleString()
-    found = d.mapInArrow(run, f"k {kind}, host string, kind string, line string")
-    return found.select("k", "host", "kind", F.xxhash64("line").alias("line_hash"))
+    found = d.mapInArrow(run, f"k {kind}, host string, kind string, line string, beside boolean")
+    return found.select("k", "host", "kind", F.xxhash64("line").alias("line_hash"), "beside")
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -221,7 +239,8 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     found = checkpointed(find_evidence(docs, id_col, text_col, host_col))
     sizes = docs.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count("*").alias("docs"))
     boilerplate = (
-        found.groupBy("host", "line_hash")
+        found.where("beside")
+        .groupBy("host", "line_hash")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= BOILERPLATE_DOCS)
         .join(sizes, F.col("host").eqNullSafe(F.col("h")))
@@ -229,7 +248,7 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         .select(F.col("host").alias("bh"), F.col("line_hash").alias("bl"))
     )
     return (
-        found.join(boilerplate, (F.col("line_hash") == F.col("bl")) & F.col("host").eqNullSafe(F.col("bh")), "left_anti")
+        found.join(boilerplate, F.col("beside") & (F.col("line_hash") == F.col("bl")) & F.col("host").eqNullSafe(F.col("bh")), "left_anti")
         .groupBy(F.col("k").alias(id_col))
         .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     )

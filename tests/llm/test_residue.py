@@ -29,8 +29,9 @@ def test_is_no_residue(text):
 
 def test_documents_and_boilerplate(spark):
     foot = "JavaScript is disabled in your browser."
-    rows = [(i, f"Real text number {i} about things.\n{foot}", "site") for i in range(100)]
+    rows = [(i, f"Real text number {i} about things. " * 9 + f"\n{foot}", "site") for i in range(100)]
     rows += [(200, foot, "other"), (201, None, "other"), (202, "Access denied.", None), (203, "x" * 300_000 + "\n{{title}}", "site"), (204, "Access denied.", None), (205, "fine", None)]
+    rows += [(i, "Too many requests. Try again later.", "hot") for i in range(300, 500)]
     got = residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
-    assert {r["doc_id"]: r["kinds"] for r in got.collect()} == {200: ["script"], 202: ["error"], 203: ["placeholder"], 204: ["error"]}
+    assert {r["doc_id"]: r["kinds"] for r in got.collect()} == {**dict.fromkeys(range(300, 500), ["error"]), 200: ["script"], 202: ["error"], 203: ["placeholder"], 204: ["error"]}
     assert residue.residue(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
