@@ -57,10 +57,14 @@ LATIN = (
     "lorem ipsum dolo amet conse adipi elit eius temp incid labor magna aliq enim mini veni quis nostr exerc ulla nisi comm duis aute irur "
     "repre volup veli cill fugi null paria excep occae cupid proid culp offic deser moll anim seddo exeac sitan utenim sint sunt"
 ).split()
-SAMPLE = re.compile(
+SAMPLE_ANY = re.compile(
     r"\b(?:sample|mock|dummy|demo|example|temporary|placeholder|filler|fake)\s+(?:paragraph\s+)?(?:text|copy|content|wording|paragraph|abstract)\b.{0,25}"
-    r"(?:fill the page|layout only|nothing more|designer|will be replaced|until the real|goes here|$)"
-    r"|^(?:please\s+)?(?:replace|overwrite|substitute)\b.{0,30}\b(?:with|by)\b.{0,12}\b(?:your|the final|the real|actual)\b"
+    r"(?:fill the page|layout only|nothing more|designer|will be replaced|until the real|goes here|$)",
+    _I,
+)
+#: The shapes below begin where the sentence begins: they are matched there, not searched for.
+SAMPLE = re.compile(
+    r"^(?:please\s+)?(?:replace|overwrite|substitute)\b.{0,30}\b(?:with|by)\b.{0,12}\b(?:your|the final|the real|actual)\b"
     r"|^(?:please\s+)?(?:your|insert|enter|type|add|write|paste|put)\b.{0,40}\b(?:here|below|before submission|in this (?:box|field|space))\W*$|^use this space for\b|^delete this line and\b"
     r"|^(?:TODO|TBD|TBA|FIXME|XXX|to do)\b\s*(?:[-:–—]|$|\()|^\(?pending\)|^FIXME\b.{0,20}\b(?:write|add|to follow|goes here|before submission)\b|^(?:to be (?:written|added|completed|filled in|announced|determined))\b|^(?:abstract|text|content|title) (?:goes here|to follow|to be added)"
     r"|^Score: <|^Confidence: <",
@@ -69,12 +73,13 @@ SAMPLE = re.compile(
 SCRIPT_NOUN = r"(?:java\s?scripts?|js|(?:client-side )?scripts?|scripting|active content|cookies?|skripte|noscript)"
 SCRIPT = re.compile(
     r"^(?:to (?:proceed|continue|read|view)|please|kindly|you (?:must|need|have|should)|enable|activate|allow|permit|turn on|switch on|this (?:page|site|app|reader|viewer)|the (?:page|site|widget|viewer|reader)|noscript|for full|without|fetching|loading|if nothing|if you|\(?scripts? required)\b"
-    rf".{{0,60}}\b{SCRIPT_NOUN}\b|^\W*{SCRIPT_NOUN}(?: and {SCRIPT_NOUN})?\s+(?:is|are|must|seems?|appears?|not|needs?|required|disabled|blocked|turned|off|has|have)\b|\({SCRIPT_NOUN} required\)|^enable\b.{{0,40}}\b{SCRIPT_NOUN}\b"
+    rf".{{0,60}}\b{SCRIPT_NOUN}\b|^\W*{SCRIPT_NOUN}(?: and {SCRIPT_NOUN})?\s+(?:is|are|must|seems?|appears?|not|needs?|required|disabled|blocked|turned|off|has|have)\b|^enable\b.{{0,40}}\b{SCRIPT_NOUN}\b"
     rf"|^(?:bitte|sie müssen|ohne|aktivieren|diese seite|um fortzufahren|für diese)\b.{{0,70}}\b{SCRIPT_NOUN}\b|^(?:veuillez|autorisez|activez|ce site|cette page|vous devez|pour (?:lire|afficher|continuer))\b.{{0,70}}\b(?:{SCRIPT_NOUN}|les scripts)\b"
     rf"|^(?:permita|active|habilite|debe|este sitio|esta página|por favor|necesita|para (?:leer|ver|continuar))\b.{{0,70}}\b{SCRIPT_NOUN}\b"
     r"|^(?:your browser|this version of your browser|the browser you use)\b.{0,20}\b(?:is|cannot|can not|does|has)\b|^noscript\b|^(?:diese anwendung|dieser artikel|der artikel|cette application|esta aplicación)\b.{0,60}\b(?:javascript|skripte|scripts|cookies)\b|^install a modern\b|^the reader cannot start|^some features will not work|^disable your ad ?blocker|^then disable any ad",
     _I,
 )
+SCRIPT_ANY = re.compile(rf"\({SCRIPT_NOUN} required\)", _I)
 #: Whole sentences of error and interstitial pages.
 ERROR_WHOLE = re.compile(
     r"^(?:\W*)(?:(?:login needed|notice|hinweis|error|sorry|warning|oops|whoops|avis|aviso)\s*[:!]\s*)?(?:access (?:is )?(?:denied|forbidden)|permission (?:required|denied)|not authori[sz]ed|forbidden|unauthori[sz]ed|not found|page not found|internal server error|bad gateway|bad request|service unavailable|gateway time-?out"
@@ -104,10 +109,10 @@ MENTION = re.compile(
 )
 SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 WORD = re.compile(r"[^\W\d_]+")
-#: Cheap signs without which a sentence can hold no field, no blank, no announcement, no page message.
-FIELD_SIGN = re.compile(r"[{<%$\[(@#«]|__")
-BLANK_SIGN = re.compile(r"NaN|None|null|nil|undefined|N/A|XX|__|\?\?|\.\.\.|###|---|\[object|#REF|#VALUE|#NAME|\[\s*\]|\{\s*\}|nan|NAN|NONE|\bnone\b|NULL|xx|n/a|UNDEFINED")
-SAMPLE_SIGN = re.compile(r"\b(?:text|copy|content|wording|paragraph|abstract)\b", _I)
+#: Cheap signs without which a sentence can hold no field, no blank, no announcement; those of blanks and samples in lower case.
+FIELD_SIGN = re.compile(r"[{«]|<[\w<%?/ ]|%\w|\[(?!CITATION\])[A-Za-z\[ ]|\$[{(\d]|here\)|\(\s*(?:please|insert|enter|add|type|fill|your|put)|@@|#\w|__", _I)
+BLANK_SIGNS = ("nan", "none", "null", "nil", "undefined", "n/a", "xx", "__", "??", "...", "###", "---", "[object", "#ref", "#value", "#name", "[]", "{}", "[ ", "{ ")
+SAMPLE_SIGNS = ("text", "copy", "content", "wording", "paragraph", "abstract")
 #: Words with which the anchored shapes begin.
 STARTS = frozenset(
     "to please kindly you enable activate allow permit turn switch this the noscript for full without fetching loading if scripts script javascript js cookies cookie client scripting active "
@@ -139,6 +144,7 @@ def sentence_kind(s: str) -> str | None:
 
 
 def _shape(core: str) -> str | None:
+    low = core.lower()
     if FIELD_SIGN.search(core):
         fields = FIELD.findall(core)
         words = WORD.findall(core) if fields else []
@@ -148,25 +154,27 @@ def _shape(core: str) -> str | None:
             inside = sum(len(WORD.findall(x)) for x in soft)
             if len(soft) >= 2 or len(WORD.findall(core)) - inside <= 3:
                 return "placeholder"
-    if BLANK_SIGN.search(core) and (blanks := BLANK.findall(core)):
+    if any(map(low.__contains__, BLANK_SIGNS)) and (blanks := BLANK.findall(core)):
         words = WORD.findall(BLANK.sub(" ", core))
         if (len(blanks) >= 2 or len(words) <= 2) and len(blanks) >= 0.2 * len(core.split()) and not re.fullmatch(r"[\s.\-_#|*=:]+", core):
             return "placeholder"
-    first = WORD.match(core.lstrip("([¿¡"))
-    start = first[0].lower() if first else ""
+    first = WORD.match(low.lstrip("([¿¡"))
+    start = first[0] if first else ""
     if start.startswith(LATIN_STEMS):
         words = WORD.findall(core.lower())
         if len(words) >= 4 and latin_share(words) >= 0.5:
             return "filler"
-    if SAMPLE_SIGN.search(core) and SAMPLE.search(core):
+    if any(map(low.__contains__, SAMPLE_SIGNS)) and SAMPLE_ANY.search(core):
         return "filler"
-    if start not in STARTS and first and "rror" not in core and "xception" not in core and "RROR" not in core and "XCEPTION" not in core:
+    if "equired)" in core and SCRIPT_ANY.search(core):
+        return "script"
+    if start not in STARTS and first and "rror" not in low and "xception" not in low:
         return None
-    if SAMPLE.search(core):
+    if SAMPLE.match(core):
         return "filler"
-    if len(core) < 220 and SCRIPT.search(core):
+    if len(core) < 220 and SCRIPT.match(core):
         return "script"
-    if ERROR_WHOLE.search(core) or ERROR_START.search(core):
+    if ERROR_WHOLE.match(core) or ERROR_START.match(core):
         return "error"
     return None
 
