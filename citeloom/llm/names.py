@@ -8,7 +8,8 @@
    grams of each: only those are joined, with the other tokens, and pairs are filtered by length and position.
 3. The candidates are verified by a soft weighted token similarity: equal tokens count fully, the differing pair
    by one less its share of edited letters, all weighted by rarity (log of the number of keys over those with the token). Two
-   tokens that are both established words (each in many names, in comparable numbers) are not errors of each other.
+   tokens that are both established (each in several names, in comparable numbers, or known given names, as Ben and Jen are)
+   are not errors of each other.
 4. Linked keys form entities (connected components). A key whose forms have several middle initials stands
    for several people: it is split by them, and a form without one stays alone.
 5. Short forms (initials, nicknames) are given to the entity they can mean if there is exactly one.
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.names_parse import links
+from citeloom.llm.names_parse import GIVEN_NAMES, links
 from citeloom.session import checkpointed
 
 Q = 3
 #: Least soft weighted token similarity of two keys.
 SIMILARITY = 0.8
 #: Two tokens are both established if each is in at least this many keys and the rarer in at least this share of the other's.
-ESTABLISHED, COMPARABLE = 20, 0.05
+ESTABLISHED, COMPARABLE = 5, 0.05
 
 
 def trimmed(c: Column) -> Column:
@@ -137,6 +138,8 @@ def typing_errors(keys: DataFrame) -> DataFrame:
         .withColumn("sim", (F.col("w_rest") + F.col("w") * F.col("s")) / (F.col("w_rest") + F.col("w")))
     )
     established = (F.least(na, nb) >= ESTABLISHED) & (F.least(na, nb) >= COMPARABLE * F.greatest(na, nb))
+    known = sorted(GIVEN_NAMES)
+    established = established | (F.col("ta").isin(known) & F.col("tb").isin(known))
     return scored.where((F.col("sim") >= SIMILARITY) & ~established).select("a", "b").distinct()
 
 

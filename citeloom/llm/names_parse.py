@@ -46,6 +46,9 @@ NICKNAMES = {
     "vince": "vincent", "walt": "walter", "wally": "walter", "will": "william", "zach": "zachary", "zack": "zachary",
 }
 
+#: Given names that the list above knows, short and full: none of them is a typing error of another.
+GIVEN_NAMES = frozenset(NICKNAMES) | {w for full in NICKNAMES.values() for w in full.split()}
+
 _LATEX = re.compile(r"\\(?:[\"'`^~=.]|[uvHcdbtkrUVCDBTKR](?![a-zA-Z]))\s*\{?\s*\\?([a-zA-Z])\s*\}?")
 _HYPHENS = re.compile(r"[\u2010-\u2015\u2212]")
 _SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
@@ -77,6 +80,7 @@ def parse(spelling: str) -> tuple[str, list[str], list[str], bool]:
     if len(low) >= 3 and any(w in ORG_WORDS for w in low):
         return "org", sorted({ORG_WORDS.get(w, w) for x in low for w in x.split("-") if w not in ORG_STOP}), [], False
     long = sum(len(w) > 3 for w in low)
+    shouting = all(x.isupper() for x in words if len(x) > 3)  # then capitals say nothing about initials
     full, initials, particle = [], [], False
     for raw, w in zip(words, low):
         short = len(w) <= 3 and raw.isupper() and "-" not in w
@@ -84,11 +88,11 @@ def parse(spelling: str) -> tuple[str, list[str], list[str], bool]:
             continue
         if not w[0].isalpha():
             continue
-        if w in PARTICLES and long and not (short and long < 2):
+        if w in PARTICLES and long and not (long < 2 and (short or w in NICKNAMES)):
             particle = True
         elif all(len(x) == 1 for x in w.split("-")):
             initials.extend(w.split("-"))
-        elif short and w not in NICKNAMES or len(w) == 2 and w not in NICKNAMES and long:
+        elif short and (w not in NICKNAMES or (len(w) == 2 and not shouting)) or len(w) == 2 and w not in NICKNAMES and long:
             initials.extend(w)
         else:
             full.append(w)
