@@ -4,10 +4,12 @@ A file's schema is the set of its top-level fields with a non-null value, each w
 its values. Its fingerprint is a hash of that. Consecutive files of an exporter are compared: fields that are gone and
 fields that are new are matched as renames by the values of the records that both files hold, all others are
 removals, additions and changes of type; every change is one row of the log, which is the list of migration steps.
-Records are then routed through the steps: the chained renames lead each raw name to a column of the target
-schema, absent fields get null as default, and values are cast by the target's type.
+Records are then routed through the steps: the renames logged for the record's own exporter, chained from file to file, lead
+each raw name to a column of the target schema; names without such steps follow the renames of all exporters. Absent fields
+get null as default, and values are cast by the target's type. No value is lost: of several values for one column the others,
+and values that the column's type cannot hold, go to `other_fields`.
 
-Everything runs in the JVM on variant values. The joins are keyed by exporter, file and record ID, so an exporter with a
+Everything but the chaining of an exporter's log runs in the JVM on variant values. The joins are keyed by exporter, file and record ID, so an exporter with a
 third of all rows spreads over its files and records; schemas are pre-aggregated before they are shuffled.
 
 Defined cases: records that are no JSON object have no fields (and stay in the table with nulls); repeated records,
@@ -18,6 +20,10 @@ empty table gives no rows. Field names differ if their case does.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +156,12 @@ def compose(renames: list[tuple[str, str, int]], target: list[str]) -> dict[str,
 
     A rename that would merge two target columns is not followed; spelling variants of one name are one name.
     """
+    return chained(renames, target)[0]
+
+
+def chained(renames: list[tuple[str, str, int]], target: list[str]) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """What compose returns, and the pairs of target columns that renames join."""
+    joined: list[tuple[str, str]] = []
     home = {plain(t): t for t in target}
     parent: dict[str, str] = {}
 
@@ -160,11 +172,83 @@ def compose(renames: list[tuple[str, str, int]], target: list[str]) -> dict[str,
 
     for old, new, _ in sorted(renames, key=lambda r: (-r[2], r[0], r[1])):
         a, b = root(plain(old)), root(plain(new))
-        if a == b or (a in home and b in home):
+        if a == b:
+            continue
+        if a in home and b in home:
+            joined.append((home[a], home[b]))
             continue
         keep, drop = (a, b) if a in home or (b not in home and a < b) else (b, a)
         parent[drop] = keep
-    return {x: home[root(x)] for x in [*parent, *home] if root(x) in home}
+    return {x: home[root(x)] for x in [*parent, *home] if root(x) in home}, list(dict.fromkeys(joined))
+
+
+def merged(pairs: list[tuple[str, str]], target: list[str]) -> dict[str, str]:
+    """Target column -> the first column, in the order of the target, that the pairs join it with."""
+    first = {t: t for t in target}
+    for a, b in pairs:
+        keep, drop = sorted((first[a], first[b]), key=target.index)
+        first = {t: keep if f == drop else f for t, f in first.items()}
+    return first
+
+
+def own_routes(steps: list[tuple[int, str, str, str]], files: list[int], names: dict[str, str], target: list[str]) -> dict[int, dict[str, str]]:
+    """File -> raw name -> target column, by the logged steps (file_seq, change_type, old_field, new_field) of one exporter.
+
+    A name stands for one field from the file that brings it on until it comes anew; renames join fields. Joined fields go to the
+    first target column that one of their names spells, else to the first to which `names` leads; names without either are left out.
+    """
+    home = {plain(t): t for t in target}
+    renames = [(seq, old, new) for seq, kind, old, new in steps if kind == "renamed"]
+    known = {n for _, old, new in renames for n in (old, new)}
+    starts = {n: [] for n in known}
+    for seq, kind, _, new in steps:
+        if kind in ("added", "renamed") and new in known:
+            starts[new].append(seq)
+    starts = {n: sorted(set(s)) for n, s in starts.items()}
+    at = lambda n, seq: (n, bisect_right(starts[n], seq))
+    parent: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def root(x: tuple[str, int]) -> tuple[str, int]:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for seq, old, new in renames:
+        parent[root(at(old, seq - 1))] = root(at(new, seq))
+    spelt: dict[tuple[str, int], set[str]] = {}
+    led: dict[tuple[str, int], set[str]] = {}
+    for x in list(parent):
+        n = plain(x[0])
+        if n in home:
+            spelt.setdefault(root(x), set()).add(home[n])
+        if n in names:
+            led.setdefault(root(x), set()).add(names[n])
+    column = {x: min(found, key=target.index) for x in parent if (found := spelt.get(root(x)) or led.get(root(x)))}
+    return {seq: {n: column[x] for n in sorted(known) if (x := at(n, seq)) in column} for seq in files}
+
+
+def routes(records: DataFrame, log: DataFrame, names: dict[str, str], target: list[str]) -> DataFrame:
+    """(exporter, file_seq, route map<string,string>): own_routes of every exporter with renames.
+
+    The steps and file numbers of one exporter meet in one row: a few for each file, whatever the number of its records.
+    """
+    steps = log.groupBy("exporter").agg(
+        F.collect_list(F.struct("file_seq", "change_type", "old_field", "new_field")).alias("steps"), F.count_if(F.col("change_type") == "renamed").alias("n")
+    )
+    files = records.where("file_seq is not null").groupBy("exporter").agg(F.collect_set("file_seq").alias("files"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for exporter, own, seqs in zip(*[c.to_pylist() for c in b.columns]):
+                found = own_routes([tuple(s.values()) for s in own], seqs, names, target)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([exporter] * len(found), pa.string()), pa.array(list(found), pa.int32()), pa.array([list(m.items()) for m in found.values()], pa.map_(pa.string(), pa.string()))],
+                    ["exporter", "file_seq", "route"],
+                )
+
+    both = steps.where("n > 0").join(files, "exporter").select("exporter", "steps", "files")
+    return both.mapInArrow(run, "exporter string, file_seq int, route map<string,string>")
 
 
 def as_text(raw: Column) -> Column:
@@ -196,20 +280,34 @@ def unify(records: DataFrame, log: DataFrame, keep: list[str], target: dict[str,
     )
     if len(rows) > MAX_RENAMES:
         raise ValueError(f"more than {MAX_RENAMES} distinct renames")
-    names = compose([tuple(r) for r in rows], list(target))
-    routes = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
+    names, joined = chained([tuple(r) for r in rows], list(target))
     squeezed = lambda k: F.regexp_replace(F.lower(k), r"[^\p{L}\p{Nd}]", "")
+    as_map = lambda d: F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv])
     entries = F.filter(F.map_entries(F.from_json(F.col(record_col), "map<string,string>")), lambda e: e["value"].isNotNull())
-    routed = F.transform(entries, lambda e: F.struct(F.coalesce(routes[squeezed(e["key"])], F.lit("")).alias("t"), e["key"].alias("k"), e["value"].alias("v")))
-    base = records.select(*keep, F.when(F.expr(f"is_variant_null(try_parse_json({record_col})) is not null"), routed).alias("__r"))
-
-    def routed_to(name: str) -> Column:
-        return F.filter("__r", lambda e: e["t"] == name)
-
-    cols = []
-    for name, kind in target.items():
-        first = routed_to(name)
-        cols.append(cast_to(as_text(F.when(F.size(first) > 0, first[0]["v"])), kind).alias(name))
-    rest = routed_to("")
-    other = F.map_from_entries(F.transform(rest, lambda e: F.struct(e["k"], e["v"])))
-    return base.select(*keep, *cols, other.alias("other_fields"))
+    if joined:  # two columns that a rename joins are one everywhere, unless a record fills both
+        held = F.transform(entries, lambda e: as_map(names)[squeezed(e["key"])])
+        filled = records.select(held.alias("h")).agg(
+            *[F.coalesce(F.bool_or(F.array_contains("h", a) & F.array_contains("h", b)), F.lit(False)).alias(f"p{i}") for i, (a, b) in enumerate(joined)]
+        ).first()
+        one = merged([p for p, both in zip(joined, filled) if not both], list(target))
+        names = {n: one[t] for n, t in names.items()}
+    known = as_map(names)
+    # of the values for one column the one under the column's own name comes first, then the others by name
+    routed = F.transform(entries, lambda e: F.struct(
+        F.coalesce(F.col("route")[e["key"]], known[squeezed(e["key"])], F.lit("")).alias("t"), e["key"].alias("k"), e["value"].alias("v"),
+    ))
+    routed = F.array_sort(F.transform(routed, lambda e: F.struct(e["t"].alias("t"), (squeezed(e["k"]) != F.translate(F.lower(e["t"]), "_", "")).alias("alias"), e["k"].alias("k"), e["v"].alias("v"))))
+    valid = F.expr(f"is_variant_null(try_parse_json({record_col})) is not null")
+    routing = routes(records, log, names, list(target)).withColumnsRenamed({"exporter": "__e", "file_seq": "__s"})
+    found = records.join(routing, (F.col("exporter") == F.col("__e")) & (F.col("file_seq") == F.col("__s")), "left")
+    base = found.select(*keep, F.when(valid, routed).alias("__r"))
+    taken = F.transform("__r", lambda e, i: (e["t"] != "") & (F.array_position("__t", e["t"]) == i + 1))
+    base = base.withColumn("__t", F.transform("__r", lambda e: e["t"])).withColumn("__first", taken)
+    firsts = F.filter(F.arrays_zip("__r", "__first"), lambda z: z["__first"])
+    base = base.withColumn("__m", F.map_from_entries(F.transform(firsts, lambda z: F.struct(z["__r"]["t"], z["__r"]["v"]))))
+    cols = [cast_to(as_text(F.col("__m")[name]), kind).alias(name) for name, kind in target.items()]
+    # a column that is null though it has a value could not be cast
+    uncast = F.array_compact(F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name, kind in target.items() if kind != "string"]))
+    rest = F.filter(F.arrays_zip("__r", "__first"), lambda z: ~z["__first"] | F.array_contains(uncast, z["__r"]["t"]))
+    other = F.map_from_entries(F.transform(rest, lambda z: F.struct(z["__r"]["k"], z["__r"]["v"])))
+    return base.select(*keep, *cols, "__r", "__first").select(*keep, *target, other.alias("other_fields"))

@@ -46,3 +46,34 @@ def test_unify_routes_chained_renames_and_casts(spark):
     rows = {(r["file_seq"], r["howpublished"], r["year"], r["open_access"]) for r in drift.unify(df, renames, ["file_seq"]).collect()}
     assert rows == {(1, "http://u", 2020, None), (2, "http://u", 2020, True), (2, None, None, None)}
     assert drift.unify(df, renames, ["file_seq"]).where("file_seq = 1").first()["other_fields"] == {"odd": "[1,2]"}
+
+
+def unified(spark, rows, steps, keep=("exporter", "file_seq")):
+    df = spark.createDataFrame([(e, s, json.dumps(r)) for e, s, r in rows], SCHEMA)
+    renames = spark.createDataFrame([(e, s, k, o, n) for e, s, k, o, n in steps], "exporter string, file_seq int, change_type string, old_field string, new_field string")
+    return {tuple(r[k] for k in keep): r for r in drift.unify(df, renames, list(keep)).collect()}
+
+
+def test_unify_lets_a_detected_rename_join_two_target_columns(spark):
+    rows = [("e", 1, {"ID": "a", "eprinttype": "arxiv"}), ("e", 2, {"ID": "a", "archiveprefix": "arxiv"}), ("f", 1, {"ID": "b", "archivePrefix": "hal"})]
+    out = unified(spark, rows, [("e", 2, "renamed", "eprinttype", "archiveprefix")])
+    assert {k: (r["eprinttype"], r["archiveprefix"]) for k, r in out.items()} == {("e", 1): ("arxiv", None), ("e", 2): ("arxiv", None), ("f", 1): ("hal", None)}
+    # columns that some record fills both stay two, but for the exporter whose log joins them
+    out = unified(spark, [*rows, ("f", 2, {"eprinttype": "x", "archiveprefix": "y"})], [("e", 2, "renamed", "eprinttype", "archiveprefix")])
+    assert {k: (r["eprinttype"], r["archiveprefix"]) for k, r in out.items()} == {("e", 1): ("arxiv", None), ("e", 2): ("arxiv", None), ("f", 1): (None, "hal"), ("f", 2): ("x", "y")}
+
+
+def test_unify_routes_a_name_by_the_steps_of_its_own_exporter_and_file(spark):
+    rows = [("e", 1, {"note": "n"}), ("e", 2, {"info": "n"}), ("f", 1, {"journal": "j"}), ("f", 2, {"info": "j"}), ("f", 4, {"info": "s"}), ("f", 5, {"series": "s"})]
+    steps = [("e", 2, "renamed", "note", "info"), ("f", 2, "renamed", "journal", "info"), ("f", 3, "removed", "info", ""), ("f", 4, "added", "", "info"), ("f", 5, "renamed", "info", "series")]
+    out = unified(spark, rows, steps)
+    assert {k: (r["note"], r["journal"], r["series"]) for k, r in out.items()} == {
+        ("e", 1): ("n", None, None), ("e", 2): ("n", None, None), ("f", 1): (None, "j", None), ("f", 2): (None, "j", None), ("f", 4): (None, None, "s"), ("f", 5): (None, None, "s"),
+    }
+
+
+def test_unify_loses_no_value(spark):
+    rows = [("e", 1, {"note": "n", "remark": "m", "year": "n.d.", "volume": None}), ("e", 2, {"remark": "m", "open_access": "maybe"})]
+    out = unified(spark, rows, [("e", 2, "renamed", "note", "remark")])
+    assert out["e", 1]["note"] == "n" and out["e", 1]["other_fields"] == {"remark": "m", "year": "n.d."}
+    assert out["e", 2]["note"] == "m" and out["e", 2]["other_fields"] == {"open_access": "maybe"}
