@@ -3,8 +3,8 @@
 Every distinct value is cleaned once (letters folded, braces, quotes, numbers, ordinals and bibliographic
 filler removed) and turned into a set of elements: the beginnings of two, three and four letters of each
 content word, so that an abbreviation shares the elements of the word it shortens, and its last two letters, so that
-a typing error at the start does not cost all elements of a word. A value of one content
-word has that word as its element and meets the acronyms and one-word names of the list.
+a typing error at the start does not cost all elements of a word. A value of several passages is compared whole and by each
+passage of several words, so that words of place, series and publisher do not hide the name.
 
 The join: elements are ordered by rarity, counted over all distinct values and the list; each set is cut to
 the prefix that must hold a shared element if the Jaccard similarity reaches the threshold; prefixes are
@@ -33,7 +33,7 @@ from citeloom.session import checkpointed, salted_lookup
 
 #: Least Jaccard similarity of element sets. A typing error at the start of a word costs three of its four elements: a name of
 #: three words, of which two begin wrongly, still reaches 6 / 18.
-THRESHOLD = 0.3
+THRESHOLD = 0.25
 #: Words that carry no meaning in the name of a venue.
 FILLER = frozenset(
     "a an the of on in at for and und et proc proceedings vol volume no number issue ed edn edition eds pp pages series "
@@ -90,6 +90,12 @@ def elements(passages: list[list[str]]) -> list[str]:
     return sorted({w[:k] for w in words for k in (2, 3, 4) if len(w) >= k} | {"$" + w[-2:] for w in words})
 
 
+def parts(passages: list[list[str]]) -> dict[str, list[str]]:
+    """The elements of a value's core and of each of its passages of several words, by their text."""
+    texts = {" ".join(p): elements([p]) for p in passages if len(p) > 1 and len(passages) > 1}
+    return {"|".join(" ".join(p) for p in passages): elements(passages), **texts}
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between a and b, or most + 1 if there are more."""
     if a == b:
@@ -163,20 +169,20 @@ def _joined(passages: list[list[str]], entry: list[str]) -> float | None:
 
 
 def _cleaned(values: DataFrame) -> DataFrame:
-    """(value, core, els): core is the cleaned value as text, by which equal cleanings are joined only once."""
+    """(value, core, parts): core is the cleaned value as text, by which equal cleanings are joined only once; parts are its element sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cores, els = [], []
+            cores, sets = [], []
             for v in b.column(0).to_pylist():
                 passages = clean(v)
                 cores.append("|".join(" ".join(p) for p in passages))
-                els.append(elements(passages))
+                sets.append(list(parts(passages).items()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cores, pa.string()), pa.array(els, pa.list_(pa.string()))], ["value", "core", "els"]
+                [b.column(0), pa.array(cores, pa.string()), pa.array(sets, pa.map_(pa.string(), pa.list_(pa.string())))], ["value", "core", "parts"]
             )
 
-    return values.mapInArrow(run, "value string, core string, els array<string>")
+    return values.mapInArrow(run, "value string, core string, parts map<string,array<string>>")
 
 
 def _ranked(sets: DataFrame, order: DataFrame, key: str) -> DataFrame:
@@ -228,11 +234,12 @@ def map_values(values: DataFrame, entries: DataFrame, t: float = THRESHOLD) -> D
     canonical list; alias may be null. Entries without content words are met by nothing.
     """
     cleaned = checkpointed(_cleaned(values))
-    cores = cleaned.groupBy("core").agg(F.first("els").alias("els")).withColumnRenamed("core", "l")
+    cores = checkpointed(cleaned.where("core <> ''").groupBy("core").agg(F.first("parts").alias("parts")).select(F.col("core").alias("l"), F.explode("parts").alias("part", "els")))
     names = entries.select("key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("name").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("alias").alias("value")))).alias("e")).select("key", "e.value").where("trim(coalesce(value, '')) <> ''").distinct()
-    listed = checkpointed(names.join(_cleaned(names.select("value").distinct()), "value").groupBy("core", "key").agg(F.first("els").alias("els")))
+    listed = checkpointed(names.join(_cleaned(names.select("value").distinct()), "value").groupBy("core", "key").agg(F.first(F.col("parts")[F.col("core")]).alias("els")))
     sets = listed.groupBy("core").agg(F.first("els").alias("els")).withColumnRenamed("core", "r").where("r <> ''")
-    pairs = similar(cores.where("l <> ''"), sets, t)
+    sets_met = similar(cores.groupBy(F.col("part").alias("l")).agg(F.first("els").alias("els")), sets, t).withColumnRenamed("l", "part")
+    pairs = cores.select("l", "part").join(sets_met, "part").groupBy("l", "r").agg(F.max("jaccard").alias("jaccard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

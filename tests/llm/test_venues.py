@@ -22,6 +22,12 @@ def test_forms_of_a_venue(spark):
     assert mapped(spark, list(want)) == want
 
 
+def test_words_of_place_and_publisher_do_not_hide_a_name(spark):
+    entries = [(7, "International Conference on Plasma Simulation", None)]
+    want = {"Proc. Int. Conf. Pals. Simu., Ostrava Bay": 7, "Int. Conf. Pals. Simu., Ostrava Bay, Halden University Press, Lecture Records Collection": 7, "Ostrava Bay, Halden University Press": 0}
+    assert mapped(spark, list(want), entries) == want
+
+
 def test_nothing_to_map(spark):
     assert mapped(spark, []) == {} and mapped(spark, ["JNC"], LIST[:0] or [(9, None, None)]) == {"JNC": 0}
 
