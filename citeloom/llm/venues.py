@@ -34,6 +34,8 @@ from citeloom.session import checkpointed, salted_lookup
 #: Least Jaccard similarity of element sets. A typing error at the start of a word costs three of its four elements: a name of
 #: three words, of which two begin wrongly, still reaches 6 / 18.
 THRESHOLD = 0.25
+#: Least Jaccard similarity of the pairs of letters of a value in one word and a listed name run together. Two swaps in a word of eight letters leave 3 / 15.
+RUN_THRESHOLD = 0.2
 #: Words that carry no meaning in the name of a venue.
 FILLER = frozenset(
     "a an the of on in at for and und et proc proceedings vol volume no number issue ed edn edition eds pp pages series "
@@ -57,6 +59,10 @@ _BRACKET = re.compile(r"[(\[]([^()\[\]]*)[)\]]")
 _EDITION = re.compile(r"\bed(?:n|ition)?\b[.\s]*\d+")
 _NUMBER = re.compile(r"\d+(?:st|nd|rd|th)\b|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Filler run on to the word before it.
+_RUN_ON = re.compile(r"(?<=\w{4})(?:preprints?|eprints?)$")
+#: Filler that a name run together may hold between its words.
+_BETWEEN = "(?:a|an|the|of|on|in|at|for|and|und|et)*"
 
 
 def clean(value: str) -> list[list[str]]:
@@ -72,7 +78,7 @@ def clean(value: str) -> list[list[str]]:
     s = re.sub(r"\blnx\b|\blncs\b|\blnai\b", " ", s)
     out = []
     for passage in re.split(r"[,;:()\[\]|/]|\s[-\u2013\u2014]+\s", s):
-        found = _WORD.findall(passage)
+        found = [_RUN_ON.sub("", w) for w in _WORD.findall(passage)]
         last = found[-1] if len(found) > 2 and found[-1] in ENDINGS else None
         words = [SHORT_FORMS.get(w, w) for w in found if w not in FILLER or w == last]
         words = [w for i, w in enumerate(words) if w not in words[:i]]
@@ -90,6 +96,11 @@ def elements(passages: list[list[str]]) -> list[str]:
     return sorted({w[:k] for w in words for k in (2, 3, 4) if len(w) >= k} | {"$" + w[-2:] for w in words})
 
 
+def pairs_of_letters(word: Column) -> Column:
+    padded = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(2))))
+
+
 def parts(passages: list[list[str]]) -> dict[str, list[str]]:
     """The elements of a value's core and of each of its passages of several words, by their text."""
     texts = {" ".join(p): elements([p]) for p in passages if len(p) > 1 and len(passages) > 1}
@@ -135,6 +146,10 @@ def word_cost(typed: str, listed: str) -> float | None:
 
 def align(passages: list[list[str]], entry: list[str]) -> float | None:
     """Errors by which the value names the entry; None if a word of either is left over."""
+    if len(entry) == 1 and [len(p) for p in passages] == [1]:  # a beginning of the one word would be any word
+        typed, most = passages[0][0], 0 if len(entry[0]) < 5 else 1 if len(entry[0]) < 8 else 2
+        d = distance(typed, entry[0], most)
+        return float(d) if d <= most else None
     proceedings = bool(passages) and passages[0][:1] == [PROCEEDINGS]
     words = [(p, w) for p, ws in enumerate(passages) for w in ws if w != PROCEEDINGS]
     free = set(range(len(words)))
@@ -164,6 +179,8 @@ def align(passages: list[list[str]], entry: list[str]) -> float | None:
 def _joined(passages: list[list[str]], entry: list[str]) -> float | None:
     """The same for a value whose words are wrongly joined or parted: compares the letters of a whole passage."""
     target = "".join(entry)
+    if len(passages) == 1 and len(passages[0]) == 1 and len(entry) > 1 and re.fullmatch(_BETWEEN.join(map(re.escape, entry)), passages[0][0]):
+        return 1.0
     found = [d for p in passages if (d := distance("".join(w for w in p if w != PROCEEDINGS), target, 2)) <= 2]
     return min(found) + 1.0 if found else None
 
@@ -235,11 +252,16 @@ def map_values(values: DataFrame, entries: DataFrame, t: float = THRESHOLD) -> D
     """
     cleaned = checkpointed(_cleaned(values))
     cores = checkpointed(cleaned.where("core <> ''").groupBy("core").agg(F.first("parts").alias("parts")).select(F.col("core").alias("l"), F.explode("parts").alias("part", "els")))
-    names = entries.select("key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("name").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("alias").alias("value")))).alias("e")).select("key", "e.value").where("trim(coalesce(value, '')) <> ''").distinct()
-    listed = checkpointed(names.join(_cleaned(names.select("value").distinct()), "value").groupBy("core", "key").agg(F.first(F.col("parts")[F.col("core")]).alias("els")))
+    names = entries.select("key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("name").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("alias").alias("value")))).alias("e")).select("key", "e.kind", "e.value").where("trim(coalesce(value, '')) <> ''").distinct()
+    listed = checkpointed(names.select("key", "value").distinct().join(_cleaned(names.select("value").distinct()), "value").groupBy("core", "key").agg(F.first(F.col("parts")[F.col("core")]).alias("els")))
     sets = listed.groupBy("core").agg(F.first("els").alias("els")).withColumnRenamed("core", "r").where("r <> ''")
     sets_met = similar(cores.groupBy(F.col("part").alias("l")).agg(F.first("els").alias("els")), sets, t).withColumnRenamed("l", "part")
-    pairs = cores.select("l", "part").join(sets_met, "part").groupBy("l", "r").agg(F.max("jaccard").alias("jaccard"))
+    # values in one word: typing errors in names of one word (acronyms are met by equality alone) and names run together
+    alone = cores.where(~F.col("l").rlike("[ |]")).select("l", pairs_of_letters(F.col("l")).alias("els"))
+    run = names.where("kind = 0").select("value").distinct()
+    run = _cleaned(run).where("core <> ''").select(F.col("core").alias("r")).distinct().withColumn("els", pairs_of_letters(F.regexp_replace("r", "[ |^]", "")))
+    run_met = similar(alone, run, RUN_THRESHOLD)
+    pairs = cores.select("l", "part").join(sets_met, "part").select("l", "r", "jaccard").unionByName(run_met).groupBy("l", "r").agg(F.max("jaccard").alias("jaccard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

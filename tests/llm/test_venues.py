@@ -28,6 +28,14 @@ def test_words_of_place_and_publisher_do_not_hide_a_name(spark):
     assert mapped(spark, list(want), entries) == want
 
 
+def test_values_in_one_word(spark):
+    want = {
+        '"ARXIVpreprint"': 4, "arXivpreprint arXiv:2101.00001": 4, "arXvi": 4, "arXv": 4, "JournalofNeuralCartography": 1, "HaldenSymposiumOnMemoryAndAttention": 3, "NeuralCartograhyLetters": 5,
+        "ar": 0, "bioRxiv": 0, "Archiv": 0, "HSMB": 0, "JNB": 0, "Journal": 0,
+    }
+    assert mapped(spark, list(want)) == want
+
+
 def test_nothing_to_map(spark):
     assert mapped(spark, []) == {} and mapped(spark, ["JNC"], LIST[:0] or [(9, None, None)]) == {"JNC": 0}
 
