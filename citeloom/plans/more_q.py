@@ -142,8 +142,14 @@ def set07_common_ids(spark, d):
     return table(spark, d, "instances", "instance_id").distinct().join(v, "instance_id", "left_semi").agg(F.count("*").alias("n"))
 
 
+def smp05_combined(spark, d):
+    """SMP05: all rows of every label, interleaved in proportion; slot is the place of each."""
+    i = delivered(spark, d, "true_outputs").select("instance_id", F.col("true_outputs.true_alignment").alias("label"))
+    return curate.interleave(i, "label", ["instance_id"]).select("instance_id", "label", "slot")
+
+
 def smp05_stratified(spark, d):
-    """A stratified pick: 30 of each label by seeded order."""
+    """A stratified pick: 30 of each label by seeded order, as its SQL has it. The whole of SMP05 is smp05_combined."""
     i = delivered(spark, d, "true_outputs").select("instance_id", F.col("true_outputs.true_alignment").alias("label"))
     return curate.head_per_group(i, "label", [F.md5(F.concat(F.lit("5|"), "instance_id")), "instance_id"], 30)
 
