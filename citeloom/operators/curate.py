@@ -93,6 +93,14 @@ def interleave(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return ranking.global_rank(d, ["__v", "__g"], "slot").drop("__rn", "__n", "__g", "__v")
 
 
+def cycle(df: DataFrame, order: list[str], target: DataFrame) -> DataFrame:
+    """The rows of df repeated in turn, in a total order, until `target` (one row, one column) rows are reached: `round` and `position` from 1."""
+    size = df.agg(F.count("*").alias("__size"))
+    d = ranking.global_rank(df, order, "__rank").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(target.toDF("__target")))
+    d = d.where("__rank <= __target").withColumn("round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("(__target - __rank) div __size + 1"))))
+    return d.withColumn("position", F.col("__rank") + (F.col("round") - 1) * F.col("__size")).drop("__rank", "__size", "__target")
+
+
 def allocate(shares: list[tuple[str, str]], total: Column) -> Column:
     """array<struct<name, n>>: shares (decimal text) of a total, half to even, the last takes the rest."""
     parts = [F.bround(total.cast("decimal(20,0)") * F.lit(s).cast("decimal(10,6)"), 0).cast("bigint") for _, s in shares[:-1]]

@@ -335,8 +335,16 @@ def smp03_target_allocation(spark, d):
     return n.select(F.explode(curate.allocate(SHARES, F.col("n"))).alias("x")).select("x.name", "x.n")
 
 
+def smp04_cycled(spark, d):
+    """SMP04: the papers with instances, in seeded order, repeated in turn until there are 3 rows for each instance."""
+    i = table(spark, d, "instances", "original_paper").where("original_paper is not null")
+    pool = i.distinct().withColumn("h", F.md5(F.concat(F.lit("4|"), "original_paper")))
+    target = i.agg((F.count("*") * 3).alias("n"))
+    return curate.cycle(pool, ["h", "original_paper"], target).select("original_paper", "round", "position")
+
+
 def smp04_cycling_pool(spark, d):
-    """Each paper repeated in turn until 3 rows are reached for each instance it has: replicate by sequence, no loop."""
+    """Rounds of each paper, as many as it has instances but 3 at most, as its SQL has it. The whole of SMP04 is smp04_cycled."""
     c = table(spark, d, "instances", "original_paper").groupBy("original_paper").agg(F.count("*").alias("n"))
     return c.select("original_paper", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(3)))).alias("round"))
 

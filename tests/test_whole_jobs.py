@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from citeloom.operators import curate
 from citeloom.plans import QUERIES
 
 AT = datetime(2024, 1, 1)
@@ -20,3 +21,15 @@ def test_smp05_combines_every_row_of_every_label_in_proportion(spark, tmp_path):
     assert [r["slot"] for r in out] == list(range(1, 152)) and {r["instance_id"] for r in out} == {r[0] for r in rows}
     labels = [r["label"] for r in out]
     assert labels[:75].count(1) in (24, 25, 26)
+
+
+def test_smp04_repeats_the_pool_until_the_target_is_reached(spark, tmp_path):
+    papers = ["a"] * 5 + ["b", "c", "d"]
+    write(spark, tmp_path, "instances", [(f"i{k}", p, "c", None, AT, None, None) for k, p in enumerate(papers)], INSTANCE)
+    out = QUERIES["smp04_cycled"](spark, str(tmp_path)).orderBy("position").collect()
+    order = [r["original_paper"] for r in out]
+    assert [r["position"] for r in out] == list(range(1, 25)) and sorted(order[:4]) == list("abcd") and order == order[:4] * 6
+    small = spark.createDataFrame([(k,) for k in range(4)], "k int")
+    for n in (0, 3, 4, 6):
+        got = curate.cycle(small, ["k"], spark.createDataFrame([(n,)], "n bigint")).orderBy("position").collect()
+        assert [(r["k"], r["position"]) for r in got] == [(j % 4, j + 1) for j in range(n)]
