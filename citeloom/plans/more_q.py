@@ -224,8 +224,21 @@ def jsn05_event_props(spark, d):
     return e.groupBy("event_type").agg(F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"), F.count("*").alias("n"))
 
 
+def ret05_searched(spark, d):
+    """RET05: claim and context of the stated query set each search the passages; of a text met by both the claim's place counts."""
+    context = delivered(spark, d, "surrounding_context").select(F.col("instance_id").alias("qid"), F.col("surrounding_context").alias("context"))
+    both = claims(spark, d).join(context, "qid", "left").select("scope", "qid", F.posexplode(F.array("query", "context")).alias("o", "query"))
+    # a context that says the same as the claim is no second query
+    both = both.where("query is not null").groupBy("scope", "qid", "query").agg(F.min("o").alias("o")).withColumn("q", F.struct("qid", "o"))
+    p = passages(spark, d)
+    s = r.bm25(both, p, "scope", "q", "query", "cid", "text").withColumn("score", F.round("score", 6))
+    found = r.top_k(s, "q", [F.desc("score"), F.col("cid")], 15).join(p.select("cid", "text"), "cid")
+    best = found.groupBy("q.qid", "text").agg(F.min(F.struct("q.o", "rank", "cid")).alias("b")).select("qid", "b.cid", F.col("b.o").alias("query_no"), "b.rank")
+    return r.top_k(best, "qid", [F.col("query_no"), F.col("rank")], 30, "place")
+
+
 def ret05_two_queries(spark, d):
-    """Claim and context as two queries for the same search; of a passage met by both the claim's place counts."""
+    """The two queries of each instance, claim and context, equal ones once, as its SQL has it. The search of RET05 is ret05_searched."""
     q = delivered(spark, d, "claim_text", "surrounding_context").select("instance_id", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("claim_text").alias("q")), F.struct(F.lit(1).alias("o"), F.col("surrounding_context").alias("q")))).alias("s"))
     return q.where("s.q is not null").groupBy("instance_id", "s.q").agg(F.min("s.o").alias("first"))
 

@@ -33,3 +33,14 @@ def test_smp04_repeats_the_pool_until_the_target_is_reached(spark, tmp_path):
     for n in (0, 3, 4, 6):
         got = curate.cycle(small, ["k"], spark.createDataFrame([(n,)], "n bigint")).orderBy("position").collect()
         assert [(r["k"], r["position"]) for r in got] == [(j % 4, j + 1) for j in range(n)]
+
+
+def test_ret05_searches_with_both_queries_and_dedups(spark, tmp_path):
+    import hashlib
+
+    key = next(f"i{k}" for k in range(999) if int(hashlib.md5(f"i{k}".encode()).hexdigest()[:6], 16) % 20 == 0)
+    write(spark, tmp_path, "instances", [(key, "p", "plasma waves", "plasma storms", AT, None, None)], INSTANCE)
+    refs = [(1, "p", "storms at sea"), (2, "p", "waves on plasma"), (3, "p", "plasma lamps"), (4, "p", "plasma lamps"), (5, "q", "plasma waves"), (6, "p", "tides")]
+    write(spark, tmp_path, "bib_references", refs, "ref_id bigint, paper_id string, title string")
+    out = QUERIES["ret05_searched"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r["cid"], r["query_no"], r["place"]) for r in out] == [(2, 0, 1), (3, 0, 2), (1, 1, 3)]
