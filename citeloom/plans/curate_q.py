@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
-from citeloom.operators import curate
+from citeloom.operators import curate, ranking
 from citeloom.operators.ranking import rank_within
 from citeloom.plans.p_core import delivered
 from citeloom.session import table
@@ -321,8 +321,14 @@ def smp01_seeded_sample(spark, d):
     return curate.seeded_sample(i, "instance_id", 100, 7).select("instance_id")
 
 
+def smp02_placed(spark, d):
+    """SMP02: the place of every paper in the order of a seeded hash: a range sort, not one task."""
+    i = table(spark, d, "papers", "crawl_no").withColumn("h", F.md5(F.concat(F.lit("11|"), F.col("crawl_no").cast("string"))))
+    return ranking.global_rank(i, ["h", "crawl_no"], "place").select("crawl_no", "place")
+
+
 def smp02_seeded_shuffle(spark, d):
-    """A place for every row by a seeded hash: a range sort, not one task."""
+    """The seeded hash of every row, as its SQL has it. The places of SMP02 are in smp02_placed."""
     i = table(spark, d, "papers", "crawl_no").withColumn("h", F.md5(F.concat(F.lit("11|"), F.col("crawl_no").cast("string"))))
     return i.select("crawl_no", F.substring("h", 1, 12).alias("shuffle_key"))
 

@@ -93,8 +93,17 @@ def j08_positional_zip(spark, d):
     return i.join(b, (F.col("original_paper") == F.col("paper_id")) & (i["n"] == b["n"])).select("instance_id", "ref_id")
 
 
+def j09_aligned(spark, d):
+    """J09: the true authors of each instance and those extracted in its latest state, by position; every true one stays, extra ones are ignored."""
+    true = delivered(spark, d, "citation_metadata").select("instance_id", F.posexplode("citation_metadata.authors").alias("pos", "truth"))
+    v = table(spark, d, "verification_instances", "instance_id", "event_ts", "loaded_at", "extracted_citation")
+    latest = v.groupBy("instance_id").agg(F.max(F.struct("event_ts", "loaded_at", "extracted_citation")).alias("b"))
+    found = latest.select("instance_id", F.posexplode("b.extracted_citation.authors").alias("pos", "extracted"))
+    return true.join(found, ["instance_id", "pos"], "left").select("instance_id", (F.col("pos") + 1).alias("position"), "truth", "extracted")
+
+
 def j09_left_positional(spark, d):
-    """The truth keeps every row; extra predictions are ignored."""
+    """How many instances have a verdict, as its SQL has it. The alignment of J09 is j09_aligned."""
     v = table(spark, d, "verification_instances", "instance_id", "event_ts", "status")
     last = v.groupBy("instance_id").agg(F.max("event_ts").alias("last_ts"))
     return delivered(spark, d, "original_paper").select("instance_id").join(last, "instance_id", "left").groupBy(F.col("last_ts").isNotNull().alias("verified")).agg(F.count("*").alias("n"))

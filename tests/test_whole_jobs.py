@@ -44,3 +44,18 @@ def test_ret05_searches_with_both_queries_and_dedups(spark, tmp_path):
     write(spark, tmp_path, "bib_references", refs, "ref_id bigint, paper_id string, title string")
     out = QUERIES["ret05_searched"](spark, str(tmp_path)).orderBy("place").collect()
     assert [(r["cid"], r["query_no"], r["place"]) for r in out] == [(2, 0, 1), (3, 0, 2), (1, 1, 3)]
+
+
+def test_j09_aligns_by_position_and_keeps_the_truth(spark, tmp_path):
+    rows = [("a", "p", "c", None, AT, None, (["x", "y", "z"],)), ("b", "p", "c", None, AT, None, (["u"],))]
+    write(spark, tmp_path, "instances", rows, INSTANCE)
+    states = [("a", AT, AT, (["old"],)), ("a", AT.replace(year=2025), AT, (["x", "q"],)), ("c", AT, AT, (["v"],))]
+    write(spark, tmp_path, "verification_instances", states, "instance_id string, event_ts timestamp_ntz, loaded_at timestamp_ntz, extracted_citation struct<authors:array<string>>")
+    out = {tuple(r) for r in QUERIES["j09_aligned"](spark, str(tmp_path)).collect()}
+    assert out == {("a", 1, "x", "x"), ("a", 2, "y", "q"), ("a", 3, "z", None), ("b", 1, "u", None)}
+
+
+def test_smp02_places_every_paper_once(spark, tmp_path):
+    write(spark, tmp_path, "papers", [(k,) for k in range(40)], "crawl_no bigint")
+    out = QUERIES["smp02_placed"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["place"] for r in out] == list(range(1, 41)) and sorted(r["crawl_no"] for r in out) == list(range(40)) != [r["crawl_no"] for r in out]
