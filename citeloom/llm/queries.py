@@ -122,6 +122,22 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample.draw(cells, 3, quota, seed=7).withColumnRenamed("id", "instance_id")
 
 
+def p4_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was drawn for each target: rows, different ids, and rows whose labels match."""
+    targets = _targets(spark, sf_dir)
+    labels = spark.createDataFrame([(t["set"], t["id"], *t["labels"]) for t in targets], "target_set string, target_id int, e string, c string, a string")
+    cells = _cells(spark, sf_dir, targets).toDF("instance_id", "ce", "cc", "ca")
+    fits = lambda want, have: F.col(want).isNull() | (F.col(want) == F.col(have))
+    return (
+        labels.join(p4_sample(spark, sf_dir), ["target_set", "target_id"], "left").join(cells, "instance_id", "left")
+        .groupBy("target_set", "target_id")
+        .agg(
+            F.count("instance_id").alias("n_rows"), F.countDistinct("instance_id").alias("n_ids"),
+            F.count_if(F.col("instance_id").isNotNull() & fits("e", "ce") & fits("c", "cc") & fits("a", "ca")).alias("n_matching"),
+        )
+    )
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -199,6 +215,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p4_sample": p4_sample,
+    "p4_drawn": p4_drawn,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_packed": p8_packed,
@@ -214,5 +231,8 @@ SQL: dict[str, str] = {
     "p4_found": _P4_COUNTED + "SELECT target_id FROM counted WHERE available < needed",
     "p4_report": _P4_COUNTED
     + "SELECT target_id, needed, available, greatest(needed - available, 0) AS lacking FROM counted",
+    "p4_drawn": _P4_COUNTED
+    + """SELECT target_set, target_id, least(needed, available) AS n_rows, least(needed, available) AS n_ids, least(needed, available) AS n_matching
+FROM counted JOIN (SELECT target_id, target_set FROM sample_targets) USING (target_id)""",
     "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
 }

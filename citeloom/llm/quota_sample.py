@@ -5,10 +5,12 @@ of cells is bounded by the targets). For a set of targets a network is solved:
 
 source -> cell (capacity: distinct rows) -> target (each target takes from the cells that match its labels)
 -> sink (demand: share x sample size, or the floor if that is more), and a slack arc source -> target of high
-cost, whose flow is the shortfall. Within a target, a cell's proportional share costs nothing, one more row costs a
-random amount, and rows beyond that cost more: the optimum follows the proportions of the data and rounds
-them to integers at random, by the seed. Rows are then drawn per cell by the order of a seeded hash; the cut
-is found on counts of hash buckets, so no cell is sorted as a whole.
+cost, whose flow is the shortfall. Within a target, a cell's quota costs nothing and rows beyond it cost more, so the
+optimum follows the proportions of the data and departs from them only where cells are exhausted or shared. The integer quotas are
+drawn by systematic sampling on the fractions, in a random order of the cells: a share of whole rows stays as it is,
+any other is rounded up with a probability equal to its fraction, and the quotas of a target add up to its need. Rows
+are then drawn per cell by the order of a seeded hash; the cut is found on counts of hash buckets, so no cell is
+sorted as a whole.
 
 Defined cases: null labels match only targets that leave the label open; labels agree regardless of case, outer
 white space and the separator of words; repeated deliveries of an id count once, as the latest delivered; rows without
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from citeloom.session import checkpointed
 
 OTHER = "#other"
-SLACK_COST, BEYOND_COST, ROUND_COST = 1_000_000, 1_000, 100
+SLACK_COST, BEYOND_COST = 1_000_000, 1_000
 #: Hash buckets by which a cell's cut is found.
 BUCKETS = 4096
 
@@ -110,6 +113,18 @@ def matches(cell: tuple, target: tuple) -> bool:
     return all(want is None or want == have for have, want in zip(cell, target))
 
 
+def rounded(shares: dict[tuple, Fraction], draw: random.Random) -> dict[tuple, int]:
+    """Integers for shares whose sum is an integer: each rounded up with a probability equal to its fraction, the sum kept."""
+    order = sorted(shares, key=str)
+    draw.shuffle(order)
+    at = Fraction(draw.getrandbits(53), 1 << 53)
+    out = {}
+    for c in order:
+        out[c] = math.floor(at + shares[c]) - math.floor(at)
+        at += shares[c]
+    return out
+
+
 def quotas(cells: dict[tuple, int], targets: list[dict], seed: int = 0) -> tuple[dict[tuple[object, tuple], int], dict[object, int]]:
     """({(target id, cell): rows}, {target id: shortfall}) of one network; targets (id, labels, share, sample_size, min_rows)."""
     net, draw = Flow(), random.Random(seed)
@@ -120,17 +135,14 @@ def quotas(cells: dict[tuple, int], targets: list[dict], seed: int = 0) -> tuple
         net.arc("source", ("cell", cell), n)
     for t in targets:
         k = t["id"]
-        mine = [c for c in sorted(cells, key=str) if matches(c, t["labels"])]
+        mine = [c for c in sorted(cells, key=str) if matches(c, t["labels"]) and cells[c] > 0]
         total = sum(cells[c] for c in mine)
+        wanted = min(need[k], total)
+        quota = rounded({c: Fraction(wanted * cells[c], total) for c in mine}, draw)
         for c in mine:
-            share = need[k] * cells[c] / total if total else 0.0
-            whole = min(int(share), cells[c])
-            # the more of a row is missing, the likelier is a low cost for it
-            toss = int(ROUND_COST * draw.random() ** max(share - int(share), 0.01)) if share > whole else ROUND_COST
             arcs[k, c] = [
-                net.arc(("cell", c), ("target", k), whole, 0),
-                net.arc(("cell", c), ("target", k), 1, ROUND_COST - toss),
-                net.arc(("cell", c), ("target", k), cells[c], BEYOND_COST),
+                net.arc(("cell", c), ("target", k), quota[c], 0),
+                net.arc(("cell", c), ("target", k), cells[c] - quota[c], BEYOND_COST),
             ]
         slack[k] = net.arc("source", ("target", k), need[k], SLACK_COST)
         net.arc(("target", k), "sink", need[k])

@@ -42,6 +42,23 @@ def test_flow_meets_targets_and_exposes_shortfalls():
     assert quota_sample.needs(targets((1, (None,), 0.1, 10, 0), (2, (None,), 0.30000001, 10, 0), (3, (None,), None, None, None))) == {1: 1, 2: 3, 3: 0}
 
 
+@pytest.mark.parametrize("sizes, need", [((890, 110), 10), ((500, 495, 5), 100), ((400, 590, 10), 10), ((1, 1, 1), 2), ((7,), 3), ((0, 5), 5)])
+def test_rounding_is_unbiased(sizes, need):
+    """Over many seeds the mean quota of every cell is its share; a whole share never changes; no quota is a row off."""
+    cells = {(str(i),): n for i, n in enumerate(sizes)}
+    seeds = 600
+    mean = dict.fromkeys(cells, 0.0)
+    for seed in range(seeds):
+        quota, short = quota_sample.quotas(cells, targets((1, (None,), 1, need, 0)), seed)
+        assert sum(quota.values()) == need and short == {1: 0}
+        for c, n in cells.items():
+            share = need * n / sum(sizes)
+            assert abs(quota.get((1, c), 0) - share) < 1
+            mean[c] += quota.get((1, c), 0) / seeds
+    for c, n in cells.items():
+        assert abs(mean[c] - need * n / sum(sizes)) < 0.1
+
+
 def test_flow_is_optimal_on_shared_cells():
     """Two targets share a cell: the total shortfall is the least that any assignment leaves."""
     rnd = random.Random(2)
