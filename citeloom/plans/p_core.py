@@ -47,8 +47,8 @@ def delivered(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = delivered(spark, sf_dir, "citation_metadata").select("instance_id", F.to_json(F.struct("citation_metadata.authors")).alias("j"))
-    authors = nested.nodes(cited, "instance_id", "j", CITATION).select(
+    cited = delivered(spark, sf_dir, "citation_metadata").select("instance_id", F.col("citation_metadata.authors").alias("authors"))
+    authors = nested.list_nodes(cited, "instance_id", "authors", CITATION.kind).select(
         "kind", "instance_id", F.lit(0).alias("trace_no"), F.col("position").alias("item_no"), "empty"
     )
     found = checkpointed(nested.nodes(latest_traces(spark, sf_dir), "instance_id", "retrieval_traces", TRACES).drop("value"))
