@@ -2,14 +2,14 @@
 
 1. Every distinct spelling is parsed into folded tokens (names_parse). Spellings whose tokens agree apart from
    case, accents, order, titles and punctuation are one form; a full name's token set is its key.
-2. Typing errors: two keys that agree in all tokens but one are joined if the q-grams of the differing tokens
-   are similar. Each token's padded q-grams are ordered by their rarity over all keys; one edit or one swap
-   of neighbours spoils at most q + 1 grams, so two tokens within one edit share one of the q + 2 rarest
-   grams of each: only those are joined, with the other tokens, and pairs are filtered by length and position.
-3. The candidates are verified by a soft weighted token similarity: equal tokens count fully, the differing pair
-   by one less its share of edited letters, all weighted by rarity (log of the number of keys over those with the token). Two
-   tokens that are both established (each in several names, in comparable numbers, or known given names, as Ben and Jen are)
-   are not errors of each other.
+2. Typing errors: the q-gram sets of all tokens are joined by their prefixes. Grams are ordered by rarity over all
+   tokens; one edit or one swap of neighbours spoils at most q + 1 of a token's padded q-grams, so two tokens within one
+   error share one of the q + 2 rarest of each; pairs are filtered by length and position. A token may be a typing error of
+   a commoner one unless both are established (more names have it than errors explain) or both are known given names, as Ben and Jen.
+3. Names meet by their tokens: each key is read as every name that replaced tokens make of it, in any number of
+   tokens, while the soft weighted token similarity holds: equal tokens count fully, similar ones by one less their share of
+   wrong letters, all weighted by rarity (log of the number of keys over those with the token). Keys that can stand for one
+   name are linked if their dissimilarities to it add up to no more than the bound.
 4. Linked keys form entities (connected components). A key whose forms have several middle initials stands
    for several people: it is split by them, and a form without one stays alone.
 5. Short forms (initials, nicknames) are given to the entity they can mean if there is exactly one.
@@ -28,13 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.names_parse import GIVEN_NAMES, links
-from citeloom.session import checkpointed
+from citeloom.session import checkpointed, salted_lookup
 
 Q = 3
 #: Least soft weighted token similarity of two keys.
 SIMILARITY = 0.8
-#: Two tokens are both established if each is in at least this many keys and the rarer in at least this share of the other's.
-ESTABLISHED, COMPARABLE = 5, 0.05
+#: At most this share of the keys of a token has it with one and the same typing error; a token that is in more, by so many
+#: standard deviations, is a name of its own.
+ERROR_RATE, DEVIATIONS = 0.03, 3.3
+#: Names with more readings than this are compared by the classes of their tokens, not by their readings.
+MOST_WAYS = 4096
 
 
 def trimmed(c: Column) -> Column:
@@ -80,67 +83,125 @@ def _parsed(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "name string, form string, keys array<string>, middle string, holds array<string>, asks array<string>")
 
 
-def typing_errors(keys: DataFrame) -> DataFrame:
-    """(a, b): pairs of keys, a < b, that differ by a typing error in one token. keys: (key) distinct, tokens after the first colon."""
-    tokens = F.split(F.substring_index("key", ":", -1), " ")
-    each = (
-        keys.select("key", F.posexplode(tokens).alias("i", "tok"))
-        .select(
-            "key", "tok",
-            F.concat_ws(" ", F.substring("key", 1, 2), F.filter(tokens, lambda t, j: j != F.col("i"))).alias("rest"),
-        )
-    )
-    df_tok = each.groupBy("tok").agg(F.count("*").alias("n"))
+def _swaps(s: Column) -> Column:
+    """The text with each pair of neighbours swapped."""
+    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1, F.lit(1)), F.substr(s, i, F.lit(1)), F.substr(s, i + 2)))
+
+
+def one_error(a: Column, b: Column) -> Column:
+    """Whether a and b differ by one letter left out, added or replaced, or by one swap of neighbours."""
+    return (F.levenshtein(a, b, 1) == 1) | ((F.length(a) == F.length(b)) & (F.length(a) > 1) & F.array_contains(_swaps(a), b))
+
+
+def established(rarer: Column, commoner: Column) -> Column:
+    """Whether a token in `rarer` keys is more than the typing errors of one in `commoner` keys, at ERROR_RATE, explain.
+
+    A test of counts with stabilised variance: evidence accumulates with the keys, and there is no size at which the rule changes.
+    """
+    return 2 * (F.sqrt(rarer) - F.sqrt(ERROR_RATE * commoner)) >= DEVIATIONS
+
+
+def _gram_prefix(tokens: DataFrame, q: int, n: int) -> DataFrame:
+    """(tok, g, p): the n rarest padded q-grams of each token with their positions, by their number of tokens."""
     padded = F.concat(F.lit("#"), "tok", F.lit("#"))
-    grams = each.where(F.length("tok") >= Q).select(
-        "key", "tok", "rest",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") + 2 - Q + 1), lambda p: F.struct(p.alias("p"), F.substr(padded, p, F.lit(Q)).alias("g")))).alias("e"),
-    ).select("key", "tok", "rest", "e.p", "e.g")
+    grams = tokens.select("tok", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") + 3 - q), lambda p: F.struct(p.alias("p"), F.substr(padded, p, F.lit(q)).alias("g")))).alias("e")).select("tok", "e.p", "e.g")
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    prefix = (
-        grams.join(rarity, "g")
-        .groupBy("key", "tok", "rest")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g", "p"))), 1, Q + 2).alias("es"))
-        .select("key", "tok", "rest", F.explode("es").alias("e"))
-        .select("key", "tok", "rest", F.col("e.g").alias("g"), F.col("e.p").alias("p"))
-    )
-    # short tokens have too few grams for that: within one edit they share their first or their last letter
-    ends = each.where(F.length("tok") <= 2 * Q).select(
-        "key", "tok", "rest",
-        F.explode(F.array(F.concat(F.lit("^"), F.substr("tok", F.lit(1), F.lit(1))), F.concat(F.substr("tok", F.length("tok"), F.lit(1)), F.lit("$")))).alias("g"),
-        F.lit(0).alias("p"),
+    ordered = grams.join(rarity, "g").groupBy("tok").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g", "p"))), 1, n).alias("es"))
+    return ordered.select("tok", F.explode("es").alias("e")).select("tok", F.concat(F.lit(f"{q}"), "e.g").alias("g"), "e.p")
+
+
+def similar_tokens(tokens: DataFrame) -> DataFrame:
+    """(tok, n, alt, n_alt): each token with the commoner tokens of which it may be a typing error. tokens: (tok, n) distinct.
+
+    The q-gram sets of the tokens are joined by prefixes: one error spoils at most q + 1 grams of a set, so the q + 2 rarest of
+    either hold a common one. Of two tokens that are equally common the smaller is the one meant.
+    """
+    long = tokens.where(F.length("tok") >= Q)
+    # four letters and fewer have too few trigrams: a swap may spoil all, but not all pairs of letters
+    short = tokens.where((F.length("tok") > 1) & (F.length("tok") <= Q + 1))
+    prefix = checkpointed(_gram_prefix(long, Q, Q + 2).unionAll(_gram_prefix(short, Q - 1, Q + 1)).join(tokens, "tok"))
+    x = prefix.select("tok", "n", "g", "p")
+    y = prefix.select(F.col("tok").alias("alt"), F.col("n").alias("n_alt"), "g", F.col("p").alias("p_alt"))
+    known = sorted(GIVEN_NAMES)
+    return (
+        x.join(y, "g")
+        .where("tok <> alt and abs(p - p_alt) <= 1 and abs(length(tok) - length(alt)) <= 1 and (n_alt > n or (n_alt = n and alt < tok))")
+        .where(~established(F.col("n"), F.col("n_alt")) & ~(F.col("tok").isin(known) & F.col("alt").isin(known)))
+        .select("tok", "n", "alt", "n_alt").distinct()
+        .where(one_error(F.col("tok"), F.col("alt")))
     )
-    prefix = checkpointed(prefix.unionByName(ends))
-    x = prefix.select(F.col("key").alias("a"), F.col("tok").alias("ta"), "rest", "g", F.col("p").alias("pa"))
-    y = prefix.select(F.col("key").alias("b"), F.col("tok").alias("tb"), "rest", "g", F.col("p").alias("pb"))
-    swaps = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1, F.lit(1)), F.substr(s, i, F.lit(1)), F.substr(s, i + 2)))
-    near = (
-        x.join(y, ["rest", "g"])
-        .where("a < b and abs(pa - pb) <= 1 and abs(length(ta) - length(tb)) <= 1")
-        .where((F.levenshtein("ta", "tb", 1) == 1) | ((F.length("ta") == F.length("tb")) & F.array_contains(swaps(F.col("ta")), F.col("tb"))))
-        .select("a", "b", "ta", "tb", "rest")
-        .distinct()
-    )
-    near = checkpointed(near)
+
+
+def typing_errors(keys: DataFrame) -> DataFrame:
+    """(a, b): pairs of keys that differ by typing errors, in any number of tokens. keys: (key) distinct, tokens after the first colon.
+
+    Each key is read as every name it may stand for: any of its tokens may be replaced by one that it is a typing error of, as
+    long as the soft weighted similarity to the name so made stays at SIMILARITY. Keys that can stand for one name meet
+    there, whether it occurs or not, and are linked with the key nearest to it if the dissimilarities of both add up to no
+    more than 1 - SIMILARITY. Two keys whose tokens are equal or similar one by one always meet, at the better of each two tokens.
+    """
+    each = keys.select("key", F.posexplode(F.split(F.substring_index("key", ":", -1), " ")).alias("i", "tok")).where("tok <> ''")
+    counts = checkpointed(each.select("key", "tok").distinct().groupBy("tok").agg(F.count("*").alias("n")))
     total = keys.count()
     weight = lambda n: F.log(1 + F.lit(float(total)) / n)
-    shared = (
-        near.select("a", "b", F.explode(F.split("rest", " ")).alias("tok")).where("tok <> '' and not endswith(tok, ':')").join(df_tok, "tok")
-        .groupBy("a", "b").agg(F.sum(weight(F.col("n"))).alias("w_rest"))
+    pairs = checkpointed(similar_tokens(counts))
+    pair_weight = (weight(F.col("n")) + weight(F.col("n_alt"))) / 2
+    likeness = 1 - 1 / F.greatest(F.length("tok"), F.length("alt"))
+    alts = pairs.groupBy("tok").agg(F.collect_list(F.struct(F.col("alt").alias("t"), (pair_weight * likeness).alias("gain"), pair_weight.alias("w"))).alias("alts"))
+    itself = F.struct(F.col("tok").alias("t"), weight(F.col("n")).alias("gain"), weight(F.col("n")).alias("w"))
+    readings = counts.join(alts, "tok", "left").select("tok", "n", F.concat(F.array(itself), F.coalesce("alts", F.array().cast("array<struct<t:string,gain:double,w:double>>"))).alias("options"))
+    spelled = (
+        salted_lookup(each, readings, "tok", "key", "n").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "options"))).alias("es"))
+        .select("key", F.transform("es", lambda e: e["options"]).alias("es"))
     )
-    na, nb = F.col("n_a"), F.col("n_b")
-    scored = (
-        near.join(shared, ["a", "b"])
-        .join(df_tok.select(F.col("tok").alias("ta"), F.col("n").alias("n_a")), "ta")
-        .join(df_tok.select(F.col("tok").alias("tb"), F.col("n").alias("n_b")), "tb")
-        .withColumn("w", (weight(na) + weight(nb)) / 2)
-        .withColumn("s", 1 - 1 / F.greatest(F.length("ta"), F.length("tb")))
-        .withColumn("sim", (F.col("w_rest") + F.col("w") * F.col("s")) / (F.col("w_rest") + F.col("w")))
-    )
-    established = (F.least(na, nb) >= ESTABLISHED) & (F.least(na, nb) >= COMPARABLE * F.greatest(na, nb))
-    known = sorted(GIVEN_NAMES)
-    established = established | (F.col("ta").isin(known) & F.col("tb").isin(known))
-    return scored.where((F.col("sim") >= SIMILARITY) & ~established).select("a", "b").distinct()
+    spelled = checkpointed(spelled.withColumn("ways", F.aggregate("es", F.lit(1.0), lambda n, o: n * F.size(o))))
+    most = (1 - SIMILARITY) * F.aggregate("es", F.lit(0.0), lambda w, os: w + F.array_max(F.transform(os, lambda o: o["w"])))
+    first = F.array(F.struct(F.array().cast("array<string>").alias("ts"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("w")))
+
+    def extend(ways: Column, options: Column) -> Column:
+        grown = F.flatten(F.transform(ways, lambda a: F.transform(options, lambda o: F.struct(F.concat(a["ts"], F.array(o["t"])).alias("ts"), (a["gain"] + o["gain"]).alias("gain"), (a["w"] + o["w"]).alias("w")))))
+        return F.filter(grown, lambda a: a["w"] - a["gain"] <= most + 1e-9)  # no name so begun is lost that could still reach the similarity
+
+    meant = (
+        spelled.where(F.col("ways") <= MOST_WAYS).select("key", F.explode(F.aggregate("es", first, extend)).alias("m"))
+        .select("key", F.concat(F.substring("key", 1, 2), F.array_join(F.array_sort("m.ts"), " ")).alias("name"), (1 - F.col("m.gain") / F.col("m.w")).alias("d"))
+        .where(F.col("d") <= 1 - SIMILARITY + 1e-9)
+    )
+    links = linked_by_name(meant)
+    if spelled.where(F.col("ways") > MOST_WAYS).limit(1).count():
+        links = links.unionAll(_long_names(spelled, pairs)).distinct()
+    return links
+
+
+def linked_by_name(meant: DataFrame) -> DataFrame:
+    """(a, b): keys linked with the one nearest to a name that both can stand for. meant: (key, name, d)."""
+    meant = checkpointed(meant)
+    centre = meant.groupBy("name").agg(F.min(F.struct("d", "key")).alias("c"), F.count("*").alias("n")).where("n > 1").select("name", "c.d", "c.key")
+    centre = centre.withColumnsRenamed({"d": "d_near", "key": "near"})
+    return (
+        meant.join(centre, "name").where((F.col("key") != F.col("near")) & (F.col("d") + F.col("d_near") <= 1 - SIMILARITY + 1e-9))
+        .select(F.least("key", "near").alias("a"), F.greatest("key", "near").alias("b")).distinct()
+    )
+
+
+def _long_names(spelled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the same for keys with more than MOST_WAYS readings, which are not spelled out: they meet by the classes of their tokens.
+
+    Similar tokens have one class (connected component), so two keys whose tokens are similar one by one have the same
+    classes. Such keys have a dozen ambiguous tokens or more, so few share all classes; their tokens are compared pair by pair, those of one class in their order.
+    """
+    classes = components(pairs.select(F.col("tok").alias("a"), F.col("alt").alias("b"))).select(F.col("node").alias("tok"), "label")
+    tokens = spelled.select("key", F.explode("es").alias("o")).select("key", F.col("o")[0]["t"].alias("tok"), F.col("o")[0]["w"].alias("w"))
+    named = tokens.join(classes, "tok", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("label", "tok").alias("c"), "tok", "w"))).alias("ts"))
+    long = spelled.where(F.col("ways") > MOST_WAYS).select("key")
+    named = checkpointed(named.withColumn("sign", F.concat(F.substring("key", 1, 2), F.array_join(F.transform("ts", lambda t: t["c"]), " "))))
+    mine = named.join(long, "key", "left_semi").select(F.col("key").alias("a"), "sign", F.col("ts").alias("ta"))
+    same = mine.join(named.select(F.col("key").alias("b"), "sign", F.col("ts").alias("tb")), "sign").where("a <> b")
+    zipped = F.arrays_zip("ta", "tb")
+    likeness = lambda z: F.when(z["ta"]["tok"] == z["tb"]["tok"], 1.0).when(one_error(z["ta"]["tok"], z["tb"]["tok"]), 1 - 1 / F.greatest(F.length(z["ta"]["tok"]), F.length(z["tb"]["tok"]))).otherwise(0.0)
+    w = lambda z: (z["ta"]["w"] + z["tb"]["w"]) / 2
+    gain = F.aggregate(zipped, F.lit(0.0), lambda acc, z: acc + w(z) * likeness(z))
+    return same.where(gain >= SIMILARITY * F.aggregate(zipped, F.lit(0.0), lambda acc, z: acc + w(z)) - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,19 +292,17 @@ def meant_by(asking: DataFrame, holding: DataFrame) -> DataFrame:
     asking (form, middle, ask), holding (entity, m, ask). Middle initials must not contradict; a single entity with
     the same middle initials wins over others without any.
     """
+    # whether one entity or several hold a token is told by the least and the greatest: one row for each token and middle initials
+    held = holding.groupBy("ask", "entity").agg(F.max("m").alias("m")).groupBy("ask", "m").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
     asked = (
-        asking.join(holding.groupBy("ask", "entity").agg(F.max("m").alias("m")), "ask")
-        .groupBy("form", "middle", "entity")
-        .agg(F.max("m").alias("m"))
+        asking.join(held, "ask")
         .where("middle = '' or m = '' or startswith(m, middle) or startswith(middle, m)")
         .withColumn("exact", (F.col("middle") != "") & (F.col("m") == F.col("middle")))
     )
-    by_exact = F.min(F.when(F.col("exact"), F.col("entity")))
-    counts = asked.groupBy("form").agg(
-        F.count_if("exact").alias("exact"), F.count("*").alias("n"), by_exact.alias("e1"), F.min("entity").alias("e2")
-    )
-    return counts.select(
-        "form", F.when(F.col("exact") == 1, F.col("e1")).when((F.col("exact") == 0) & (F.col("n") == 1), F.col("e2")).alias("meant")
+    exactly = lambda c: F.when(F.col("exact"), F.col(c))
+    found = asked.groupBy("form").agg(F.min(exactly("lo")).alias("e1"), F.max(exactly("hi")).alias("e2"), F.min("lo").alias("a1"), F.max("hi").alias("a2"))
+    return found.select(
+        "form", F.when(F.col("e1") == F.col("e2"), F.col("e1")).when(F.col("e1").isNull() & (F.col("a1") == F.col("a2")), F.col("a1")).alias("meant")
     ).where("meant is not null")
 
 

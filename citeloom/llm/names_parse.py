@@ -77,7 +77,8 @@ def parse(spelling: str) -> tuple[str, list[str], list[str], bool]:
     plain = re.sub(r"[\u2018\u2019'`\"]", "", plain)
     words = re.findall(r"[^\W_]+(?:-[^\W_]+)*", plain)
     low = [w.lower().translate(_SPECIAL) for w in words]
-    if len(low) >= 3 and any(w in ORG_WORDS for w in low):
+    # an organisation by its kind, or, should that word be misspelt, by a word that no person's name has
+    if len(low) >= 3 and any(w in ORG_WORDS or w in ("of", "for") for w in low):
         return "org", sorted({ORG_WORDS.get(w, w) for x in low for w in x.split("-") if w not in ORG_STOP}), [], False
     long = sum(len(w) > 3 for w in low)
     shouting = all(x.isupper() for x in words if len(x) > 3)  # then capitals say nothing about initials

@@ -1,3 +1,4 @@
+import itertools
 import math
 from collections import Counter
 
@@ -54,33 +55,110 @@ def test_edge_cases(spark):
     assert sorted(r[0] for r in split.collect()) == ["A", "B", "E", "F", "G", "and", "{C and D}"]
 
 
-def test_typing_errors_equal_brute_force(spark):
+def test_errors_in_several_tokens(spark):
+    for same in (
+        ["Katherine Montgomery", "Katherin Montgomry", "Kahterine Montgomary", "Montgomrey, Katherine"], ["Alessandro Bianchi", "Alesandro Biancchi", "Alessadnro Bianhci"],
+        ["{Vornheim Institute of Coastal Robotics}", "{Vornhiem Institute of Coatsal Robotics}", "{Vornheim Insttute of Coastal Robtics}"], ["Odalyrix Venzowulf", "Odalyrixx Venzowulf", "Odalyrix Vnezowulf"],
+    ):
+        together(spark, same, ["Katharina Monteverde", "Alessia Bianco", "Odalyrix Ventowuld"])
+
+
+def spoiled(rnd, word):
+    i = rnd.randrange(len(word) - 1)
+    x = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+    return rnd.choice([word[:i] + word[i + 1 :], word[:i] + x + word[i:], word[:i] + x + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :]])
+
+
+def test_recall_and_precision_on_generated_errors(spark):
+    """Names of invented syllables with one or two errors, each in a word of five letters or more: nine in ten are found, and nothing else."""
     import random
 
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randint(3, 5))) + rnd.choice(["", "n", "r", "s"])
+    given, truth = [word() for _ in range(25)], {}
+    for i in range(150):
+        first, last = rnd.choice(given), word()
+        variants = {(first, last), (spoiled(rnd, first), last), (first, spoiled(rnd, last)), (spoiled(rnd, first), spoiled(rnd, last))}
+        for v in variants:
+            truth[" ".join(w.capitalize() for w in v)] = i
+    got = {}
+    for g in classes(spark, list(truth)):
+        for n in g:
+            got[n] = g[0]
+    pairs = lambda of: {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+    want, found = pairs(truth), pairs(got)
+    assert len(want & found) >= 0.9 * len(want) and len(want & found) >= 0.99 * len(found), (len(want), len(found), len(want & found))
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    edits = {a[:i] + a[i + 1 :] for i in range(len(a))}
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1 or any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+    return b in edits if len(a) > len(b) else any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_force(keys):
+    """The pairs of keys whose tokens are equal or similar one by one, with few enough errors to the better name of both."""
+    tokens = {k: k[2:].split() for k in keys}
+    n = Counter(t for ts in tokens.values() for t in set(ts))
+    weight = lambda t: math.log(1 + len(keys) / n[t])
+    own = lambda a, b: 2 * (math.sqrt(n[a]) - math.sqrt(names.ERROR_RATE * n[b])) >= names.DEVIATIONS
+
+    def meet(a, b):
+        """(the better token, (gain, weight) of a, of b), None if they are not similar."""
+        if a == b:
+            return [(weight(a), weight(a))] * 2
+        worse, better = sorted((a, b), key=lambda t: (n[t], [-ord(c) for c in t]))
+        if not near(a, b) or own(worse, better):
+            return None
+        w = (weight(a) + weight(b)) / 2
+        wrong, right = (w * (1 - 1 / max(len(a), len(b))), w), (weight(better), weight(better))
+        return [wrong, right] if worse == a else [right, wrong]
+
+    out = set()
+    for x in keys:
+        for y in keys:
+            if x < y and len(tokens[x]) == len(tokens[y]):
+                for order in itertools.permutations(tokens[y]):
+                    met = [meet(a, b) for a, b in zip(tokens[x], order)]
+                    if all(met) and sum(1 - sum(g for g, _ in side) / sum(w for _, w in side) for side in zip(*met)) <= 1 - names.SIMILARITY + 1e-9:
+                        out.add((x, y))
+    return out
+
+
+def groups(pairs):
+    parent = {}
+    root = lambda x: x if parent.setdefault(x, x) == x else root(parent[x])
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    return {frozenset(y for y in parent if root(y) == root(x)) for x in list(parent)}
+
+
+@pytest.mark.parametrize("ways", [names.MOST_WAYS, 1])
+def test_typing_errors_equal_brute_force(spark, monkeypatch, ways):
+    import random
+
+    monkeypatch.setattr(names, "MOST_WAYS", ways)
     rnd = random.Random(1)
-    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(3, 9))) for _ in range(60)]
-    words += [w[:k] + w[k + 1] + w[k] + w[k + 2 :] for w in words[:30] for k in [rnd.randint(0, len(w) - 2)]] + [w[1:] for w in words[30:45]]
-    keys = sorted({f"p:{rnd.choice(['anna', 'bert'])} {w}" for w in words})
-
-    def near(a, b):
-        if abs(len(a) - len(b)) > 1 or a == b:
-            return False
-        edits = {a[:i] + a[i + 1 :] for i in range(len(a))}
-        if len(a) == len(b):
-            return sum(x != y for x, y in zip(a, b)) == 1 or any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
-        return b in edits if len(a) > len(b) else any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
-
-    df = Counter(t for k in keys for t in k[2:].split())
-    weight = lambda *ts: sum(math.log(1 + len(keys) / df[t]) for t in ts) / len(ts)
-
-    def similar(g, a, b):
-        rest, w = weight(g), weight(a, b)
-        return (rest + w * (1 - 1 / max(len(a), len(b)))) / (rest + w) >= names.SIMILARITY
-
-    established = lambda a, b: min(df[a], df[b]) >= names.ESTABLISHED and min(df[a], df[b]) >= names.COMPARABLE * max(df[a], df[b])
-    want = {(x, y) for x in keys for y in keys if x < y for (g, a), (h, b) in [(x[2:].split(), y[2:].split())] if g == h and near(a, b) and min(len(a), len(b)) >= names.Q and similar(g, a, b) and not established(a, b)}
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(3, 9))) for _ in range(40)]
+    base = [[rnd.choice(["anna", "bert", "carolin"]), w] for w in words] + [rnd.sample(words, 3) for _ in range(15)]
+    base += [[spoiled(rnd, w) if rnd.random() < 0.6 else w for w in ws] for ws in base for _ in range(3)]
+    keys = sorted({"p:" + " ".join(sorted(ws)) for ws in base})
+    want = brute_force(keys)
     got = {tuple(r) for r in names.typing_errors(spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
-    assert got == want and len(want) > 10
+    if ways == names.MOST_WAYS:
+        assert len(want) > 15 and groups(got) == groups(want)
+    else:  # tokens of one class are compared in their order, so a pair at the bound may differ
+        within = lambda pairs, gs: sum(any(a in g and b in g for g in gs) for a, b in pairs)
+        assert within(got, groups(want)) == len(got) and within(want, groups(got)) >= 0.95 * len(want)
+
+
+def test_established_names_are_told_by_counts():
+    """Equally common tokens are errors of each other only while few names have them; common ones only at a share above that of errors."""
+    value = lambda a, b: 2 * (math.sqrt(a) - math.sqrt(names.ERROR_RATE * b)) >= names.DEVIATIONS
+    assert not value(1, 1) and not value(2, 10) and value(6, 8) and not value(8, 400) and not value(800, 40_000) and value(40, 400) and value(4_000, 40_000)
 
 
 @pytest.mark.parametrize("spelled, full, initials", [("KF Rigrebror", ["rigrebror"], ["k", "f"]), ("Rigrebror, Ted", ["rigrebror", "ted"], []), ("DR Kanbamtoul", ["kanbamtoul"], ["d", "r"]), ("LA Dailparbe", ["dailparbe"], ["l", "a"]), ("AL Bresnaim", ["bresnaim"], ["a", "l"]), ("Al Bresnaim", ["al", "bresnaim"], []), ("AL BRESNAIM", ["al", "bresnaim"], []), ("DE RIGREBROR, YUSUF", ["rigrebror", "yusuf"], []), ("TEMDU{\\V{S}}TRU, ANNA", ["temdustru", "anna"], []), ("Grimz{\\aa}irnul, Zachary", ["grimzairnul", "zachary"], [])])
