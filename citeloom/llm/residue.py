@@ -1,38 +1,44 @@
 """Template residue, filler, error pages and demands for scripts in place of content.
 
-Each text is read line by line and sentence by sentence. A sentence is evidence if it has the shape of residue:
+Every line of every text is normalised (case and white space; in evidence numbers too) and counted by host. Lines on more than BOILERPLATE_SHARE
+of a host's documents are its boilerplate (navigation, footers) and are subtracted. What is left of a document is its
+residual: its lines with evidence, and content. A document whose residual holds evidence is residue. Evidence may be boilerplate
+too (a footer that asks for scripts): a line that stands beside more content than evidence on as large a share of a
+host's documents is subtracted from those; a page of which nothing else is left is judged by it, however often it occurs.
+
+Evidence is found sentence by sentence, by features:
 
 placeholder  an unfilled field ({{x}}, ${x}, <%= x %>, <<x>>, %x%, __x__, [insert x], (x here), a format string), or a
              sentence made of blanks (NaN, None, N/A, ___, ??, XXX) where values belong;
-filler       pseudo-Latin, one or two words repeated, or an announcement of sample text;
-error        an error page, a stack trace, a refused or failed request, an interstitial page;
-script       a demand for scripts, cookies or another browser, in four languages.
-
-Sentences that speak about or quote such things (they name templates, markers, logs, crawlers and so on, and do so in
-running prose) are no evidence. Markers and syntax of LaTeX, Markdown and [CITATION] are no fields.
+filler       pseudo-Latin by its share of stems, one or two words repeated, an announcement of sample text, an order to replace it;
+error        codes, traces and error objects by their syntax; else points for what a sentence joins: a failure, a thing that
+             fails (page, server, session), a request of a reader, an apology, brevity;
+script       what runs in a browser together with its being off, missing or asked for.
 
-Evidence lines are counted, normalised, by host. A line that stands beside other text on at least BOILERPLATE_SHARE of a
-host's documents (and on BOILERPLATE_DOCS of them) is boilerplate of the site and is subtracted there; lines without evidence need no subtracting, since
-they cannot be evidence in the residual. A document whose residual holds evidence is residue.
+The concepts are word lists in several languages, fixed values; what decides is how many of them a sentence joins, so wordings need not
+be known. A sentence with points for LIKELY counts only in a line without more text of other kinds. Sentences that report such
+things (past tenses, quotation, examples, percentages, words of studies) and have seven words or more are no evidence.
+Markers and syntax of LaTeX, Markdown and [CITATION] are no fields.
 
 Defined cases: null, empty and blank texts are no residue; a null host is a host of its own; repeated documents are
-judged each; texts are read whole. Only evidence rows are shuffled, so neither a hot host nor long texts gather anywhere.
+judged each, but count once for what recurs beside content; texts are read whole. Texts are never shuffled, only hashes
+of lines; counts are combined before the shuffle, and documents of a hot host are spread over its copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import checkpointed
+from citeloom.session import checkpointed, salted_lookup
 
-BOILERPLATE_SHARE, BOILERPLATE_DOCS = 0.05, 50
-#: A line is boilerplate only beside this much other text; a page that is nothing but the line is residue, however often it occurs.
-CONTENT_CHARS = 200
+#: A line is boilerplate of a host if it is on more than this share of its documents, at so many standard deviations.
+BOILERPLATE_SHARE, Z = 0.05, 3.0
 
 _I = re.IGNORECASE
 _NAME = r"[A-Za-z][\w .\-]{0,40}"
@@ -57,206 +63,302 @@ LATIN = (
     "lorem ipsum dolo amet conse adipi elit eius temp incid labor magna aliq enim mini veni quis nostr exerc ulla nisi comm duis aute irur "
     "repre volup veli cill fugi null paria excep occae cupid proid culp offic deser moll anim seddo exeac sitan utenim sint sunt"
 ).split()
-SAMPLE_ANY = re.compile(
-    r"\b(?:sample|mock|dummy|demo|example|temporary|placeholder|filler|fake)\s+(?:paragraph\s+)?(?:text|copy|content|wording|paragraph|abstract)\b.{0,25}"
-    r"(?:fill the page|layout only|nothing more|designer|will be replaced|until the real|goes here|$)",
+
+# The concepts below are what notices are made of. A sentence is judged by which of them it joins, not by its wording.
+#: What a notice is about.
+THING = re.compile(
+    r"\b(?:pages?|sites?|website|web ?page|urls?|links?|address|files?|documents?|pdf|articles?|papers?|records?|items?|entry|entries|abstract|contents?|resources?|previews?|attachments?|references?|viewer|reader|widget|app|application|object|homepage"
+    r"|servers?|services?|hosts?|gateway|connection|network|database|archive|index|system|requests?|quer(?:y|ies)|lookups?|search|sessions?|accounts?|passwords?|logins?|ip|quota|rate limit|access|permissions?|identifiers?|dois?|institution|subscriptions?|templates?|login"
+    r"|seite|dokument|artikel|server|dienst|datei|eintrag|adresse|anfrage|zugriff|page|fichier|serveur|l.article|article|requête|adresse|accès|página|documento|artículo|archivo|servidor|servicio|registro|recurso|enlace|solicitud|acceso|pagina|arquivo|artigo|ficheiro)\b"
+    r"|ページ|ファイル|サーバー?|サイト|リンク|페이지|서버|파일|문서|页面|頁面|文件|服务器|网页|網頁",
+    _I,
+)
+#: Ways in which a thing fails that ordinary prose hardly uses.
+FAILS = re.compile(
+    r"\b(?:went wrong|impossible (?:de |d.)(?:afficher|charger|trouver|accéder|ouvrir)|no se puede (?:mostrar|abrir|acceder|encontrar|cargar)|(?:kann|konnte) nicht (?:\w+ )?(?:angezeigt|geöffnet|geladen|gefunden)|errors? (?:has |have )?occurred|(?:can.?t|cannot|can not|couldn.?t|could not|unable to|failed to) (?:be )?(?:found|find (?!an? |any |evidence|no )|locate[d]?|load(?:ed)?|open(?:ed)?|display(?:ed)?|render(?:ed)?|reach(?:ed)?|connect|retrieve[d]?|process(?:ed)?|complete[d]?|start|access(?:ed)?|read)"
+    r"|(?:page|file|document|url|address|resource|article|record|identifier|object|item|abstract|paper|site|host|entry|content)(?: is| was|)(?:n.t| not) (?:be |currently )?(?:found|available|recogni[sz]ed)|(?:technical|server) (?:difficult\w+|problems?)|connect(?:ion)? (?:error|failure)|that.s an error|error (?:establishing|connecting|loading|opening|reading|processing)|do(?:es)?(?: not|n.t) have (?:the |sufficient )?(?:permissions?|access|rights)|you have been (?:logged|signed) out|not found on this|nothing (?:was )?found|0 (?:results|hits|matches)|no (?:results?|records?|documents?|matches|entries) (?:were )?(?:found|matched|match)|do(?:es)?(?: not|n.t) exist|no longer (?:available|online|exists?|here)"
+    r"|access (?:is |was |to \w+ (?:is )?)?(?:denied|forbidden|restricted|blocked)|permission (?:is )?(?:denied|required)|not (?:authori[sz]ed|allowed to|permitted to|logged in)|unauthori[sz]ed|forbidden|too many (?:requests|connections)|sending \w+ too fast|rate limit(?:ed)?|requests? (?:was |has been )?(?:throttled|blocked|denied|timed out)|quota (?:is |has been )?(?:used up|exceeded|reached)"
+    r"|(?:bad|proxy|gateway) (?:gateway|request|error|time-?out)|internal server error|service (?:is )?(?:temporarily )?unavailable|temporarily (?:unavailable|down|offline|out of service)|currently (?:unavailable|down|offline|under)|(?:is|are|be) (?:down(?! the)|offline|under maintenance|being rebuilt)\b|password protected|zero pages|(?:session|link|token|page|password)(?: has| is)? expired"
+    r"|does not subscribe|ip (?:address )?(?:has been|is|was) blocked|are not a robot|out of memory|lookup failed|connection (?:refused|reset|timed out|closed)|(?:has|have) been (?:moved|deleted|removed|blocked|suspended|disabled|moved or deleted)|withdrawn from this|missing from (?:our|the|this) (?:archive|server|site|index)"
+    r"|nicht (?:gefunden|verfügbar|erreichbar|gefunden werden|vorhanden|geladen werden)|existiert nicht|zugriff verweigert|vorübergehend|introuvable|indisponible|non trouvée?|n.existe (?:pas|plus)|accès (?:refusé|interdit)|n.a pas (?:été|pu)|n.est pas|est réservée? aux|no (?:se (?:ha )?(?:encontr\w+|pudo)|encontrad[oa]|existe|disponible|está disponible)|no está|acceso denegado|não (?:foi )?encontrad[oa]|non (?:è stata )?trovat[oa]|pagina non)\b"
+    r"|見つかりません|見つかりませんでした|存在しません|利用できません|찾을 수 없|존재하지 않|사용할 수 없|找不到|未找到|不存在|无法(?:访问|找到|显示)|無法|拒绝访问",
+    _I,
+)
+#: Ways of failing that prose uses too: they count together with a thing or a reader.
+MAY_FAIL = re.compile(
+    r"\b(?:not found|failed|failure|unavailable|missing|moved|deleted|removed|withdrawn|expired|blocked|denied|restricted|throttled|exceeded|corrupt(?:ed)?|damaged|encrypted|offline|down|paused|timed? ?out|closed|empty|not (?:available|recogni[sz]ed|readable|supported|loaded|load)|stays empty|used up|(?:requires?|requiere|nécessite|benötigt|erfordert) (?:an? |una? |une? |eine? )?(?:\w+ )?(?:password|subscription|login|account|payment|authori[sz]ation|authentication|permission|contraseña|suscripción|cuenta|sesión|permiso|autorización|identificación|compte|abonnement|mot de passe|authentification|autorisation|anmeldung|konto|passwort|abo)|erforderlich|nur für|overloaded|invalid|temporalmente|fehlgeschlagen|échoué|falló)\b",
     _I,
 )
-#: The shapes below begin where the sentence begins: they are matched there, not searched for.
-SAMPLE = re.compile(
-    r"^(?:please\s+)?(?:replace|overwrite|substitute)\b.{0,30}\b(?:with|by)\b.{0,12}\b(?:your|the final|the real|actual)\b"
-    r"|^(?:please\s+)?(?:your|insert|enter|type|add|write|paste|put)\b.{0,40}\b(?:here|below|before submission|in this (?:box|field|space))\W*$|^use this space for\b|^delete this line and\b"
-    r"|^(?:TODO|TBD|TBA|FIXME|XXX|to do)\b\s*(?:[-:–—]|$|\()|^\(?pending\)|^FIXME\b.{0,20}\b(?:write|add|to follow|goes here|before submission)\b|^(?:to be (?:written|added|completed|filled in|announced|determined))\b|^(?:abstract|text|content|title) (?:goes here|to follow|to be added)"
-    r"|^Score: <|^Confidence: <",
+#: Requests that notices make of a reader.
+PROMPT = re.compile(
+    r"\b(?:(?:please )?try (?:again|later|reloading)|retry in|please wait|one moment|just a moment|hold on|(?:sign|log) ?in\b.{0,24}\b(?:to|with|first)|login needed|please (?:sign|log) ?in|(?:verify|confirm|prove) (?:that )?you(?:.re| are)|checking (?:your|if the)|(?:come|check) back (?:later|soon|again)|verifying (?:you|your|that)|confirming your|security check|not a robot|you are (?:a )?human|captcha|complete the (?:challenge|captcha|check)|tick the box"
+    r"|(?:reload|refresh) (?:the|this|your) (?:page|viewer|browser|site|window)|return to (?:the )?(?:home|main|start|previous|search)|back to (?:the )?(?:home|start|main)|(?:go|going) back|back (?:shortly|soon)|(?:check|verify) the (?:address|url|identifier|spelling|link)|did you (?:mis)?(?:type|spell|mean)|contact (?:the|your|us|support|our)\b|do not close|(?:thank you )?for your patience|be patient|purchase this|buy this|subscribe to (?:read|view|continue)|members may|ask the (?:owner|administrator)|download it to|see this\b|looking for\b"
+    r"|versuchen sie|melden sie|wenden sie|bitte (?:prüfen|warten|laden)|zurück zur|startseite|zu einem späteren|veuillez|réessayer|(?:vous|s.)identifier|vous identifier|patienter|retour à|plus tard|inténte\w+|vuelva|volver al|inicie sesión|identifíquese|consulte al|más tarde|por favor|tente novamente|riprova)\b"
+    r"|お待ちください|もう一度|再度|나중에|다시 시도|잠시|请稍[后候]|重试|稍後",
     _I,
 )
-SCRIPT_NOUN = r"(?:java\s?scripts?|js|(?:client-side )?scripts?|scripting|active content|cookies?|skripte|noscript)"
-SCRIPT = re.compile(
-    r"^(?:to (?:proceed|continue|read|view)|please|kindly|you (?:must|need|have|should)|enable|activate|allow|permit|turn on|switch on|this (?:page|site|app|reader|viewer)|the (?:page|site|widget|viewer|reader)|noscript|for full|without|fetching|loading|if nothing|if you|\(?scripts? required)\b"
-    rf".{{0,60}}\b{SCRIPT_NOUN}\b|^\W*{SCRIPT_NOUN}(?: and {SCRIPT_NOUN})?\s+(?:is|are|must|seems?|appears?|not|needs?|required|disabled|blocked|turned|off|has|have)\b|^enable\b.{{0,40}}\b{SCRIPT_NOUN}\b"
-    rf"|^(?:bitte|sie müssen|ohne|aktivieren|diese seite|um fortzufahren|für diese)\b.{{0,70}}\b{SCRIPT_NOUN}\b|^(?:veuillez|autorisez|activez|ce site|cette page|vous devez|pour (?:lire|afficher|continuer))\b.{{0,70}}\b(?:{SCRIPT_NOUN}|les scripts)\b"
-    rf"|^(?:permita|active|habilite|debe|este sitio|esta página|por favor|necesita|para (?:leer|ver|continuar))\b.{{0,70}}\b{SCRIPT_NOUN}\b"
-    r"|^(?:your browser|this version of your browser|the browser you use)\b.{0,20}\b(?:is|cannot|can not|does|has)\b|^noscript\b|^(?:diese anwendung|dieser artikel|der artikel|cette application|esta aplicación)\b.{0,60}\b(?:javascript|skripte|scripts|cookies)\b|^install a modern\b|^the reader cannot start|^some features will not work|^disable your ad ?blocker|^then disable any ad",
+APOLOGY = re.compile(
+    r"^\W*(?:(?:we(?:.re| are) )?(?:very |so )?sorry(?! to say)|oops|whoops|uh-?oh|oh no|apologies|we apologi[sz]e|désolée?s?|lo sentimos|entschuldigung|desculpe|spiacenti|ops)\b"
+    r"|^\W*(?:unfortunately|leider|error|fehler|erreur|warning|notice|hinweis|aviso|avis)\s*(?:[:.!,]|$)|^申し訳|^죄송|^抱歉|^对不起",
     _I,
 )
-SCRIPT_ANY = re.compile(rf"\({SCRIPT_NOUN} required\)", _I)
-#: Whole sentences of error and interstitial pages.
-ERROR_WHOLE = re.compile(
-    r"^(?:\W*)(?:(?:login needed|notice|hinweis|error|sorry|warning|oops|whoops|avis|aviso)\s*[:!]\s*)?(?:access (?:is )?(?:denied|forbidden)|permission (?:required|denied)|not authori[sz]ed|forbidden|unauthori[sz]ed|not found|page not found|internal server error|bad gateway|bad request|service unavailable|gateway time-?out"
-    r"|too many requests|rate limit exceeded|request throttled|quota (?:used up|exceeded)|lookup failed|nothing found|no results(?: found)?|\d+ results|no records matched your query|identifier not recogni[sz]ed|oops|whoops|fehler|erreur|error"
-    r"|loading|please wait|starting reader|fetching viewer|one moment|just a moment|download it to view it|sign in to continue|tick the box to continue|complete the challenge below|do not close this tab|thank you for your patience|back shortly|check the identifier|check the address and try again|did you mistype the doi\?|return to the homepage)\s*(?:[.!…:]*|\.\.\.)\s*$",
+#: What points at the page itself or at its reader.
+DEIXIS = re.compile(r"\b(?:this|your|you|requested|our|diese[rs]?|angeforderte\w*|gesuchte\w*|cette?|demandée?|est[ea]|solicitad[oa]|this)\b", _I)
+WAITING = re.compile(r"^\W*(?:loading|fetching|starting|redirecting|connecting|processing|laden|chargement|cargando|please wait|wird geladen|読み込み中|로딩|加载中)\b.{0,30}$|^\W*(?:loading|fetching|starting|redirecting)\s+(?:the )?(?:viewer|reader|page|document|pdf|content)", _I)
+READER = re.compile(r"\b(?:you|your|yours|please|kindly|sie|ihr|ihre[nmrs]?|bitte|vous|votre|vos|veuillez|usted|su|por favor|você|seu)\b|ください|하십시오|하세요|请", _I)
+#: What runs in a browser, and what is asked of it.
+SCRIPT = re.compile(r"\b(?:java\s?scripts?|js|scripts?|scripting|active content|cookies?|skripte?n?|noscript|ad[ -]?block(?:ers?|ing)?|(?:your|the|this|ihr|votre|su|modern|supported|another|different) browsers?|browser (?:is|cannot|does|you use)|navegador|navigateur)\b|JavaScript|자바스크립트|クッキー", _I)
+ABLE = re.compile(
+    r"\b(?:enabl\w*|activat\w*|re-?enable|allow(?:ed|s|ing)?|permit\w*|(?:turn|switch)(?:ed|ing)? (?:it |them |\w+ )?(?:on|off)|disabl\w*|block(?:ed|s|ing)?|requir\w*|needs?|needed|necessary|must be|have to|not (?:supported|detected|enabled|available|load)|(?:is|are|seems?(?: to be)?) (?:off|on|disabled|blocked|turned off)|unsupported|too old|out of date|outdated|upgrade|update|cannot (?:render|display|run|start)|does not support|(?:un)?support(?:s|ed)?|accept"
+    r"|aktivier\w*|einschalten|zulassen|zuzulassen|erlauben|benötig\w*|erforderlich|müssen|ohne|activ\w*|autoris\w*|nécessit\w*|requiert|requis|doit|désactiv\w*|habilit\w*|permit\w*|necesit\w*|requier\w*|necess\w*|desactiv\w*|ative|abilit\w*|attiv\w*|refresh|first|then)\b|有効|활성화|启用|啟用|开启",
     _I,
 )
-#: Beginnings that only such pages have.
-ERROR_START = re.compile(
-    r"^(?:https?|status|error|fehler|erreur|code)(?:\s+(?:error|status|code))?\s*:?\s*[45]\d\d\b|^(?:not found|forbidden|unauthorized|internal server error|bad gateway|service unavailable|gateway time-?out|too many requests|bad request|request timeout|gone)\s*[(:\-]\s*\(?[45]\d\d|^[45]\d\d\s*[-:–]?\s+(?:not found|forbidden|internal|bad|service|unauthori|gateway|too many|error|gone|request)"
-    r"|^traceback \(most recent call last\)|^file \"[^\"]+\", line \d+, in|^\w*(?:Error|Exception)(?::\s|$)|^(?:[a-z]+\.)+[A-Z]\w*(?:Exception|Error)\b|^exception in thread|^at [\w.$]+\([\w.]*\.?\w+:\d+\)|^(?:caused by|unhandled exception|fatal error|parse error|segmentation fault|notice|warning)\s*:\s+(?:undefined|uncaught|template|too many|call to|database|out of|unexpected|cannot|allowed|maximum|connection|[\w. ]+(?:exception|error|failed|not readable|exhausted|connections))|^stack ?trace\b|^core dumped"
-    r"|^(?:runtime failure|(?:notice|warning|fatal error|error)\s*:\s*(?:division by zero|undefined))\b|^login needed\b|^we are sorry, but\b|^désolé\b|^aviso\s*:|^hinweis\s*:"
-    r"|^fetching viewer\b|^(?:unhandled|uncaught) exception\b|^(?:(?:sorry|uh-oh|oops|whoops|lo sentimos|désolé)\s*[,:!]?\s+(?:but\s+)?)?(?:the|this|that|your)\s+[\w ]{2,30}?\s*(?:you requested\s+)?(?:can.?t be found|cannot be found|could not be (?:found|loaded)|has been (?:moved|deleted|moved or deleted)|is no longer (?:online|available)|was withdrawn from this location|does not exist|is missing from our archive)\W*$"
-    r"|^(?:lo sentimos|uh-oh)\b|^(?:el|la) (?:servicio|página|documento|artículo|registro) requiere"
-    r"|^\{\s*\"(?:error|errors|status|statusCode|message|ok|code|detail|reason|fault)\"\s*:"
-    r"|^(?:please )?(?:verify|confirm|prove) that you are (?:not a robot|human)|^(?:verifying|checking|confirming)\b.{0,25}\b(?:human|your browser|your connection|robot)|^one moment\b.{0,5}(?:confirming|checking|verifying|please)|^security check in progress"
-    r"|^(?:this site|the site|this page|the archive|the index|the service|service|we|our site)\s+(?:is|are)\s+(?:currently |temporarily )?(?:down|offline|unavailable|paused|being rebuilt|under maintenance|not available)|^back shortly|^retry in \d+|^(?:please )?try again later|^you are (?:sending|not allowed)|^your (?:ip|session|institution|quota|access|request)\b.{0,30}(?:blocked|expired|does not subscribe|exceeded|denied|throttled)|^purchase this article|^members may log in|^ask the owner|^quota used|^reload the viewer|^the citation list stays empty"
-    r"|^(?:this|the) (?:pdf|document|preview|attachment|file)\s+(?:is (?:corrupt|password protected|damaged|encrypted|empty)|could not be|failed to|cannot be|has zero pages)|^(?:this|the) (?:reference|page|document|paper|record|article|item|entry|abstract|file)\s+(?:you (?:requested|are looking for)\b.{0,30}|is missing from|was withdrawn from|could not be found|was not found|cannot be found|does not exist|has (?:been )?moved|is no longer|was removed from|was moved)"
-    r"|^(?:hinweis|fehler)?\W{0,3}(?:die angeforderte|der gesuchte|das (?:angeforderte )?dokument|der dienst|die seite|der server|der artikel)\b.{0,40}(?:nicht|vorübergehend|nur für)|^(?:bitte (?:versuchen|melden|wenden|prüfen)|zurück zur startseite|zugriff verweigert)|^(?:veuillez (?:réessayer|vous|patienter|contacter)|retour à l.accueil|accès refusé)|^(?:la page|le document|le service|l.article|le serveur)\b.{0,40}(?:introuvable|indisponible|n.existe|n.a pas|n.est pas)"
-    r"|^(?:inténtelo|vuelva a intentarlo|volver al inicio|acceso denegado|consulte al administrador|inicie sesión|identifíquese|debe iniciar)|^(?:la página|el documento|el servicio|el artículo|el servidor)\b.{0,40}(?:no (?:se|está|existe|fue|ha|pudo)|temporalmente)",
+MODERN = re.compile(r"\binstall a (?:modern|newer|current|different)\b|\bupdate your browser\b|\b(?:reader|viewer|app|application|page|site) (?:cannot|can.t|will not|won.t) (?:start|load|work|display|run)\b|\bsome (?:features|parts|functions) (?:will|may) not work\b|\bbrowser (?:is|you use|cannot|can.t|does not|has).{0,40}(?:support|old|outdated|render|display|run)", _I)
+#: Code and protocols.
+STATUS = re.compile(
+    r"\b(?:https?|status|error|fehler|erreur|code|errore?)(?:[\s/:#-]+(?:\d\.\d|error|status|code))*[\s:#-]*[45]\d\d\b|^\W*[45]\d\d\s*[-:–|]?\s*(?:\w+ )?(?:not found|forbidden|error|bad|service|unauthori[sz]ed|gateway|too many|gone|request|proxy|internal|time-?out|access|page|unavailable)\b"
+    r"|\b(?:\w+ )?(?:not found|forbidden|unauthori[sz]ed|server error|gateway|unavailable|time-?out|too many requests|bad request|gone)\s*[(:\[-]\s*\(?(?:error |code |http )*[45]\d\d\b",
     _I,
 )
-#: Words of prose about residue; with them a sentence only mentions it.
-MENTION = re.compile(
-    r"\b(?:template like|is expanded|are written as|written as|the prompt has|one slot|placeholder tokens|are added to|vocabulary|denote|appeared in|was labelled|were labelled|were retried|were removed|were counted|were rendered|was counted|we followed|interviewees|annotators|crawlers|a scraper|our survey|reliable sign|we (?:study|measure|replace|removed|count|report|observed?|found)|the error message|such pages|pages (?:that|which)|sites that|messages (?:that|such as|like)|strings? (?:such as|like)|for example|e\.g\.|so that the|prior to training|in research code|documented default|released configuration|link rot)\b",
+TRACE = re.compile(
+    r"^\s*traceback \(most recent|^\s*file \"[^\"]+\", line \d+|^\s*(?:caused by:?\s*)?(?:[\w$]+\.)+\w*(?:Exception|Error)\b|^\s*\w+(?:Error|Exception)(?::\s|$)|^\s*exception in thread|^\s*at [\w.$<>]+\([\w.$]*(?:\.\w+:\d+|native method|unknown source)?\)|^\s*(?:unhandled|uncaught) (?:exception|error|\w+error)"
+    r"|^\s*(?:php )?(?:fatal error|parse error|segmentation fault|stack ?trace|core dumped|kernel panic|runtime failure)\b|^\s*(?:notice|warning|error|fatal)\s*:\s+(?:[a-z_]+\(\)|undefined|uncaught|unexpected|call to|division by|cannot|allowed memory|maximum|template|database|out of|too many|connection|[\w. ]+(?:exception|failed|not readable|exhausted))|^\s*panic: |^\s*npm err!",
     _I,
 )
+JSON_ERROR = re.compile(r"^\W{0,2}\{\s*\"(?:error|errors|status|statuscode|message|ok|code|detail|reason|fault|success|title|type)\"\s*:.{0,400}(?:error|fail|denied|forbidden|not found|unavailable|exceed|limit|quota|false|invalid|unauthori|expired|gone|missing|timeout|timed out|[45]\d\d)", _I)
+#: Announcements of sample text, and orders to replace it.
+SAMPLE = re.compile(r"\b(?:sample|mock|dummy|demo|example|temporary|placeholder|filler|fake|test|boilerplate|blind)\s+(?:\w+ )?(?:text|copy|content|wording|paragraph|abstract|sentence|title|page)\b", _I)
+SAMPLE_USE = re.compile(r"^\W*(?:this|here|just|below|you are reading|the following|some|more|only|nothing but|a |an )|\b(?:fill the page|for layout|layout only|nothing more|designer|(?:will|to) be replaced|until the (?:real|final|actual)|goes here)\b", _I)
+ORDER = re.compile(
+    r"^\W*(?:please\s+)?(?:replace|overwrite|substitute|insert|enter|type|add|write|paste|put|fill|edit|delete|use)\b.{0,40}\b(?:your|here|below|the (?:final|real|actual)|this (?:line|text|paragraph|space|box|field)|before submission)\b|^\W*(?:your|the|an?)?\s*\b\w+(?: \w+)? (?:goes here|to follow|to be (?:added|written|supplied)|here)\W*$"
+    r"|^\W*(?:TODO|TBD|TBA|FIXME|XXX|to do)\b\s*(?:[-:–—]|$|\()|^\W*\(pending\)|^\W*\(?(?:pending|to be (?:written|added|completed|filled in|announced|determined|confirmed))\b.{0,30}$|^FIXME\b|^\w+: <[\w/. -]{1,40}>\W*$",
+    _I,
+)
+#: What reports of such things have and the things themselves have not: verbs of studies, past tenses, quotation, examples, percentages, pages in the plural.
+REPORT = re.compile(
+    r"\b(?:were(?! looking)|had|they|responses|appeared|answered|observed|measured|counted|labelled|rendered|removed from"
+    r"|we (?:also |then |first )?(?:study|propose|present|show|find|found|use|train|evaluate|measure|report|observe|follow|compare|analy[sz]e|remove|collect|sample|replace|count|describe|introduce|argue|investigate|examine|consider|treat|exclude|keep|discard|drop|crawl|retr(?:y|ied))\w*"
+    r"|such as|for example|e\.g\.|so-called|in which|of which|after which|whether|how \w+|(?<![a-z] )their|that ask|said|says|stud(?:y|ies)|suggests?|corpus|dataset|experiments?|models?|method|annotators?)\b|\[CITATION\]|\d%|\\\\(?:cite|ref)",
+    _I,
+)
+#: What sentences about fields and markers have: words for the notation itself.
+NOTATION = re.compile(r"\b(?:templates?|slots?|placeholders?|tokens|vocabulary|syntax|notation|variables?|(?:are|is) (?:written|expanded|replaced|denoted|rendered) (?:as|by|with)|denotes?|such as|for example|e\.g\.|like)\b", _I)
 SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 WORD = re.compile(r"[^\W\d_]+")
-#: Cheap signs without which a sentence can hold no field, no blank, no announcement; those of blanks and samples in lower case.
+#: Cheap signs without which a sentence can hold no field, no blank; those of blanks in lower case.
 FIELD_SIGN = re.compile(r"[{«]|<[\w<%?/ ]|%\w|\[(?!CITATION\])[A-Za-z\[ ]|\$[{(\d]|here\)|\(\s*(?:please|insert|enter|add|type|fill|your|put)|@@|#\w|__", _I)
 BLANK_SIGNS = ("nan", "none", "null", "nil", "undefined", "n/a", "xx", "__", "??", "...", "###", "---", "[object", "#ref", "#value", "#name", "[]", "{}", "[ ", "{ ")
-SAMPLE_SIGNS = ("text", "copy", "content", "wording", "paragraph", "abstract")
-#: Words with which the anchored shapes begin.
-STARTS = frozenset(
-    "to please kindly you enable activate allow permit turn switch this the noscript for full without fetching loading if scripts script javascript js cookies cookie client scripting active "
-    "bitte sie ohne aktivieren diese dieser der um für veuillez autorisez activez ce cette vous pour permita habilite debe este esta por necesita para your install some disable then "
-    "login notice hinweis error sorry warning oops whoops avis aviso access permission not forbidden unauthorised unauthorized page internal bad service too rate request quota lookup nothing no "
-    "identifier fehler erreur starting one just download sign tick complete do thank back check did return http https status code gateway gone traceback file at caused unhandled fatal parse segmentation "
-    "stack core verify confirm prove verifying checking confirming security we our retry try purchase members ask reload that be die das zurück zugriff retour accès la le l inténtelo vuelva volver acceso consulte inicie identifíquese el runtime désolé "
-    "uh lo that fixme este replace overwrite substitute insert enter type add write paste put use delete todo tbd tba fixme xxx pending abstract text content title score confidence skripte java".split()
-)
+LATIN_STEMS = tuple(LATIN)
+#: The same for pseudo-Latin, samples, traces, scripts, failures and requests: parts of words, one of which each alternative above has.
+LATIN_SIGNS = tuple("ipsum dolor amet consect adipi eiusmo tempor labore aliqu venia nostru ullamc commod irure repreh volupt velit fugiat pariat excepte occaec cupidat proident deserun mollit laborum".split())
+SAMPLE_SIGNS = tuple("sample mock dummy demo example temporary placeholder filler fake test boilerplate blind".split())
+TRACE_SIGNS = ("rror", "xception", "traceback", "file \"", "at ", "notice", "warning", "panic", "core", "trace", "segmentation", "failure", "fatal")
+SCRIPT_SIGNS = ("script", "skript", "js", "active content", "cookie", "browser", "ad block", "adblock", "ad-block", "navegador", "navigateur", "install a", "start", "load", "not work", "not display", "not run", "スクリプト", "자바스크립트", "クッキー")
+FAIL_SIGNS = (
+    "wrong", "occurred", "can't", "can’t", "cannot", "can not", "couldn", "could not", "unable", "fail", "found", "avail", "recogni", "exist", "longer", "denied", "forbid", "restrict", "block", "permission", "authori", "not allowed", "not permitted", "not logged",
+    "n't ", "n’t ", "difficult", "problem", "connect", "an error", "impossible", "no se puede", "logged out", "signed out", "too many", "too fast", "rate limit", "throttl", "quota", "gateway", "request", "server", "proxy", "temporar", "currently", "offline", " down", "maintenance", "rebuilt", "password", "zero pages", "expired", "subscri", "robot", "memory", "lookup", "connection", "moved", "deleted",
+    "suspended", "disabled", "withdrawn", "missing", "nothing", "no result", "no record", "no document", "no match", "no entr", "0 results", "0 hits", "0 matches", "exceeded", "corrupt", "damaged", "encrypted", "paused", "time", "closed", "empty", "readable", "supported", "not load", "used up", "overload", "invalid",
+    "nicht", "verweiger", "vorüber", "erforder", "nur für", "fehlgeschl", "erfordert", "benötigt", "introuvable", "indisponible", "trouv", "accès", "pas ", "réservé", "échou", "nécessite", "encontr", "pudo", "no existe", "disponible", "no está", "acceso", "requiere", "temporalmente", "falló", "não ", "pagina",
+    "見つか", "存在", "利用", "찾을", "존재", "사용할", "找不到", "未找到", "不存在", "无法", "無法", "拒绝",
+)
+PROMPT_SIGNS = (
+    "come back", "check back", "again", "later", "reload", "refresh", "retry", "wait", "moment", "hold on", "sign in", "sign-in", "log in", "login", "verif", "confirm", "prove", "checking", "security check", "robot", "human", "captcha", "complete the", "tick the", "return to", "back", "address", "url", "identif", "spell", "mistype", "did you", "contact", "do not close",
+    "patien", "purchase", "buy this", "subscribe", "members may", "owner", "administrat", "download it", "see this", "looking for", "versuchen", "melden", "wenden", "bitte", "zurück", "startseite", "späteren", "veuillez", "réessay", "retour", "plus tard", "intént", "vuelva", "volver", "inicie", "consulte", "más tarde", "por favor", "novamente", "riprova",
+    "お待ち", "もう一度", "再度", "나중에", "다시", "잠시", "请稍", "重试", "稍後",
+)
+SIGNS = {"blank": BLANK_SIGNS, "latin": LATIN_SIGNS, "sample": SAMPLE_SIGNS, "trace": TRACE_SIGNS, "script": SCRIPT_SIGNS, "fail": FAIL_SIGNS, "prompt": PROMPT_SIGNS}
+CODE = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
+#: Points at which a sentence is evidence by itself, and at which it is in a line without other text.
+SURE, LIKELY = 4, 3
 
 
 def latin_share(words: list[str]) -> float:
     return sum(w.startswith(LATIN_STEMS) for w in words) / max(len(words), 1)
 
 
-LATIN_STEMS = tuple(LATIN)
+def signed(low: str, signs: list[str] | tuple[str, ...]) -> bool:
+    return any(map(low.__contains__, signs))
+
+
+def signs_of(text: str) -> dict[str, list[str]]:
+    """The signs that a text has at all: only these are looked for in its sentences."""
+    low = text.lower()
+    return {k: [x for x in v if x in low] for k, v in SIGNS.items()}
 
 
-def sentence_kind(s: str) -> str | None:
-    """The kind of evidence in one sentence, None if there is none."""
+def bare(s: str) -> str:
+    """A sentence without quotation marks around it and without marks of headings, lists and quotations."""
     core = s.strip().strip("\"'`“”")
-    core = re.sub(r"^(?:#+\s+|[*>\-•]+\s+)", "", core).strip() if core[:1] in "#*>-•" else core
-    if not core:
-        return None
-    kind = _shape(core)
-    if kind and MENTION.search(core) and len(WORD.findall(core)) >= 7:
-        return None
-    return kind
+    return re.sub(r"^(?:#+\s+|[*>\-•]+\s+)", "", core).strip() if core[:1] in "#*>-•" else core
 
 
-def _shape(core: str) -> str | None:
+def scored(core: str, signs: dict = SIGNS) -> tuple[str | None, int]:
+    """(kind, points) of one bare sentence."""
     low = core.lower()
+    kind, points = _field(core, low, signs)
+    if kind:  # the fields themselves do not tell whether a sentence speaks about fields
+        if len(WORD.findall(core)) >= 7 and NOTATION.search(SOFT_FIELD.sub(" ", FIELD.sub(" ", core))):
+            return None, 0
+        return kind, points
+    kind, points = _filler(core, low, signs)
+    if not kind:
+        kind, points = _notice(core, low, signs)
+    if kind and len(WORD.findall(core)) >= 7 and REPORT.search(core):
+        return None, 0
+    return kind, points
+
+
+def _field(core: str, low: str, signs: dict) -> tuple[str | None, int]:
     if FIELD_SIGN.search(core):
         fields = FIELD.findall(core)
-        words = WORD.findall(core) if fields else []
-        if fields and not (len(words) > 25 and len(fields) < 2):
-            return "placeholder"
+        if fields:  # several fields make a template, whatever it says; one field in a long sentence is an aside
+            return ("placeholder", SURE) if len(fields) > 1 or len(WORD.findall(core)) <= 25 else (None, 0)
         if "\\" not in core and (soft := SOFT_FIELD.findall(HTML_TAG.sub("", core))):
             inside = sum(len(WORD.findall(x)) for x in soft)
             if len(soft) >= 2 or len(WORD.findall(core)) - inside <= 3:
-                return "placeholder"
-    if any(map(low.__contains__, BLANK_SIGNS)) and (blanks := BLANK.findall(core)):
+                return "placeholder", SURE
+    if signed(low, signs["blank"]) and (blanks := BLANK.findall(core)):
         words = WORD.findall(BLANK.sub(" ", core))
         if (len(blanks) >= 2 or len(words) <= 2) and len(blanks) >= 0.2 * len(core.split()) and not re.fullmatch(r"[\s.\-_#|*=:]+", core):
-            return "placeholder"
-    first = WORD.match(low.lstrip("([¿¡"))
-    start = first[0] if first else ""
-    if start.startswith(LATIN_STEMS):
-        words = WORD.findall(core.lower())
-        if len(words) >= 4 and latin_share(words) >= 0.5:
-            return "filler"
-    if any(map(low.__contains__, SAMPLE_SIGNS)) and SAMPLE_ANY.search(core):
-        return "filler"
-    if "equired)" in core and SCRIPT_ANY.search(core):
-        return "script"
-    if start not in STARTS and first and "rror" not in low and "xception" not in low:
-        return None
-    if SAMPLE.match(core):
-        return "filler"
-    if len(core) < 220 and SCRIPT.match(core):
-        return "script"
-    if ERROR_WHOLE.match(core) or ERROR_START.match(core):
-        return "error"
-    return None
-
-
-def line_kind(line: str) -> str | None:
+            return "placeholder", SURE
+    return None, 0
+
+
+def _filler(core: str, low: str, signs: dict) -> tuple[str | None, int]:
+    if signed(low, signs["latin"]):
+        words = WORD.findall(low)
+        if len(words) >= 3 and latin_share(words) >= 0.5:
+            return "filler", SURE
+    if (signed(low, signs["sample"]) and SAMPLE.search(core) and SAMPLE_USE.search(core)) or ORDER.match(core):
+        return "filler", SURE
+    return None, 0
+
+
+def _notice(core: str, low: str, signs: dict) -> tuple[str | None, int]:
+    """A notice by what it joins: a failure with a thing, a request with a reader, a browser's script with its being off."""
+    if (signed(low, signs["trace"]) and TRACE.match(core)) or ("{" in core[:3] and JSON_ERROR.match(core)):
+        return "error", SURE
+    sorry = bool(APOLOGY.match(core))
+    waits = bool(WAITING.match(core))
+    about, fail_sign, prompt_sign = signed(low, signs["script"]), signed(low, signs["fail"]), signed(low, signs["prompt"])
+    coded = bool(CODE.search(core) and STATUS.search(core))
+    if not (sorry or waits or about or fail_sign or prompt_sign or coded):
+        return None, 0
+    n = len(WORD.findall(core))
+    if coded and (n <= 8 or STATUS.match(core) or DEIXIS.search(core) or FAILS.search(core) or PROMPT.search(core)):
+        return "error", SURE + (n <= 12) - (n > 20)
+    brief = (n <= 12) + (n <= 5)
+    if about and (SCRIPT.search(core) and ABLE.search(core) or MODERN.search(core)):
+        return "script", 2 + (n <= 20) + bool(READER.search(core)) + brief
+    if waits:
+        return "error", 2 + brief
+    fails = fail_sign and bool(FAILS.search(core))
+    may = fail_sign and not fails and bool(MAY_FAIL.search(core))
+    # a few words of request without an end are a link of the site's navigation
+    prompt = prompt_sign and bool(PROMPT.search(core)) and (n > 4 or core.endswith((".", "!", "?", "…", ":", "。")))
+    if not (sorry or fails or may or prompt):
+        return None, 0
+    thing, reader = bool(THING.search(core)), bool(READER.search(core))
+    points = 3 * fails + may + 2 * prompt + 2 * sorry + (thing and (fails or may)) + reader + brief - 2 * (n > 20)
+    return ("error", points) if points >= LIKELY and (fails or prompt or sorry or (thing or reader) and (n <= 5 or bool(DEIXIS.search(core)) or (n <= 8 and bool(THING.match(core))))) else (None, 0)
+
+
+def line_kind(line: str, signs: dict = SIGNS) -> str | None:
     """The kind of evidence in one line: of its sentences, or of the line as a whole (repeated words)."""
-    head = [w.strip(".,;!?").lower() for w in line[:80].split()[:3]]
+    head = [w.strip(".,;!?").lower() for w in line.split(None, 3)[:3]]
     if len(head) == 3 and (head[0] == head[1] or head[0] == head[2]):
         words = WORD.findall(line.lower())
         if len(words) >= 6 and len(set(words)) <= 2 and not re.search(r"\d", line):
             return "filler"
+    likely, counted, other = None, 0, 0
     for s in SENTENCE.split(line):
-        kind = sentence_kind(s)
-        if kind:
+        core = bare(s)
+        if not core:
+            continue
+        kind, points = scored(core, signs)
+        if points >= SURE:
             return kind
-    return None
+        if points >= LIKELY:
+            likely = likely or kind
+            counted += len(core)
+        else:
+            other += len(core)
+    return likely if counted >= other else None
 
 
-def evidence(text: str) -> tuple[list[tuple[str, str]], int]:
-    """((kind, normalised line) of the evidence in a text, each line once; the characters of all other lines)."""
-    found: dict[str, str] = {}
-    rest = 0
+def facts(text: str) -> list[tuple[str, str | None, int]]:
+    """(normalised line, kind of evidence or None, characters) of a text, each normalised line once; numbers in evidence are alike."""
+    found: dict[str, tuple[str, str | None, int]] = {}
+    text = text.replace("\xa0", " ")
+    signs = signs_of(text)
     for line in text.splitlines():
-        line = line.replace("\xa0", " ").strip()
-        if not line:
-            continue
-        if kind := line_kind(line):
-            found.setdefault(re.sub(r"\d+", "0", " ".join(line.lower().split())), kind)
-        else:
-            rest += len(line)
-    return [(k, n) for n, k in found.items()], rest
+        line = line.strip()
+        if line and (norm := " ".join(line.lower().split())) not in found:
+            kind = line_kind(line, signs)
+            found[norm] = (re.sub(r"\d+", "0", norm) if kind else norm, kind, len(line))
+    return list({n: (n, k, c) for n, k, c in found.values()}.values())
 
 
 def evidence_lines(text: str) -> list[tuple[str, str]]:
-    return evidence(text)[0]
+    return [(k, n) for n, k, _ in facts(text) if k]
 
 
-def find_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(k, host, kind, line_hash, beside): a row for each evidence line of each document; one pass, no shuffle.
+def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(k, host, whole, lines array<struct<h, kind, size>>): the lines of each document as hashes; one pass, no shuffle.
 
-    beside: whether the document has at least CONTENT_CHARS characters in other lines.
+    whole is a hash of all lines, by which repeated documents count once.
     """
-    d = docs.select(F.col(id_col).alias("k"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("t"))
+    d = docs.select(F.col(id_col).alias("k"), F.concat(F.lit("h"), F.col(host_col).cast("string")).alias("host"), F.col(text_col).alias("t"))
+    item = pa.struct([("h", pa.int64()), ("kind", pa.string()), ("size", pa.int32())])
+
+    def hashed(s: str) -> int:
+        return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, kinds, lines, beside = [], [], [], []
+            row, whole, lines = [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                if not t:
-                    continue
-                found, rest = evidence(t)
-                for kind, line in found:
+                if t and (found := facts(t)):
                     row.append(i)
-                    kinds.append(kind)
-                    lines.append(line)
-                    beside.append(rest >= CONTENT_CHARS)
+                    lines.append([{"h": hashed(n), "kind": k, "size": c} for n, k, c in found])
+                    whole.append(hashed("\n".join(n for n, _, _ in found)))
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(kinds, pa.string()), pa.array(lines, pa.string()), pa.array(beside, pa.bool_())],
-                ["k", "host", "kind", "line", "beside"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(whole, pa.int64()), pa.array(lines, pa.list_(item))], ["k", "host", "whole", "lines"])
 
     kind = d.schema["k"].dataType.simpleString()
-    found = d.mapInArrow(run, f"k {kind}, host string, kind string, line string, beside boolean")
-    return found.select("k", "host", "kind", F.xxhash64("line").alias("line_hash"), "beside")
+    return d.mapInArrow(run, f"k {kind}, host string, whole bigint, lines array<struct<h:bigint,kind:string,size:int>>").withColumn("host", F.coalesce("host", F.lit("")))
+
+
+def recurrent(n: Column, of: Column) -> Column:
+    """Whether a line on n of so many documents is on more than BOILERPLATE_SHARE of such documents, with confidence (lower Wilson bound)."""
+    p, z = n / of, Z
+    low = (p + z * z / (2 * of) - z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+    return low >= BOILERPLATE_SHARE
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(id_col, kinds array<string>): the documents whose residual holds evidence, with the kinds found."""
-    found = checkpointed(find_evidence(docs, id_col, text_col, host_col))
-    sizes = docs.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count("*").alias("docs"))
-    boilerplate = (
-        found.where("beside")
-        .groupBy("host", "line_hash")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= BOILERPLATE_DOCS)
-        .join(sizes, F.col("host").eqNullSafe(F.col("h")))
-        .where(F.col("n") >= BOILERPLATE_SHARE * F.col("docs"))
-        .select(F.col("host").alias("bh"), F.col("line_hash").alias("bl"))
-    )
+    found = checkpointed(line_facts(docs, id_col, text_col, host_col))
+    hosts = checkpointed(found.groupBy("host").agg(F.count("*").alias("docs")))
+    # all lines, counted by host; what recurs is at most 1 / BOILERPLATE_SHARE times the lines of a document of the host
+    counted = found.select("host", F.explode("lines").alias("l")).groupBy("host", F.col("l.h").alias("h")).agg(F.count("*").alias("n"))
+    often = counted.join(hosts, "host").where(recurrent(F.col("n"), F.col("docs"))).groupBy("host").agg(F.collect_list("h").alias("often"))
+    reps = hosts.join(often, "host", "left").select("host", F.coalesce("often", F.array().cast("array<bigint>")).alias("often"), "docs")
+    marked = found.where(F.exists("lines", lambda x: x["kind"].isNotNull()))
+    total = lambda keep: F.aggregate(F.filter("lines", keep), F.lit(0).cast("bigint"), lambda acc, x: acc + x["size"])
+    left = checkpointed(
+        salted_lookup(marked.withColumn("whole_key", F.col("whole")), reps, "host", "whole_key", "docs")
+        .withColumn("content", total(lambda x: x["kind"].isNull() & ~F.array_contains("often", x["h"])))
+        .select("k", "host", "whole", F.explode(F.filter("lines", lambda x: x["kind"].isNotNull())).alias("l"), (F.col("content") > total(lambda x: x["kind"].isNotNull())).alias("beside"))
+        .select("k", "host", "whole", "beside", "l.h", "l.kind")
+    )
+    # evidence that recurs beside more content than evidence is boilerplate there; a page that is nothing else is judged by it
+    site = (
+        left.where("beside").select("host", "h", "whole").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+        .join(hosts, "host").where(recurrent(F.col("n"), F.col("docs"))).select("host", "h")
+    )
     return (
-        found.join(boilerplate, F.col("beside") & (F.col("line_hash") == F.col("bl")) & F.col("host").eqNullSafe(F.col("bh")), "left_anti")
+        left.join(site.withColumn("beside", F.lit(True)), ["host", "h", "beside"], "left_anti")
         .groupBy(F.col("k").alias(id_col))
         .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     )

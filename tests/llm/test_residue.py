@@ -17,6 +17,175 @@ IS_NOT = [
 ]
 
 
+# Lines written without looking at the test tables. The first two lists were used to mend the rules (49 of 50 found before the last
+# changes, 42 of 50 and 7 of 40 false at first sight); the second two were written afterwards and changed nothing but what the README names.
+SEEN_NOTICES = """
+The requested URL was not found on this server.
+Sorry, something went wrong on our end.
+An unexpected error has occurred
+We couldn't find what you were looking for.
+502 Proxy Error
+Il faut activer JavaScript pour consulter cette page.
+This website requires scripts to run properly
+Bacon ipsum dolor amet
+お探しのページは見つかりませんでした。
+요청하신 페이지를 찾을 수 없습니다.
+您访问的页面不存在
+This page isn't available right now
+Your connection was interrupted. Please reload the page.
+HTTP Status 500 – Internal Server Error
+Error establishing a database connection
+The server encountered an internal error and was unable to complete your request.
+You don't have permission to access this resource.
+Access to this page has been denied because we believe you are using automation tools.
+Please verify you are a human to continue.
+This document is no longer available.
+Sorry, the file you requested could not be opened.
+Request timed out. Please try again.
+We're experiencing technical difficulties. Please come back later.
+You need to enable JavaScript to run this app.
+JavaScript must be turned on to use this site.
+Your browser does not support cookies.
+Cookies are required to view this content.
+Bitte aktivieren Sie Cookies, um fortzufahren.
+La página solicitada no existe.
+Die Seite konnte nicht geladen werden.
+A página não foi encontrada.
+Pagina non trovata
+Impossible d'afficher la page
+TypeError: Cannot read properties of undefined (reading 'map')
+Fatal error: Uncaught Error: Call to undefined function get_header()
+ORA-12154: TNS: could not resolve the connect identifier specified
+This is placeholder text. Replace it with your own content.
+Insert your abstract here.
+Hello {{first_name}}, thank you for {{action}}.
+[Your name here]
+Dear $CUSTOMER_NAME$, your order %ORDER_ID% has shipped.
+Article title goes here
+Loading, please wait...
+You have been logged out due to inactivity. Please log in again.
+Too many login attempts. Try again in 15 minutes.
+404. That's an error.
+{"message":"Forbidden"}
+upstream connect error or disconnect/reset before headers
+Subscribe to read the full article.
+Checking if the site connection is secure
+""".strip().split("\n")
+SEEN_PROSE = """
+The server handles ten thousand requests per second in our deployment.
+We report the error of each model on the test set.
+Requests that failed were repeated three times.
+The search found no significant difference between the groups.
+Access to clean water was denied to most of the villages.
+The page cache reduces the latency of reads.
+Cookies were baked at 180 degrees for ten minutes.
+The script of the play was lost in 1812.
+Each document in the collection is indexed by its title.
+The method fails when the graph is sparse.
+Missing values were replaced by the median of the column.
+Please cite this work if you use the dataset.
+Readers can try the demo on the project page.
+Under maintenance, the turbines lose four days a year.
+The template engine expands {{name}} at run time, for example in mails.
+An HTTP 503 response makes the crawler wait before it retries.
+Their browser extension blocks scripts that track users.
+No results of this kind are known for planar graphs.
+The file format stores 512 bytes in each header.
+We cannot find a counterexample among 400 random graphs.
+Verification of the claim requires access to the cited article.
+The link between the two genes has been removed in the revised model.
+Lorem ipsum is the customary filler of printers, as historians have shown.
+If the reference does not exist, the citation is labelled as fabricated.
+The archive holds 404 letters from the years 1830 to 1850.
+This error has a simple explanation.
+The address of the building was changed in 1950.
+Sorry to say, the theorem is false for n = 7.
+The reader is referred to the appendix for details.
+In this case the service must be paid in advance.
+JavaScript is a language for the web.
+Error analysis: most mistakes come from retrieval.
+The quota for each class is proportional to its share.
+La página de resultados muestra cinco artículos.
+Die Seite des Dreiecks ist nicht bekannt.
+The paper could not be reproduced by other groups.
+Two entries are missing from the table.
+Your participation in the study is voluntary.
+Results: the classifier exceeded the baseline by 4 points.
+It remains unavailable to patients in rural areas.
+""".strip().split("\n")
+UNSEEN_NOTICES = """
+The webpage at this address might be temporarily down or it may have moved permanently.
+Oops! That page can't be found.
+Error 1020: Access denied
+Service Temporarily Unavailable
+This content is only available to subscribers.
+Your session has timed out for security reasons.
+To continue reading, please log in or create an account.
+We're sorry, but we are unable to process your request at this time.
+This application requires JavaScript to be enabled.
+Please turn off your ad blocker to see this article.
+Votre navigateur n'est pas pris en charge.
+Su navegador no admite cookies.
+Diese Webseite benötigt JavaScript.
+El documento no se puede abrir.
+Le document demandé n'a pas été trouvé.
+ページが見つかりません
+잠시 후 다시 시도해 주세요.
+NullPointerException: object reference not set
+psycopg2.OperationalError: could not connect to server
+{"success": false, "error": "invalid token"}
+Lorem ipsum dolor sit amet, consectetur.
+Dolor sit amet consectetur adipisicing elit
+Dummy text goes here
+Add your introduction here.
+TBD
+Hi {name}, welcome to {product}!
+Project: ____________ Date: ____________
+[INSERT AFFILIATION]
+undefined undefined
+The link you followed may be broken, or the page may have been removed.
+""".strip().split("\n")
+UNSEEN_PROSE = """
+The session on reading was moved to Tuesday afternoon.
+We could not reproduce the result with the released code.
+Our servers answer 500 queries per second.
+If a page cannot be parsed, the pipeline falls back to plain text.
+Wait times in the hospital fell by 12 minutes.
+The file was opened in 1962 by the secret service.
+A robot verifies that the parts are human safe.
+The address space is limited to 64 bits.
+The connection between sleep and memory is well known.
+Participants were asked to try again after each failed trial.
+The browser market is dominated by two vendors.
+Access denied errors make up 4% of the log entries in our sample.
+The moment of inertia is constant.
+The service life of the bridge exceeded all estimates.
+Contact with the surface is lost at high speed.
+This system has no solution.
+The content of lead in the samples was not detected.
+The link is missing an edge weight in two graphs.
+Documents that do not exist in the index get a score of zero.
+Sample text from each author was scored by three readers.
+The record was broken again in 2019.
+These entries were blocked by year and venue.
+Template matching fails under rotation.
+The archive is down the road from the station.
+No records from before 1500 exist.
+The request of the authors was granted.
+Back in 1990 the index had 500 entries.
+Your mileage may vary with the size of the corpus.
+The gateway hypothesis is contested.
+The identifier of each paper is its DOI.
+""".strip().split("\n")
+
+
+@pytest.mark.parametrize("notices, prose", [(SEEN_NOTICES, SEEN_PROSE), (UNSEEN_NOTICES, UNSEEN_PROSE)])
+def test_lines_from_elsewhere(notices, prose):
+    found = [t for t in notices if residue.evidence_lines(t)]
+    false = [t for t in prose if residue.evidence_lines(t)]
+    assert len(found) >= 0.9 * len(notices) and len(false) <= 0.1 * len(prose), (set(notices) - set(found), false)
+
+
 @pytest.mark.parametrize("text", IS)
 def test_is_residue(text):
     assert residue.evidence_lines(text) and residue.evidence_lines("A real sentence.\n\n" + text + "\n\nAnother one.")
@@ -35,3 +204,22 @@ def test_documents_and_boilerplate(spark):
     got = residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert {r["doc_id"]: r["kinds"] for r in got.collect()} == {**dict.fromkeys(range(300, 500), ["error"]), 200: ["script"], 202: ["error"], 203: ["placeholder"], 204: ["error"]}
     assert residue.residue(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
+
+
+def test_pages_of_nothing_but_navigation_and_an_error(spark):
+    """Navigation is subtracted; a page of which only an error line is left is residue, however many of its host's pages have it."""
+    nav = "Home | Browse | Help\nAbout this archive\nBrowse by year\nLegal information and imprint"
+    rows = [(i, f"{nav}\nA text number {'abc'[i % 3]} about lakes and rivers of the {i} th kind, which is long enough to outweigh a line.", "site") for i in range(540)]
+    rows += [(i, f"{nav}\nHTTP 404 Not Found", "site") for i in range(540, 600)]
+    got = residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("doc_id").collect()
+    assert {r[0] for r in got} == set(range(540, 600))
+
+
+def test_the_same_share_gives_the_same_result_at_every_size(spark):
+    """A footer on every second page is boilerplate on a small host and on a large one; one on a twentieth of a few pages is not proven to be."""
+    page = lambda i, foot: f"A real text of the number {i} that says a good many things about glaciers, and then some more of them.\n{foot}"
+    for n in (40, 4000):
+        rows = [(i, page("x" * (i % 97) + "y" * (i // 97), "JavaScript is disabled in your browser." if i % 2 else "Impressum"), "h") for i in range(n)]
+        assert residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).count() == 0
+    few = [(i, page(i, "JavaScript is disabled in your browser." if i == 3 else "Impressum"), "h") for i in range(20)]
+    assert [r[0] for r in residue.residue(spark.createDataFrame(few, "doc_id bigint, text string, source string")).select("doc_id").collect()] == [3]
