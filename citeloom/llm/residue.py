@@ -31,6 +31,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+try:
+    import ahocorasick
+except ImportError:  # each sign is searched for by itself then
+    ahocorasick = None
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,10 +184,27 @@ def signed(low: str, signs: list[str] | tuple[str, ...]) -> bool:
     return any(map(low.__contains__, signs))
 
 
+def _automaton() -> object | None:
+    """All signs in one automaton, by which a text is searched once; None where the library is missing."""
+    if ahocorasick is None:
+        return None
+    found = ahocorasick.Automaton()
+    for sign in {x for v in SIGNS.values() for x in v}:
+        found.add_word(sign, sign)
+    found.make_automaton()
+    return found
+
+
+_FINDER = _automaton()
+
+
 def signs_of(text: str) -> dict[str, list[str]]:
     """The signs that a text has at all: only these are looked for in its sentences."""
     low = text.lower()
-    return {k: [x for x in v if x in low] for k, v in SIGNS.items()}
+    if _FINDER is None:
+        return {k: [x for x in v if x in low] for k, v in SIGNS.items()}
+    here = {sign for _, sign in _FINDER.iter(low)}
+    return {k: [x for x in v if x in here] for k, v in SIGNS.items()}
 
 
 def bare(s: str) -> str:
@@ -209,7 +230,7 @@ def scored(core: str, signs: dict = SIGNS) -> tuple[str | None, int]:
 
 
 def _field(core: str, low: str, signs: dict) -> tuple[str | None, int]:
-    if FIELD_SIGN.search(core):
+    if signs.get("field", True) and FIELD_SIGN.search(core):
         fields = FIELD.findall(core)
         if fields:  # several fields make a template, whatever it says; one field in a long sentence is an aside
             return ("placeholder", SURE) if len(fields) > 1 or len(WORD.findall(core)) <= 25 else (None, 0)
@@ -241,7 +262,7 @@ def _notice(core: str, low: str, signs: dict) -> tuple[str | None, int]:
     sorry = bool(APOLOGY.match(core))
     waits = bool(WAITING.match(core))
     about, fail_sign, prompt_sign = signed(low, signs["script"]), signed(low, signs["fail"]), signed(low, signs["prompt"])
-    coded = bool(CODE.search(core) and STATUS.search(core))
+    coded = bool(signs.get("code", True) and CODE.search(core) and STATUS.search(core))
     if not (sorry or waits or about or fail_sign or prompt_sign or coded):
         return None, 0
     n = len(WORD.findall(core))
@@ -290,7 +311,7 @@ def facts(text: str) -> list[tuple[str, str | None, int]]:
     """(normalised line, kind of evidence or None, characters) of a text, each normalised line once; numbers in evidence are alike."""
     found: dict[str, tuple[str, str | None, int]] = {}
     text = text.replace("\xa0", " ")
-    signs = signs_of(text)
+    signs = {**signs_of(text), "field": bool(FIELD_SIGN.search(text)), "code": bool(CODE.search(text))}
     for line in text.splitlines():
         line = line.strip()
         if line and (norm := " ".join(line.lower().split())) not in found:

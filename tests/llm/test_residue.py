@@ -223,3 +223,10 @@ def test_the_same_share_gives_the_same_result_at_every_size(spark):
         assert residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).count() == 0
     few = [(i, page(i, "JavaScript is disabled in your browser." if i == 3 else "Impressum"), "h") for i in range(20)]
     assert [r[0] for r in residue.residue(spark.createDataFrame(few, "doc_id bigint, text string, source string")).select("doc_id").collect()] == [3]
+
+
+def test_signs_are_the_same_without_the_library(monkeypatch):
+    texts = [*IS, *IS_NOT, *SEEN_NOTICES, *SEEN_PROSE, *UNSEEN_NOTICES, "ÀÉ İ ß not found"]
+    ours = [residue.signs_of(t) for t in texts]
+    monkeypatch.setattr(residue, "_FINDER", None)
+    assert ours == [residue.signs_of(t) for t in texts]
