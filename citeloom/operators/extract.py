@@ -117,17 +117,43 @@ def split_merged(c: Column) -> Column:
     return F.filter(F.split(c, r"(?<=[.\d])\s+(?=\[\d+\]\s)"), lambda s: F.trim(s) != "")
 
 
-def tei_references(df: DataFrame, key: str, xml: str) -> DataFrame:
-    """(key, title, year, authors, raw): the fields of one TEI citation each."""
+def tei_raw(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, raw): the raw strings of TEI citations: the notes marked as raw references, else the bibliographic notes; blank ones are none."""
+    x = F.col(xml)
+    marked = F.xpath(x, F.lit("//biblStruct/note[@type='raw_reference']/text()"))
+    notes = F.xpath(x, F.lit("//biblStruct/note[@type='biblio']/text()"))
+    return df.select(key, F.explode(F.when(F.size(marked) > 0, marked).otherwise(notes)).alias("raw")).where(F.trim("raw") != "")
+
+
+def tei_fields(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, title, venue, year, authors, volume, issue, pages, publisher, doi, arxiv_id, url): the fields of one TEI citation each.
+
+    The title is that of the analytic part, else of the monograph; the venue is the monograph's. Authors are forename and surname of
+    each person in either part, pages a range of from and to or the text of the scope. Absent fields are null.
+    """
     x = F.col(xml)
-    raw = F.xpath(x, F.lit("//biblStruct/note[@type='raw_reference']/text()"))
+    one = lambda path: F.nullif(F.trim(F.xpath_string(x, F.lit(path))), F.lit(""))
+    # persons as forename|surname, in the order of the document
+    persons = F.regexp_extract_all(x, F.lit(r"(?s)<persName\b[^>]*>(.*?)</persName>"), F.lit(1))
+    part = lambda p, tag: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), F.trim), " ")
+    authors = F.filter(F.transform(persons, lambda p: F.trim(F.concat_ws(" ", part(p, "forename"), part(p, "surname")))), lambda a: a != "")
+    ends = F.concat_ws("-", one("//biblScope[@unit='page']/@from"), one("//biblScope[@unit='page']/@to"))
     return df.select(
-        key, F.nullif(F.xpath_string(x, F.lit("//analytic/title")), F.lit("")).alias("title"),
-        F.nullif(F.regexp_extract(F.xpath_string(x, F.lit("//imprint/date/@when")), r"(1[89]\d{2}|20\d{2})", 1), F.lit("")).alias("year"),
-        F.xpath(x, F.lit("//author/persName/surname/text()")).alias("authors"), F.when(F.size(raw) > 0, raw[0]).alias("raw"),
+        key, F.coalesce(one("//analytic/title"), one("//monogr/title")).alias("title"), one("//monogr/title").alias("venue"),
+        F.nullif(F.regexp_extract(F.coalesce(one("//imprint/date/@when"), one("//imprint/date")), r"(1[89]\d{2}|20\d{2})", 1), F.lit("")).alias("year"), authors.alias("authors"),
+        one("//biblScope[@unit='volume']").alias("volume"), one("//biblScope[@unit='issue']").alias("issue"), F.coalesce(F.nullif(ends, F.lit("")), one("//biblScope[@unit='page']")).alias("pages"),
+        one("//publisher").alias("publisher"), one("//idno[@type='DOI']").alias("doi"), one("//idno[@type='arXiv']").alias("arxiv_id"), one("//ptr/@target").alias("url"),
     )
 
 
+def tei_references(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, title, year, authors, raw): title, year, surnames and raw string of one TEI citation each."""
+    x = F.col(xml)
+    raw = F.coalesce(*[F.when(F.size(p) > 0, p[0]) for p in (F.xpath(x, F.lit(f"//biblStruct/note[@type='{k}']/text()")) for k in ("raw_reference", "biblio"))])
+    surnames = F.xpath(x, F.lit("//author/persName/surname/text()"))
+    return tei_fields(df.select(key, xml), key, xml).join(df.select(key, surnames.alias("surnames"), raw.alias("raw")), key).select(key, "title", "year", F.col("surnames").alias("authors"), "raw")
+
+
 def html_links(html: Column) -> Column:
     """The absolute links of a page that lead to PDF files, each once."""
     hrefs = F.regexp_extract_all(html, F.lit(r"""(?i)(?:href|data-pdf-url)\s*=\s*["']([^"']+)["']"""), F.lit(1))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from citeloom.functions import hooks
@@ -12,7 +9,7 @@ from citeloom.functions import text as t
 from citeloom.operators import extract as x
 from citeloom.operators import retrieve as r
 from citeloom.plans.p_core import delivered
-from citeloom.session import table
+from citeloom.session import scratch, table
 from citeloom.streaming import streams
 
 
@@ -46,8 +43,7 @@ def neg11_first_accepted(spark, d):
 
 
 def _drain(spark, df, name, mode):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeloom_stream_")
-    at = f"{base.rstrip('/')}/stream-{name}-{os.urandom(6).hex()}"
+    at = scratch(spark, f"stream-{name}")
     q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/ckpt").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
@@ -64,12 +60,11 @@ def stream_event_windows(spark, d):
 def stream_first_deliveries(spark, d):
     """Instances without repeated deliveries by a stream: one row for each id."""
     like = table(spark, d, "instances")
-    if os.path.isdir(f"{d}/instances.parquet"):
-        s = spark.readStream.schema(like.schema).parquet(f"{d}/instances.parquet")
-    else:
-        s = streams.file_stream(spark, d, like, "instances.parquet")
-    s = s.select("instance_id", "created_at")
-    return _drain(spark, streams.first_deliveries(s, "instance_id", "created_at", "3650 days").select("instance_id"), "deliveries", "append")
+    # a glob meets the table as one file and as a folder of files, on any file system
+    s = streams.file_stream(spark, f"{d}/instances.parquet*", like).select("instance_id", "created_at")
+    # the source replays all history at once, in any order: its span is the lateness to allow, and the bound of the state
+    span = like.select(F.ceil((F.unix_timestamp(F.max("created_at").cast("timestamp")) - F.unix_timestamp(F.min("created_at").cast("timestamp"))) / 86400)).first()[0] or 0
+    return _drain(spark, streams.first_deliveries(s, "instance_id", "created_at", f"{int(span) + 1} days").select("instance_id"), "deliveries", "append")
 
 
 QUERIES = {f.__name__: f for f in [udf03_open_book, ret04_embed_claims, neg11_first_accepted, stream_event_windows, stream_first_deliveries]}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as t
 from citeloom.operators import retrieve as r
 from citeloom.plans.p_core import delivered
-from citeloom.session import table
+from citeloom.session import checkpointed, table
 
 D = "WITH d AS (SELECT * FROM instances WHERE instance_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY loaded_at DESC) = 1)"
 
@@ -50,10 +50,21 @@ def overlap(spark, d):
 
 
 def ret06_rrf(spark, d):
-    f = r.rrf(top03_bm25(spark, d), overlap(spark, d), "qid", "cid")
+    return _fused(top03_bm25(spark, d), overlap(spark, d))
+
+
+def _fused(a, b):
+    f = r.rrf(a, b, "qid", "cid")
     return r.top_k(f, "qid", [F.desc("score"), F.asc_nulls_last("ra"), F.asc_nulls_last("rb")], 15).select("qid", "cid", F.round("score", 9).alias("score"), "rank")
 
 
+def traces(spark, d):
+    """(qid, stage, rank, chunk_id, score): what each stage of a retrieval found, the sparse ranking, the overlap and their fusion."""
+    row = lambda df, stage: df.select("qid", F.lit(stage).alias("stage"), F.col("rank").cast("int").alias("rank"), F.col("cid").cast("string").alias("chunk_id"), F.col("score").cast("double").alias("score"))
+    sparse, other = checkpointed(top03_bm25(spark, d)), checkpointed(overlap(spark, d))
+    return row(sparse, "sparse").unionAll(row(other, "overlap")).unionAll(row(_fused(sparse, other), "fused"))
+
+
 def ret07_quota_fusion(spark, d):
     p = passages(spark, d).select("cid", "text")
     a, b = top03_bm25(spark, d).join(p, "cid"), overlap(spark, d).join(p, "cid")
@@ -134,6 +145,7 @@ def str36_evidence_block(spark, d):
 
 QUERIES = {f.__name__: f for f in [top03_bm25, ret06_rrf, ret07_quota_fusion, str25_retrieval_weights, ret09_hybrid, top01_dense, mth01_cosine, ret01_header_sections, ret02_chunks, ret03_chunks_small, ret11_missing_documents, ret12_synthesis, str36_evidence_block]}
 _RRF = _BM + ", f AS (SELECT qid, cid, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s, a.rank AS ra, b.rank AS rb FROM bm a FULL JOIN lx b USING (qid, cid)), rf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, ra NULLS LAST, rb NULLS LAST) AS rank FROM f QUALIFY rank <= 15)"
+TRACES_SQL = _RRF + " SELECT qid, 'sparse' AS stage, rank, cid::VARCHAR AS chunk_id, score FROM bm UNION ALL SELECT qid, 'overlap', rank, cid::VARCHAR, score FROM lx UNION ALL SELECT qid, 'fused', rank, cid::VARCHAR, round(s, 9) FROM rf"
 SQL = {
     "top03_bm25": _BM + " SELECT * FROM bm",
     "ret06_rrf": _RRF + " SELECT qid, cid, round(s, 9) AS score, rank FROM rf",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,14 +49,22 @@ def schema_as_struct(ddl: str) -> str:
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """Bibliography entries as maps, from {"pdf_url":.., "references":[..]} files: (pdf_url, pos, entry)."""
-    raw = spark.read.schema("pdf_url string, references array<map<string,string>>").option("multiLine", True).json(path)
-    return raw.select("pdf_url", F.posexplode("references").alias("pos", "entry"))
+    """Bibliography entries as maps: (pdf_url, pos, entry), from files with {"pdf_url":.., "references":[..]}, a list, or one entry."""
+    raw = spark.read.option("wholetext", True).text(path)
+    held = F.from_json("value", "struct<pdf_url:string,references:array<map<string,string>>>")
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<map<string,string>>"))
+    entries = F.coalesce(held["references"], listed, F.array(F.from_json("value", "map<string,string>")))
+    return raw.select(held["pdf_url"].alias("pdf_url"), F.posexplode(entries).alias("pos", "entry")).where("entry is not null")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, every column as text; quoted fields may hold quotes (doubled) and line breaks."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def read_id_list(spark: SparkSession, path: str, column: str) -> DataFrame:
     """The non-blank, stripped values of one column of CSV files with a header."""
-    d = spark.read.option("header", True).csv(path)
+    d = read_csv(spark, path)
     return d.select(F.trim(column).alias(column)).where(F.col(column) != "")
 
 
@@ -68,24 +77,29 @@ def read_text(spark: SparkSession, path: str, glob: str = "*", first: int | None
 
 
 def archive_members(files: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """(path, member, content) of tar archives in (path, content); nothing is written to disk, links are not followed.
+    """(path, member, content, error) of tar archives in (path, content); nothing is written to disk, links are not followed.
 
-    A member above max_bytes is listed with null content, so the caller sees what was left out.
+    A member above max_bytes is listed with null content and an error, so the caller sees what was left out; an archive
+    that cannot be read to its end gives its members so far and a row without member that says why.
     """
+    names = ["path", "member", "content", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path: str, member: str | None, body: bytes | None, error: str | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member], pa.string()), pa.array([body], pa.binary()), pa.array([error], pa.string())], names)
+
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     with tarfile.open(fileobj=io.BytesIO(data)) as tar:
                         for m in tar:
                             if m.isfile():
-                                body = tar.extractfile(m).read() if m.size <= max_bytes else None
-                                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([m.name]), pa.array([body], pa.binary())], ["path", "member", "content"])
-                except (tarfile.TarError, EOFError, TypeError):
-                    continue
+                                fits = m.size <= max_bytes
+                                yield row(path, m.name, tar.extractfile(m).read() if fits else None, None if fits else f"{m.size} bytes")
+                except (tarfile.TarError, EOFError, TypeError, zlib.error, OSError) as e:
+                    yield row(path, None, None, f"{type(e).__name__}: {e}")
 
-    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary")
+    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary, error string")
 
 
 def parse_bibtex(text: str) -> Iterator[dict[str, str]]:

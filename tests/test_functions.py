@@ -137,7 +137,10 @@ def test_bibtex_and_archive(spark):
         info.size = 2
         tar.addfile(info, io.BytesIO(b"hi"))
     f = spark.createDataFrame([("a.tar", buf.getvalue()), ("b.tar", b"junk"), ("c.tar", None)], "path string, content binary")
-    assert [(r["member"], bytes(r["content"])) for r in readers.archive_members(f).collect()] == [("../evil.tex", b"hi")]
+    got = readers.archive_members(f).collect()
+    assert [(r["member"], bytes(r["content"]), r["error"]) for r in got if r["member"]] == [("../evil.tex", b"hi", None)]
+    assert sorted(r["path"] for r in got if r["error"] and not r["member"]) == ["b.tar", "c.tar"]
+    assert [(r["content"], r["error"]) for r in readers.archive_members(f.where("path = 'a.tar'"), 1).collect()] == [(None, "2 bytes")]
 
 
 def test_latex_and_bibliography(spark):
