@@ -123,16 +123,19 @@ def label_code(c: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[s]
 
 
-#: Patterns of secrets and what replaces them, in the order of application.
+#: Patterns of secrets and what replaces them, in the order of application: names of keys, bearers and tokens, well-known forms, addresses.
 SECRETS = [
-    (r"(?i)(api[_-]?key\s*[=:]\s*)[\"']?[a-z0-9_\-]{8,}[\"']?", "$1[REDACTED]"),
-    (r"(?i)(authorization\s*:\s*bearer\s+)[a-z0-9._\-]+", "$1[REDACTED]"),
+    (r"(?i)\b(\w*api[_-]?key['\"\s:=]+)[a-z0-9_\-]{8,}", "$1[REDACTED]"),
+    (r"(?i)\b(bearer\s+)[a-z0-9._\-]{8,}", "$1[REDACTED]"),
+    (r"(?i)\b(authorization['\"\s:=]+)(?!bearer)[^\s'\"]+", "$1[REDACTED]"),
     (r"(?i)\bsk-[a-z0-9_\-]{16,}", "[REDACTED]"),
+    (r"\bAIza[A-Za-z0-9_\-]{35}", "[REDACTED]"),
     (r"(?i)\bgh[pousr]_[a-z0-9]{20,}", "[REDACTED]"),
-    (r"(?i)\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
-    (r"(?i)(password\s*[=:]\s*)\S+", "$1[REDACTED]"),
-    (r"(?i)(token\s*[=:]\s*)[\"']?[a-z0-9._\-]{8,}[\"']?", "$1[REDACTED]"),
-    (r"(?i)(https?://)[^\s/@:]+:[^\s/@]+@", "$1[REDACTED]@"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
+    (r"(?i)\b((?:access[_-]?)?token['\"\s:=]+)[a-z0-9._\-]{8,}", "$1[REDACTED]"),
+    (r"(?i)\b(secret['\"\s:=]+)[a-z0-9_\-]{8,}", "$1[REDACTED]"),
+    (r"(?i)\b(password['\"\s:=]+)[^\s'\"]+", "$1[REDACTED]"),
+    (r"(?i)\b(https?://[^\s/@:]+:)[^\s/@]+(@)", "$1[REDACTED]$2"),
 ]
 
 

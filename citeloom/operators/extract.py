@@ -52,8 +52,8 @@ def citing_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
 def bibitems(df: DataFrame, key: str, text: str) -> DataFrame:
     r"""(key, pos, cite_key, body): the \bibitem entries of a bibliography."""
     parts = F.split(F.col(text), r"\\bibitem")
-    d = df.select(key, F.posexplode(F.slice(parts, 2, 1_000_000)).alias("pos", "b"))
-    return d.select(key, "pos", found(F.col("b"), r"^\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}").alias("cite_key"), t.squeeze(F.trim(F.regexp_replace("b", r"^\s*(?:\[[^\]]*\])?\s*\{[^}]*\}", ""))).alias("body")).where("cite_key is not null")
+    d = df.select(key, F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "b"))
+    return d.select(key, "pos", found(F.col("b"), r"^\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}").alias("cite_key"), F.trim(t.squeeze(F.regexp_replace("b", r"^\s*(?:\[[^\]]*\])?\s*\{[^}]*\}", ""))).alias("body")).where("cite_key is not null")
 
 
 def numbered_entries(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,6 +117,47 @@ def split_merged(c: Column) -> Column:
     return F.filter(F.split(c, r"(?<=[.\d])\s+(?=\[\d+\]\s)"), lambda s: F.trim(s) != "")
 
 
+def split_quoted(c: Column) -> Column:
+    """Reference strings that were run together, parted after a full stop before names with initials that lead to a quoted title."""
+    names = r"(?:[A-Z]\.\s*)+[A-Z][\p{L}'-]+(?:(?:,|\s+and|\s*&)\s+(?:[A-Z]\.\s*)+[A-Z][\p{L}'-]+)*"
+    return F.filter(F.split(c, rf'(?<=[^A-Z]\.)\s+(?={names},?\s+["“])'), lambda s: F.trim(s) != "")
+
+
+#: What a title is not, when it is sought among the sentences of a reference, and words of publishers, who are no places.
+NO_TITLE = r"(?i)^(?:arxiv|corr|in |pp\.|vol\.|http|doi:|available|accessed|retrieved|\d{4})"
+PUBLISHERS = r"(?i)\b(?:press|publish\w*|books?|group|wiley|elsevier|springer|arnold|wilkins|medical|science|physics)\b"
+
+
+def filled_fields(c: Column) -> dict[str, Column]:
+    """Every field that rules find in a reference string, beside those of reference_fields: title by its cascade, version, article number, institution, place."""
+    base = reference_fields(c)
+    sentences = F.transform(F.split(c, r"(?<![A-Z])\.\s+"), lambda s: F.trim(s))
+    later = F.filter(F.slice(sentences, F.lit(2), F.greatest(F.size(sentences) - 1, F.lit(0))), lambda s: (F.length(s) > 5) & ~s.rlike(NO_TITLE))
+    title = F.coalesce(base["quoted_title"], F.get(later, F.lit(0)))
+    after = F.substr(c, F.position(title, c) + F.length(title))
+    place = found(after, r"^[\"”]?\s*(?:\([^)]*\))?\s*,\s*([A-Z][A-Za-z ]{2,25}?)\s*(?:,|$)")
+    return {
+        **{k: v for k, v in base.items() if k != "quoted_title"}, "title": title, "title_source": F.when(base["quoted_title"].isNotNull(), "quotes").when(title.isNotNull(), "sentence"),
+        "version": found(c, r"(?i)arxiv[:\s./a-z]*\d{4}\.\d{4,5}(v\d+)"), "article_number": F.when(base["pages"].isNull(), found(c, r":\s*([eE]?\d{3,})\b")),
+        "institution": found(c, r"\.\s*([^.]*(?:University|Institute|College|Hospital)[^.]*)\.\s*(?i:phd|dissertation|thesis)"),
+        "location": F.when((F.size(F.split(place, " ")) <= 3) & ~place.rlike(PUBLISHERS), place),
+    }
+
+
+def real_people(authors: Column, title: Column, places: Column) -> Column:
+    """The authors of which no word is a word of the title or of a place or publisher."""
+    words = lambda c: t.tokens(t.normalize_text(c))
+    other = F.concat(words(F.coalesce(title, F.lit(""))), F.flatten(F.transform(F.array_compact(places), words)))
+    return F.filter(authors, lambda a: a.isNotNull() & (F.trim(a) != "") & ~F.arrays_overlap(words(a), other))
+
+
+def balanced(c: Column) -> Column:
+    """Whether braces pair up."""
+    plain = F.regexp_replace(c, r"\\\\[{}]", "")
+    depth = F.aggregate(F.regexp_extract_all(plain, F.lit(r"([{}])"), F.lit(1)), F.lit(0), lambda d, b: F.when(d < 0, d).when(b == "{", d + 1).otherwise(d - 1))
+    return depth == 0
+
+
 def tei_raw(df: DataFrame, key: str, xml: str) -> DataFrame:
     """(key, raw): the raw strings of TEI citations: the notes marked as raw references, else the bibliographic notes; blank ones are none."""
     x = F.col(xml)
@@ -160,18 +201,61 @@ def html_links(html: Column) -> Column:
     return F.array_distinct(F.filter(hrefs, lambda u: u.rlike(r"(?i)^https?://.*(\.pdf|/pdf/)")))
 
 
+def page_links(html: Column, base: Column) -> Column:
+    """The links of a page to PDF files as absolute URLs of http or https, each once: anchors, data attributes, addresses set by scripts."""
+    found_ = F.concat(
+        F.regexp_extract_all(html, F.lit(r"""(?i)(?:href|data-pdf-url)\s*=\s*["']([^"']+)["']"""), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(r"""(?i)(?:window\.open\(|location(?:\.href)?\s*=)\s*["']([^"']+)["']"""), F.lit(1)),
+    )
+    root = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
+    folder = F.regexp_replace(base, r"[^/]*$", "")
+    scheme = F.regexp_extract(base, r"^(https?:)", 1)
+    whole = lambda u: F.when(u.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), u).when(u.startswith("//"), F.concat(scheme, u)).when(u.startswith("/"), F.concat(root, u)).otherwise(F.concat(folder, u))
+    return F.array_distinct(F.filter(F.transform(found_, whole), lambda u: u.rlike(r"(?i)^https?://") & u.rlike(r"(?i)\.pdf\b|/pdf/")))
+
+
 def inverted_index_text(index: Column) -> Column:
     """The text of a map word -> positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
 
 
+def unfenced(raw: Column) -> Column:
+    """Model output without the code fence around it."""
+    return F.trim(F.regexp_replace(raw, r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", ""))
+
+
+def closing(c: Column) -> Column:
+    """What a text of JSON that breaks off lacks: the quotation mark of an open string, then the open brackets from the inside out."""
+    bare = F.regexp_replace(c, r"\\\\.", "")  # escaped characters are neither marks nor brackets
+    outside = F.regexp_replace(bare, r'"[^"]*"', "")  # whole strings are gone; a mark that is left opens one
+    in_string = outside.contains('"')
+    marks = F.regexp_extract_all(F.regexp_replace(outside, r'"(?s).*$', ""), F.lit(r"([\[\]{}])"), F.lit(1))
+    step = lambda open_, m: F.when(m.isin("[", "{"), F.concat(m, open_)).otherwise(F.substr(open_, F.lit(2)))
+    left = F.aggregate(marks, F.lit(""), step)
+    return F.concat(F.when(in_string, '"').otherwise(""), F.translate(left, "[{", "]}"))
+
+
 def recover_json(raw: Column) -> Column:
-    """Valid JSON text from model output: as it is, with a repaired end, the widest object in it, or null."""
-    s = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    """Valid JSON text from model output: as it is, with what breaks off closed, the widest object in it, or null."""
+    s = unfenced(raw)
+    ok = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    cut = F.regexp_replace(s, r"[,:\s]+$", "")
+    return F.coalesce(ok(s), F.when(s.startswith("{"), ok(F.concat(cut, closing(cut)))), ok(F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))))
+
+
+def answered_json(raw: Column) -> Column:
+    """The JSON of an answer without its fence: null for null or none, else the whole, the widest object, or the widest list."""
+    s = unfenced(raw)
+    ok = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    wide = lambda p: ok(F.nullif(F.regexp_extract(s, p, 1), F.lit("")))
+    return F.when(F.lower(s).isin("null", "none", ""), F.lit(None).cast("string")).otherwise(F.coalesce(ok(s), wide(r"(?s)(\{.*\})"), wide(r"(?s)(\[.*\])")))
+
+
+def object_or_empty(raw: Column) -> Column:
+    """The widest object of an answer, else the whole answer if it is JSON, else {}."""
     ok = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    repaired = [F.when(s.startswith("{"), ok(F.concat(s, F.lit(end)))) for end in ('"}', '"\n}', "}", "}\n", "\n}")]
-    return F.coalesce(ok(s), *repaired, ok(F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))))
+    return F.coalesce(ok(F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))), ok(F.trim(raw)), F.lit("{}"))
 
 
 def classification(raw: Column) -> Column:

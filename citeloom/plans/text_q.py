@@ -313,7 +313,17 @@ o AS (SELECT *, round(least(1.0, (title * 0.35 + authors * 0.25 + year * 0.15 +
 """
 
 QUERIES = {k: f for k, f in globals().items() if k.split("_")[0] and k.split("_")[0][:3] in {"str", "src", "spc", "dat", "mth", "arr", "map", "jsn", "prm", "neg"} and callable(f) and k.split("_")[0][-1].isdigit()}
+
+def _categories(c):
+    rules = [("rate limit", ["rate limit", "429", "too many requests"]), ("authentication", ["401", "403", "unauthorized", "api key", "forbidden"]), ("timeout", ["timeout", "timed out"]), ("network", ["connection", "network", "unreachable"]), ("not found", ["404", "not found"]), ("parsing", ["json", "parse", "decode"])]
+    return f"CASE WHEN {c} IS NULL OR trim({c}, ' ') = '' THEN 'none' " + " ".join(f"WHEN {' OR '.join(f'contains(lower({c}), {chr(39)}{m}{chr(39)})' for m in ms)} THEN '{k}'" for k, ms in rules) + " ELSE 'other' END"
+
+
 SQL = {
+    "neg02_name_mutation": _DM + f", a AS (SELECT instance_id, m.authors[1] AS a FROM c WHERE len(m.authors) > 0 AND m.authors[1] IS NOT NULL), k AS (SELECT instance_id, a, length(a) AS n, {_S('3', chr(39) + 'kind' + chr(39), 'instance_id')} AS kind, 2 + {_S('greatest(length(a) - 3, 1)', chr(39) + 'at' + chr(39), 'instance_id')} AS at FROM a) SELECT instance_id, CASE WHEN n < 4 THEN a WHEN kind = 0 THEN substr(a, 1, at - 1) || substr(a, at + 1, 1) || substr(a, at, 1) || substr(a, at + 2) WHEN kind = 1 THEN substr(a, 1, at) || substr(a, at) ELSE regexp_replace(a, '^(\\w)\\w+', '\\1.') END AS name FROM k",
+    "str29_error_category": f"SELECT {_categories('text')} AS category, coalesce(regexp_matches(lower(text), '429|rate limit|timeout|timed out|temporarily|unavailable|502|503|504|connection reset|overloaded|try again'), false) AS retryable, count(*) AS n FROM documents WHERE source = 'web_scrape' GROUP BY ALL",
+    "spc21_clean_text": "SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '([a-z])-\\r?\\n([a-z])', '\\1\\2', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) AS clean_md5 FROM documents",
+
     "str01_normalize_text": f"SELECT ref_id, {_N.format('title')} AS norm FROM bib_references",
     "str02_normalize_title": "SELECT ref_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g') AS norm FROM bib_references",
     "str08_first_year": "SELECT ref_id, nullif(regexp_extract(year, '\\b(19|20)\\d{2}\\b', 0), '') AS year4 FROM bib_references",
