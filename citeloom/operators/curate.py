@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
 from citeloom.operators import ranking
+from citeloom.session import checkpointed
 
 
 def split(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -61,14 +62,15 @@ def cascade(df: DataFrame, key: str, lookups: list[tuple[str, Column, DataFrame,
 
     lookups: (source name, column of df, table, its key column); each table has the columns (key, value) with unique keys.
     """
-    out = df
+    out = df.withColumn("hit", F.lit(None).cast("string")).withColumn("hit_source", F.lit(None).cast("string"))
     for name, c, table, k in lookups:
-        side = table.select(F.col(k).alias(f"__{name}_k"), F.col("value").alias(f"__{name}_v"))
-        out = out.join(side, c == F.col(f"__{name}_k"), "left")
-    hit = F.coalesce(*[F.col(f"__{n}_v") for n, *_ in lookups])
-    source = F.coalesce(*[F.when(F.col(f"__{n}_v").isNotNull(), F.lit(n)) for n, *_ in lookups])
-    drop = [f"__{n}_{x}" for n, *_ in lookups for x in ("k", "v")]
-    return out.withColumn("hit", hit).withColumn("hit_source", source).drop(*drop)
+        side = table.select(F.col(k).cast("string").alias("__k"), F.col("value").alias("__v"))
+        # rows without a key, and rows answered already, meet nothing: each gets a key of its own, so they do not gather in one task
+        open_ = F.when(F.col("hit_source").isNull(), c.cast("string"))
+        alone = F.concat(F.lit("\u0000"), F.xxhash64(key).cast("string"))
+        found = out.withColumn("__c", F.coalesce(open_, alone)).join(side, F.col("__c") == F.col("__k"), "left")
+        out = found.withColumn("hit_source", F.coalesce("hit_source", F.when(F.col("__v").isNotNull(), F.lit(name)))).withColumn("hit", F.coalesce("hit", F.col("__v"))).drop("__k", "__v", "__c")
+    return out
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, version: list[str]) -> DataFrame:
@@ -86,9 +88,9 @@ def interleave(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """
     first = F.min(F.struct(*order))
     groups = df.groupBy(group).agg(F.count("*").alias("__n"), first.alias("__f"))
-    groups = groups.withColumn("__g", F.row_number().over(Window.orderBy("__f"))).drop("__f")  # one row for each group
+    groups = ranking.global_rank(groups, ["__f"], "__g").drop("__f")
     groups = groups.withColumnRenamed(group, "__group")
-    d = ranking.rank_within(df, [group], order, "__rn").join(F.broadcast(groups), F.col(group).eqNullSafe(F.col("__group")))
+    d = ranking.rank_within(df, [group], order, "__rn").join(groups, F.col(group).eqNullSafe(F.col("__group")))
     d = ranking.virtual_times(d.drop("__group"), "__rn", "__n", "__v")
     return ranking.global_rank(d, ["__v", "__g"], "slot").drop("__rn", "__n", "__g", "__v")
 
@@ -115,6 +117,35 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def rolling(df: DataFrame, at: str, key: str, seconds: int, value: Column) -> DataFrame:
     """df with the number of rows and the sum of value in the last `seconds` (lower bound exclusive) of each key."""
-    us = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return df.withColumn("n_window", F.count("*").over(w)).withColumn("sum_window", F.sum(value).over(w))
+    span = seconds * 1_000_000
+    d = df.withColumn("__us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__value", value).withColumn("__b", F.floor(F.col("__us") / span))
+    # a window reaches into the block before at most: each row is counted in its own block and lent to the next, so a key is spread over its blocks
+    w = Window.partitionBy(key, "__block").orderBy("__us").rangeBetween(-(span - 1), 0)
+    each = d.withColumn("__lent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__block", F.col("__b") + F.col("__lent"))
+    out = each.withColumn("n_window", F.count("*").over(w)).withColumn("sum_window", F.sum("__value").over(w))
+    return out.where("__lent = 0").drop("__us", "__value", "__b", "__lent", "__block")
+
+
+def best_overlap(asked: DataFrame, listed: DataFrame, steps: tuple[float, ...] = (0.6, 0.3)) -> DataFrame:
+    """(q, score, id): for each set of words the listed set with the highest floor(1000 x Jaccard), the smallest id of the best; sets without a common word do not come out.
+
+    asked (q, qt array) and listed (id, pt array), words distinct. By thresholds: at each, sets meet only by the prefix of their rarest words
+    that a pair so similar must share; a set whose best pair reaches the threshold is settled, the others go on. The last step is by all words.
+    """
+    rarity = listed.select(F.explode("pt").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def ordered(df: DataFrame, key: str, words: str) -> DataFrame:
+        e = df.select(key, F.explode(words).alias("w")).join(rarity, "w", "left")
+        return checkpointed(e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("n"), "w"))), lambda x: x["w"]).alias(words)))
+
+    left, right, out = ordered(asked, "q", "qt"), ordered(listed, "id", "pt"), None
+    for t in (*steps, 0.0):
+        prefix = lambda df, key, words: df.select(key, words, F.explode(F.slice(words, F.lit(1), F.size(words) - F.greatest(F.lit(1), F.ceil(F.size(words) * F.lit(t) - 1e-9).cast("int")) + 1)).alias("w"))  # noqa: E731, B023
+        met = prefix(left, "q", "qt").join(prefix(right, "id", "pt"), "w").where(F.least(F.size("qt"), F.size("pt")) >= F.lit(t) * F.greatest(F.size("qt"), F.size("pt"))).select("q", "id", "qt", "pt").distinct()
+        both = F.size(F.array_intersect("qt", "pt"))
+        score = F.floor(1000 * both / (F.size("qt") + F.size("pt") - both))
+        best = met.withColumn("score", score).groupBy("q").agg(F.max(F.struct("score", (-F.col("id")).alias("less"))).alias("b")).select("q", "b.score", (-F.col("b.less")).alias("id")).where(F.col("score") >= 1000 * t)
+        best = checkpointed(best)
+        out = best if out is None else out.unionAll(best)
+        left = left.join(best.select("q"), "q", "left_anti")
+    return out

@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as t
+from citeloom.session import checkpointed, salted_lookup
 
 #: Separators of the recursive splitter, coarse to fine; '' splits anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ", "")
 
 
+#: Blocks over which chunks are spread, so that no scope and no word is met in one task.
+BLOCKS = 16
+
+
 def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most `size` characters, parted at the coarsest separator that does; consecutive pieces share up to `overlap`."""
 
@@ -83,6 +88,31 @@ def header_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, "section_no", header.alias("header"), body.alias("body")).where("header <> '' or body <> ''")
 
 
+def header_chunks(df: DataFrame, key: str, text: str, size: int = 750, overlap: int = 150) -> DataFrame:
+    """(key, chunk_no, header, chunk): Markdown split at its headers, which stay with their text, then recursively; numbered through the document."""
+    s = header_sections(df, key, text)
+    whole = F.when(F.col("header") != "", F.concat_ws("\n", "header", F.nullif("body", F.lit("")))).otherwise(F.col("body"))
+    pieces = chunk(s.select(F.struct(key, "section_no", "header").alias("at"), whole.alias("w")), "at", "w", size, overlap)
+    w = Window.partitionBy("k").orderBy("section_no", "piece")  # the pieces of one document
+    d = pieces.select(F.col("at")[key].alias("k"), F.col("at.section_no").alias("section_no"), F.col("at.header").alias("header"), F.col("chunk_no").alias("piece"), "chunk")
+    return d.select(F.col("k").alias(key), (F.row_number().over(w) - 1).alias("chunk_no"), "header", "chunk")
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, scope: str, qid: str, query: str, cid: str, text: str, embedder, k: int = 15, least: float = 0.0, most: int = 3, score=None) -> DataFrame:
+    """(qid, cid, place, fused, rerank_score): sparse and dense rankings of k, fused by reciprocal ranks, reranked, kept from `least` on, at most `most`.
+
+    embedder turns texts into vectors (hooks.embed); score reranks (query, text), without one the share of the query's terms.
+    """
+    sparse = top_k(bm25(queries, chunks, scope, qid, query, cid, text).withColumn("score", F.round("score", 6)), qid, [F.desc("score"), F.col(cid)], k)
+    vectors = lambda df, key, c: df.select(scope, key).join(embedder(df, key, c), key)
+    near = dense(vectors(queries, qid, query), vectors(chunks, cid, text), scope, qid, cid, "embedding", k).where("score > 0")
+    f = rrf(sparse, near, qid, cid).withColumn("fused", F.round("score", 9))
+    f = top_k(f, qid, [F.desc("fused"), F.asc_nulls_last("ra"), F.asc_nulls_last("rb"), F.col(cid)], k)
+    both = f.join(chunks.select(cid, text), cid).join(queries.select(qid, query), qid)
+    s = rerank(both, score, query, text).withColumn("rerank_score", F.round("rerank_score", 6)).where(F.col("rerank_score") >= least)
+    return top_k(s, qid, [F.desc("rerank_score"), F.col("rank")], most, "place").select(qid, cid, "place", "fused", "rerank_score")
+
+
 def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
 
@@ -95,13 +125,33 @@ def postings(chunks: DataFrame, scope: str, cid: str, text: str) -> DataFrame:
 
 def bm25(queries: DataFrame, chunks: DataFrame, scope: str, qid: str, query: str, cid: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, cid, score): chunks of the query's scope that share a term with it."""
-    post = postings(chunks, scope, cid, text)
-    size = chunks.select(scope, F.size(terms(F.col(text))).alias("len")).groupBy(scope).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    post = checkpointed(postings(chunks, scope, cid, text))
+    return bm25_search(queries, post, corpus_stats(chunks, scope, text), scope, qid, query, cid, k1, b)
+
+
+def corpus_stats(chunks: DataFrame, scope: str, text: str) -> DataFrame:
+    """(scope, n, avg_len): the number of chunks of each scope and their mean length."""
+    return chunks.select(scope, F.size(terms(F.col(text))).alias("len")).groupBy(scope).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
+def bm25_search(queries: DataFrame, post: DataFrame, stats: DataFrame, scope: str, qid: str, query: str, cid: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25 on postings made once for many searches.
+
+    What a term weighs is put beside the query's terms, which are few, before they meet the postings. Postings are spread over BLOCKS by a
+    hash of the chunk and query terms copied to each, so that a common word of a large scope is met in many tasks.
+    """
     df = post.groupBy(scope, "term").agg(F.count("*").alias("df"))
     q = queries.select(scope, qid, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
+    q = salted_lookup(q, stats.withColumn("__n", F.col("n")), scope, "term", "__n").join(df, [scope, "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return q.join(post, [scope, "term"]).join(df, [scope, "term"]).join(size, scope).groupBy(qid, cid).agg(F.sum(part).alias("score"))
+    q = q.select(scope, qid, "term", "avg_len", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("__block"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return q.join(blocked(post, cid), [scope, "term", "__block"]).groupBy(qid, cid).agg(F.sum(part).alias("score"))
+
+
+def blocked(chunks: DataFrame, cid: str) -> DataFrame:
+    """chunks with `__block`, by a hash of their id."""
+    return chunks.withColumn("__block", F.pmod(F.xxhash64(cid), F.lit(BLOCKS)).cast("int"))
 
 
 def top_k(scored: DataFrame, qid: str, order: list, k: int, name: str = "rank") -> DataFrame:
@@ -110,11 +160,15 @@ def top_k(scored: DataFrame, qid: str, order: list, k: int, name: str = "rank")
 
 
 def dense(queries: DataFrame, chunks: DataFrame, scope: str, qid: str, cid: str, vec: str, k: int) -> DataFrame:
-    """(qid, cid, score, rank): the k most similar vectors within the query's scope."""
-    c = chunks.select(scope, cid, F.col(vec).alias("__c"))
-    q = queries.select(scope, qid, F.col(vec).alias("__q"))
-    s = q.join(c, scope).select(qid, cid, F.round(t.cosine(F.col("__q"), F.col("__c")), 9).alias("score"))
-    return top_k(s, qid, [F.desc("score"), F.col(cid)], k)
+    """(qid, cid, score, rank): the k most similar vectors within the query's scope, exactly.
+
+    The queries are a stated set; they meet the vectors block by block, and each block keeps its best k before the blocks are merged.
+    """
+    c = blocked(chunks.select(scope, cid, F.col(vec).alias("__c")), cid)
+    q = queries.select(scope, qid, F.col(vec).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("__block"))
+    s = q.join(c, [scope, "__block"]).select(qid, cid, "__block", F.round(t.cosine(F.col("__q"), F.col("__c")), 9).alias("score"))
+    best = s.withColumn("__r", F.row_number().over(Window.partitionBy(qid, "__block").orderBy(F.desc("score"), F.col(cid)))).where(F.col("__r") <= k)
+    return top_k(best.select(qid, cid, "score"), qid, [F.desc("score"), F.col(cid)], k)
 
 
 def rrf(a: DataFrame, b: DataFrame, qid: str, cid: str, k: int = 60) -> DataFrame:

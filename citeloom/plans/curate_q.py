@@ -212,8 +212,10 @@ def j14_upsert(spark, d):
 def j15_author_pool_minus(spark, d):
     """Authors of the same venue that are not authors of the paper itself, counted."""
     c = cited(spark, d).where("venue is not null").select("instance_id", "venue", "authors")
-    pool = c.select("venue", F.explode("authors").alias("a")).groupBy("venue").agg(F.array_sort(F.collect_set("a")).alias("pool"))
-    return c.join(pool, "venue").select("instance_id", F.size(F.array_except("pool", F.coalesce("authors", F.array().cast("array<string>")))).alias("others"))
+    pool = c.select("venue", F.explode("authors").alias("a")).where("a is not null").distinct().groupBy("venue").agg(F.count("*").alias("n"))
+    # a row's authors are in its venue's pool, so the others are counted, not listed
+    own = F.size(F.array_distinct(F.array_compact(F.coalesce("authors", F.array().cast("array<string>")))))
+    return c.join(pool, "venue").select("instance_id", (F.col("n") - own).cast("int").alias("others"))
 
 
 def win01_head_per_field(spark, d):
@@ -256,19 +258,15 @@ def top02_best_title(spark, d):
     """For each cited title the crawled paper with the best word overlap: 1000 x Jaccard, 1000 more if equal; the first of the best wins.
 
     Equal titles have the highest score there is, so they are settled by an equi join; only titles without an equal one go
-    on to candidates that share a word with them.
+    on to candidates, by prefixes of rare words.
     """
     p = table(spark, d, "papers", "crawl_no", "title").withColumn("nt", t.normalize_title(F.col("title"))).where("trim(nt) <> ''").select("crawl_no", "nt")
     p = p.groupBy("nt").agg(F.min("crawl_no").alias("crawl_no")).withColumn("pt", F.array_distinct(t.tokens(F.col("nt"))))
     c = cited(spark, d).select(t.normalize_title(F.col("title")).alias("q")).where("trim(q) <> ''").distinct()
     equal = c.join(p, F.col("q") == F.col("nt")).select("q", F.lit(2000).cast("bigint").alias("score"), "crawl_no")
     rest = c.join(p, F.col("q") == F.col("nt"), "left_anti").withColumn("qt", F.array_distinct(t.tokens(F.col("q"))))
-    pw = p.select("crawl_no", F.size("pt").alias("np"), F.explode("pt").alias("w"))
-    cw = rest.select("q", F.size("qt").alias("nq"), F.explode("qt").alias("w"))
-    common = cw.join(pw, "w").groupBy("q", "nq", "crawl_no", "np").agg(F.count("*").alias("both"))
-    s = F.floor(1000 * F.col("both") / (F.col("nq") + F.col("np") - F.col("both")))
-    best = common.groupBy("q").agg(F.max(F.struct(s.alias("score"), (-F.col("crawl_no")).alias("neg"))).alias("b"))
-    return equal.unionAll(best.select("q", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("crawl_no")))
+    best = curate.best_overlap(rest, p.select(F.col("crawl_no").alias("id"), "pt"))
+    return equal.unionAll(best.select("q", "score", F.col("id").alias("crawl_no")))
 
 
 STOP = ["with", "that", "this", "from", "have", "been", "were", "their", "which", "than"]

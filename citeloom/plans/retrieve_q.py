@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from citeloom.functions import hooks
 from citeloom.functions import text as t
 from citeloom.operators import retrieve as r
 from citeloom.plans.p_core import delivered
@@ -94,6 +95,25 @@ def ret09_hybrid(spark, d):
     return claims(spark, d).join(e, "qid", "left").select("qid", F.coalesce(F.array_join(F.transform("e", lambda x: x["cid"].cast("string")), ","), F.lit("")).alias("evidence"))
 
 
+def document_chunks(spark, d):
+    """(scope, cid, text): the chunks of all documents, split at headers and recursively, within their papers."""
+    docs = table(spark, d, "documents", "doc_id", "paper_id", "text").where("paper_id is not null and text is not null")
+    c = r.header_chunks(docs, "doc_id", "text")
+    return c.join(docs.select("doc_id", F.col("paper_id").alias("scope")), "doc_id").select("scope", F.concat_ws("_chunk_", "doc_id", "chunk_no").alias("cid"), F.col("chunk").alias("text"))
+
+
+def ret02_header_chunks(spark, d):
+    """Documents split at headers, which stay with their text, then recursively: 750 characters with 150 of overlap."""
+    c = r.header_chunks(table(spark, d, "documents", "doc_id", "text").where("text is not null"), "doc_id", "text")
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.countDistinct("header").alias("headers"), F.max(F.length("chunk")).alias("longest"))
+
+
+def ret09_chunks(spark, d):
+    """The whole retrieval over chunks of documents: BM25 and embeddings (the offline hasher), fusion, rerank from 0.2 on, the three best; the stated query set of claims."""
+    q, c = checkpointed(claims(spark, d)), checkpointed(document_chunks(spark, d))
+    return r.hybrid(q, c, "scope", "qid", "query", "cid", "text", hooks.embed, least=0.2)
+
+
 def top01_dense(spark, d):
     """Query set: every vector whose id is divisible by 20, against all vectors of its label."""
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
@@ -143,7 +163,7 @@ def str36_evidence_block(spark, d):
     return i.select("instance_id", F.array_join(F.transform(F.slice("retrieved_evidences.extractive_chunks", 1, 5), line), "\n").alias("block"))
 
 
-QUERIES = {f.__name__: f for f in [top03_bm25, ret06_rrf, ret07_quota_fusion, str25_retrieval_weights, ret09_hybrid, top01_dense, mth01_cosine, ret01_header_sections, ret02_chunks, ret03_chunks_small, ret11_missing_documents, ret12_synthesis, str36_evidence_block]}
+QUERIES = {f.__name__: f for f in [top03_bm25, ret06_rrf, ret07_quota_fusion, str25_retrieval_weights, ret09_hybrid, top01_dense, mth01_cosine, ret01_header_sections, ret02_header_chunks, ret09_chunks, ret02_chunks, ret03_chunks_small, ret11_missing_documents, ret12_synthesis, str36_evidence_block]}
 _RRF = _BM + ", f AS (SELECT qid, cid, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s, a.rank AS ra, b.rank AS rb FROM bm a FULL JOIN lx b USING (qid, cid)), rf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, ra NULLS LAST, rb NULLS LAST) AS rank FROM f QUALIFY rank <= 15)"
 TRACES_SQL = _RRF + " SELECT qid, 'sparse' AS stage, rank, cid::VARCHAR AS chunk_id, score FROM bm UNION ALL SELECT qid, 'overlap', rank, cid::VARCHAR, score FROM lx UNION ALL SELECT qid, 'fused', rank, cid::VARCHAR, round(s, 9) FROM rf"
 SQL = {

@@ -320,7 +320,7 @@ def _categories(c):
 
 
 SQL = {
-    "neg02_name_mutation": _DM + f", a AS (SELECT instance_id, m.authors[1] AS a FROM c WHERE len(m.authors) > 0 AND m.authors[1] IS NOT NULL), k AS (SELECT instance_id, a, length(a) AS n, {_S('3', chr(39) + 'kind' + chr(39), 'instance_id')} AS kind, 2 + {_S('greatest(length(a) - 3, 1)', chr(39) + 'at' + chr(39), 'instance_id')} AS at FROM a) SELECT instance_id, CASE WHEN n < 4 THEN a WHEN kind = 0 THEN substr(a, 1, at - 1) || substr(a, at + 1, 1) || substr(a, at, 1) || substr(a, at + 2) WHEN kind = 1 THEN substr(a, 1, at) || substr(a, at) ELSE regexp_replace(a, '^(\\w)\\w+', '\\1.') END AS name FROM k",
+    "neg02_name_mutation": _DM + f", a AS (SELECT instance_id, m.authors[1] AS a FROM c WHERE len(m.authors) > 0 AND m.authors[1] IS NOT NULL), k AS (SELECT instance_id, a, length(a) AS n, {_S('3', chr(39) + 'kind' + chr(39), 'instance_id')} AS kind, 2 + {_S('greatest(length(a) - 3, 1)', chr(39) + 'at' + chr(39), 'instance_id')} AS pp FROM a) SELECT instance_id, CASE WHEN n < 4 THEN a WHEN kind = 0 THEN substr(a, 1, pp - 1) || substr(a, pp + 1, 1) || substr(a, pp, 1) || substr(a, pp + 2) WHEN kind = 1 THEN substr(a, 1, pp) || substr(a, pp) ELSE regexp_replace(a, '^(\\w)\\w+', '\\1.') END AS name FROM k",
     "str29_error_category": f"SELECT {_categories('text')} AS category, coalesce(regexp_matches(lower(text), '429|rate limit|timeout|timed out|temporarily|unavailable|502|503|504|connection reset|overloaded|try again'), false) AS retryable, count(*) AS n FROM documents WHERE source = 'web_scrape' GROUP BY ALL",
     "spc21_clean_text": "SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '([a-z])-\\r?\\n([a-z])', '\\1\\2', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) AS clean_md5 FROM documents",
 
