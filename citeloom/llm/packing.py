@@ -8,9 +8,10 @@ which of several documents gets which container. The matched containers move to
 sweep repeats until the size is used up; a size for which no gap is left opens containers. The outcome is the
 same as best-fit decreasing run item by item.
 
-The sweeps need only how many documents have each size: at most as many numbers as the longest text has
-tokens, whatever the number of documents. That histogram is what the driver sees. The documents stay
-distributed: each finds its container from its position by binary search in the sweep's match list.
+The sweeps need only how many pieces have each size below the capacity, at most as many numbers as the capacity, whatever the
+number and the length of the documents: the counts of one kind of container go to one task, which gives back the
+matches of each size. Nothing of this passes through the driver. Documents meet the matches of their size by a join
+spread for hot sizes, and find their container by their rank, in the JVM.
 
 Defined cases: a text above the capacity is cut into full pieces and a remainder; only such texts are split.
 A text without tokens (null, empty) takes no room and is put into an existing container, by position.
@@ -20,16 +21,13 @@ Repeated ids are separate items. Without documents there are no rows.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.session import checkpointed
-
-_IDX_BITS = 33  # monotonically_increasing_id(): the partition above, the row within it below
+from citeloom.operators.ranking import global_rank
+from citeloom.session import checkpointed, salted_lookup
 
 
 def sweep(counts: dict[int, int], capacity: int, first_id: int = 0) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -83,56 +81,15 @@ def sweep(counts: dict[int, int], capacity: int, first_id: int = 0) -> tuple[lis
     return matches, free
 
 
-class Plan:
-    """Where each position goes, for one capacity. Arrays are as long as there are sizes and matches."""
-
-    def __init__(self, sizes: np.ndarray, numbers: np.ndarray, capacity: int):
-        """sizes: the distinct document sizes, descending; numbers: how many documents have each."""
-        self.capacity = capacity
-        self.sizes_up = sizes[::-1].copy()
-        start = np.concatenate(([0], np.cumsum(numbers)[:-1])).astype(np.int64)
-        whole = np.where(sizes > capacity, sizes // capacity, 0)
-        rest = np.where(sizes > capacity, sizes % capacity, sizes)
-        whole_base = np.concatenate(([0], np.cumsum(whole * numbers)[:-1])).astype(np.int64)
-        counts: dict[int, int] = {}
-        rank_base = np.zeros(len(sizes), np.int64)
-        for i, (r, n) in enumerate(zip(rest.tolist(), numbers.tolist())):
-            if r:
-                rank_base[i] = counts.get(r, 0)
-                counts[r] = counts.get(r, 0) + n
-        n_whole = int((whole * numbers).sum())
-        matches, self.containers = sweep(counts, capacity, n_whole)
-        m = np.array(matches, np.int64).reshape(-1, 4)
-        order = np.lexsort((m[:, 1], m[:, 0]))
-        m = m[order]
-        self.m_size, self.m_rank, self.m_start, self.m_each = m.T.copy()
-        for name, x in (("start", start), ("whole", whole), ("rest", rest), ("whole_base", whole_base), ("rank_base", rank_base)):
-            setattr(self, name, x[::-1].copy())
-        # (size, rank) as one sortable number
-        self.width = int(numbers.sum()) + 1
-        self.m_key = self.m_size * self.width + self.m_rank
-
-    def place(self, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, piece number, tokens, container) of every piece of the given documents."""
-        i = np.searchsorted(self.sizes_up, size)
-        nth = pos - self.start[i]
-        whole, rest = self.whole[i], self.rest[i]
-        rows = np.arange(len(size))
-        w_row = np.repeat(rows, whole)
-        w_no = np.arange(len(w_row)) - np.repeat(np.cumsum(whole) - whole, whole)
-        w_box = self.whole_base[i][w_row] + nth[w_row] * whole[w_row] + w_no
-        r_row = rows[rest > 0]
-        rank = self.rank_base[i][r_row] + nth[r_row]
-        k = np.searchsorted(self.m_key, rest[r_row] * self.width + rank, side="right") - 1
-        r_box = self.m_start[k] + (rank - self.m_rank[k]) // self.m_each[k] if len(r_row) else r_row
-        z_row = rows[size == 0]
-        z_box = nth[z_row] % max(self.containers, 1)
-        return (
-            np.concatenate((w_row, r_row, z_row)),
-            np.concatenate((w_no, whole[r_row], np.zeros(len(z_row), np.int64))),
-            np.concatenate((np.full(len(w_row), self.capacity), rest[r_row], np.zeros(len(z_row), np.int64))),
-            np.concatenate((w_box, r_box, z_box)),
-        )
+def _swept(frame: pd.DataFrame) -> pd.DataFrame:
+    """The matches of one kind of container, a row for each size: (pack, rest, ranks, starts, eaches, containers)."""
+    pack, capacity, first = frame["pack"].iloc[0], int(frame["cap"].iloc[0]), int(frame["n_whole"].iloc[0])
+    matches, containers = sweep(dict(zip(frame["rest"].tolist(), frame["c"].tolist())), capacity, first)
+    by_size: dict[int, list[tuple[int, int, int]]] = {}
+    for size, rank, start, each in matches:
+        by_size.setdefault(size, []).append((rank, start, each))
+    rows = [(pack, size, *[list(x) for x in zip(*sorted(ms))], containers) for size, ms in by_size.items()]
+    return pd.DataFrame(rows, columns=["pack", "rest", "ranks", "starts", "eaches", "containers"])
 
 
 def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
@@ -146,44 +103,37 @@ def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], id_col: str =
     kind = sized.schema[id_col].dataType.simpleString()
     s = sized.select(F.col(id_col).alias("k"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
     s = checkpointed(s)  # the range sort reads its input twice: once for the bounds
-    ranged = checkpointed(
-        s.repartitionByRange(F.desc("n"), "k")
-        .sortWithinPartitions(F.desc("n"), "k")
-        .withColumn("at", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("at", _IDX_BITS)
-    offsets, total = {}, 0
-    for p, n in sorted(tuple(r) for r in ranged.groupBy(part.alias("p")).count().collect()):
-        offsets[p] = total
-        total += n
-    histogram = sorted((tuple(r) for r in ranged.groupBy("n").count().collect()), reverse=True)
-    sizes = np.array([h[0] for h in histogram], np.int64)
-    numbers = np.array([h[1] for h in histogram], np.int64)
-    plans = [(name, Plan(sizes, numbers, int(c))) for name, c in packs] if len(sizes) else []
-    names = ["pack_name", "k", "piece_no", "n_tokens", "container_no"]
-    # the plans grow with the number of sizes, not of documents: sent once to each executor
-    shared = sized.sparkSession.sparkContext.broadcast((plans, offsets))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, offsets = shared.value
-        for b in batches:
-            n, at = b.column(1).to_numpy(), b.column(2).to_numpy()
-            pos = np.array([offsets[p] for p in (at >> _IDX_BITS).tolist()], np.int64) + (at & ((1 << _IDX_BITS) - 1))
-            for name, plan in plans:
-                row, no, tokens, box = plan.place(n, pos)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name]).take(pa.array(np.zeros(len(row), np.int64))),
-                        b.column(0).take(pa.array(row)),
-                        pa.array(no.astype(np.int32)),
-                        pa.array(tokens.astype(np.int64)),
-                        pa.array(box.astype(np.int64)),
-                    ],
-                    names,
-                )
-
-    out = ranged.mapInArrow(run, f"pack_name string, k {kind}, piece_no int, n_tokens bigint, container_no bigint")
-    return out.withColumnRenamed("k", id_col)
+    ranged = global_rank(s, [F.desc("n"), F.col("k")], "pos").withColumn("pos", F.col("pos") - 1)
+    sizes = checkpointed(ranged.groupBy("n").agg(F.count("*").alias("c"), F.min("pos").alias("start")))
+    each_pack = F.explode(F.array(*[F.struct(F.lit(name).alias("pack"), F.lit(int(c)).cast("bigint").alias("cap")) for name, c in packs]))
+    per = sizes.withColumn("p", each_pack).select("n", "c", "start", "p.pack", "p.cap")
+    above = F.col("n") > F.col("cap")
+    per = per.withColumn("whole", F.when(above, F.expr("n div cap")).otherwise(0)).withColumn("rest", F.when(above, F.col("n") % F.col("cap")).otherwise(F.col("n")))
+    before = lambda *by: Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    # of each size: how many items of the same rest come before, and how many full containers (only sizes above the capacity have any)
+    ranked = per.withColumn("rank_base", F.coalesce(F.sum("c").over(before("pack", "rest")), F.lit(0)))
+    full = per.where("whole > 0").select("pack", "n", F.coalesce(F.sum(F.col("whole") * F.col("c")).over(before("pack")), F.lit(0)).alias("whole_base"))
+    n_whole = per.groupBy("pack").agg(F.sum(F.col("whole") * F.col("c")).alias("n_whole"))  # one row for each pack, as in all broadcasts here
+    classes = per.where("rest > 0").groupBy("pack", "cap", "rest").agg(F.sum("c").alias("c")).join(F.broadcast(n_whole), "pack")
+    lists = "ranks array<bigint>, starts array<bigint>, eaches array<bigint>"
+    matches = checkpointed(classes.groupBy("pack").applyInPandas(_swept, f"pack string, rest bigint, {lists}, containers bigint"))
+    boxes = n_whole.join(matches.groupBy("pack").agg(F.max("containers").alias("with_rests")), "pack", "left").select("pack", F.coalesce("with_rests", "n_whole").alias("containers"))
+    plan = ranked.join(full, ["pack", "n"], "left").join(matches.drop("containers"), ["pack", "rest"], "left").join(F.broadcast(boxes), "pack")
+    plan = plan.groupBy("n").agg(F.first("c").alias("c"), F.first("start").alias("start"), F.collect_list(F.struct("pack", "cap", "whole", "rest", "rank_base", "whole_base", "ranks", "starts", "eaches", "containers")).alias("plans"))
+    d = salted_lookup(ranged, plan, "n", "k", "c").select("k", "n", (F.col("pos") - F.col("start")).alias("nth"), F.explode("plans").alias("p")).select("k", "n", "nth", "p.*")
+    # the match of a rank is the last that begins at or before it
+    rank = F.col("rank_base") + F.col("nth")
+    at = F.size(F.filter("ranks", lambda r: r <= F.col("rank"))) - 1
+    box = F.get("starts", F.col("at")) + F.expr("(rank - ranks[at]) div eaches[at]")
+    d = d.withColumn("rank", rank).withColumn("at", F.when(F.col("rest") > 0, at))
+    piece = lambda no, tokens, where: F.struct(no.cast("int").alias("piece_no"), tokens.cast("bigint").alias("n_tokens"), where.cast("bigint").alias("container_no"))
+    fulls = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("whole") - 1, F.lit(0))), lambda i: piece(i, F.col("cap"), F.col("whole_base") + F.col("nth") * F.col("whole") + i)))
+    last = F.when(F.col("rest") > 0, F.array(piece(F.col("whole"), F.col("rest"), box)))
+    none = F.when(F.col("n") == 0, F.array(piece(F.lit(0), F.lit(0), F.col("nth") % F.greatest(F.col("containers"), F.lit(1)))))
+    empty = F.array().cast("array<struct<piece_no:int,n_tokens:bigint,container_no:bigint>>")
+    pieces = F.concat(*[F.coalesce(x, empty) for x in (fulls, last, none)])
+    out = d.select(F.col("pack").alias("pack_name"), F.col("k").cast(kind).alias(id_col), F.explode(pieces).alias("x"))
+    return out.select("pack_name", id_col, "x.piece_no", "x.n_tokens", "x.container_no")
 
 
 def fill_report(packed: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
