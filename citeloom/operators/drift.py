@@ -1,7 +1,7 @@
 """Schemas that drift between numbered files: versioned fingerprints, change log, one consistent table.
 
 A file's schema is the set of its top-level fields with a non-null value, each with the commonest JSON type of
-its values. Its fingerprint is a hash of that. Consecutive files of an exporter are compared: fields that are gone and
+its values. Its fingerprint is a hash of that. Consecutive files of an exporter with different fingerprints are compared: fields that are gone and
 fields that are new are matched as renames by the values of the records that both files hold, all others are
 removals, additions and changes of type; every change is one row of the log, which is the list of migration steps.
 Records are then routed through the steps: the renames logged for the record's own exporter, chained from file to file, lead
@@ -95,6 +95,10 @@ def changes(records: DataFrame, id_field: str = "ID") -> DataFrame:
     at = ["exporter", "file_seq"]
     # consecutive pairs of files, named by the later one
     pairs = files.join(files.select("exporter", (F.col("file_seq") + 1).cast("int").alias("file_seq")), at)
+    # files of the version before them bring no change: only pairs of different fingerprints go on
+    versions = checkpointed(fingerprints(schema)).select(*at, "fingerprint")
+    older = versions.select("exporter", (F.col("file_seq") + 1).cast("int").alias("file_seq"), F.col("fingerprint").alias("before"))
+    pairs = checkpointed(pairs.join(versions, at, "left").join(older, at, "left").where(~F.col("fingerprint").eqNullSafe(F.col("before"))).select(*at))
     now = schema.join(pairs, at, "left_semi")
     before = schema.withColumn("file_seq", (F.col("file_seq") + 1).cast("int")).join(pairs, at, "left_semi")
     both = checkpointed(
@@ -228,6 +232,11 @@ def own_routes(steps: list[tuple[int, str, str, str]], files: list[int], names:
     return {seq: {n: column[x] for n in sorted(known) if (x := at(n, seq)) in column} for seq in files}
 
 
+def leftover(unified: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field, n): the values of a consistent table that no column could take, counted by raw field: fields without a column, second values of one, and values of no fitting type."""
+    return unified.select(*by, F.explode("other_fields").alias("field", "v")).groupBy(*by, "field").agg(F.count("*").alias("n"))
+
+
 def routes(records: DataFrame, log: DataFrame, names: dict[str, str], target: list[str]) -> DataFrame:
     """(exporter, file_seq, route map<string,string>): own_routes of every exporter with renames.
 

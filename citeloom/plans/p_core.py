@@ -26,6 +26,11 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(records, log, ["row_no", "exporter", "file_seq", "line_no"])
 
 
+def p5_leftover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the consistent table could not place, by exporter, file and raw field."""
+    return drift.leftover(checkpointed(p5_unified(spark, sf_dir)), ["exporter", "file_seq"])
+
+
 TRACES = nested.Shape(
     "trace", wrap=("traces",),
     children=(nested.Shape("trace_author", ("retrieved_metadata", "authors")), nested.Shape("trace_snippet", ("evidence_snippets",))),
@@ -141,7 +146,7 @@ _LATEST = """WITH d AS (SELECT * FROM instances WHERE instance_id IS NOT NULL
 _LONE = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'VARCHAR' THEN [{0}] ELSE [] END"
 
 QUERIES = {
-    "p5_found": p5_found, "p5_versions": p5_versions, "p5_unified": p5_unified,
+    "p5_found": p5_found, "p5_versions": p5_versions, "p5_unified": p5_unified, "p5_leftover": p5_leftover,
     "p6_found": p6_found, "p6_traces": p6_traces, "p6_citations": p6_citations,
 }
 SQL = {
