@@ -153,7 +153,7 @@ def real_people(authors: Column, title: Column, places: Column) -> Column:
 
 def balanced(c: Column) -> Column:
     """Whether braces pair up."""
-    plain = F.regexp_replace(c, r"\\\\[{}]", "")
+    plain = F.regexp_replace(c, r"\\[{}]", "")
     depth = F.aggregate(F.regexp_extract_all(plain, F.lit(r"([{}])"), F.lit(1)), F.lit(0), lambda d, b: F.when(d < 0, d).when(b == "{", d + 1).otherwise(d - 1))
     return depth == 0
 
@@ -227,7 +227,7 @@ def unfenced(raw: Column) -> Column:
 
 def closing(c: Column) -> Column:
     """What a text of JSON that breaks off lacks: the quotation mark of an open string, then the open brackets from the inside out."""
-    bare = F.regexp_replace(c, r"\\\\.", "")  # escaped characters are neither marks nor brackets
+    bare = F.regexp_replace(c, r"\\.", "")  # escaped characters are neither marks nor brackets
     outside = F.regexp_replace(bare, r'"[^"]*"', "")  # whole strings are gone; a mark that is left opens one
     in_string = outside.contains('"')
     marks = F.regexp_extract_all(F.regexp_replace(outside, r'"(?s).*$', ""), F.lit(r"([\[\]{}])"), F.lit(1))

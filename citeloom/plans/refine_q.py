@@ -98,7 +98,7 @@ def str22_clean_fields(spark, d):
     typed = [_cat("\\emph{", F.col(c), "}~\\textbf{", F.col(c), "}\\label{x", "}", F.when(F.col("ref_id") % 7 == i, F.lit("{")).otherwise(F.lit("")), " % aside").alias(c) for i, c in enumerate(cols)]
     raw = b.select("ref_id", *typed)
     for c in cols:
-        raw = raw.where(x.balanced(F.regexp_replace(c, r"(?<!\\\\)%.*$", "")))
+        raw = raw.where(x.balanced(F.regexp_replace(c, r"(?<!\\)%.*$", "")))
     return raw.select("ref_id", *[x.clean_latex(F.col(c)).alias(c) for c in cols])
 
 
