@@ -170,7 +170,15 @@ PROMPT_SIGNS = (
     "patien", "purchase", "buy this", "subscribe", "members may", "owner", "administrat", "download it", "see this", "looking for", "versuchen", "melden", "wenden", "bitte", "zurück", "startseite", "späteren", "veuillez", "réessay", "retour", "plus tard", "intént", "vuelva", "volver", "inicie", "consulte", "más tarde", "por favor", "novamente", "riprova",
     "お待ち", "もう一度", "再度", "나중에", "다시", "잠시", "请稍", "重试", "稍後",
 )
-SIGNS = {"blank": BLANK_SIGNS, "latin": LATIN_SIGNS, "sample": SAMPLE_SIGNS, "trace": TRACE_SIGNS, "script": SCRIPT_SIGNS, "fail": FAIL_SIGNS, "prompt": PROMPT_SIGNS}
+ORDER_SIGNS = (
+    "your", " here", "below", "final", "actual", "the real", "this line", "this text", "this paragraph", "this space", "this box", "this field", "before submission", "to follow", "to be ", "todo", "tbd", "tba", "fixme", "xxx", "to do", "pending", ": <",
+)
+#: Of notices that begin with an apology, a label, or waiting.
+OPENING_SIGNS = (
+    "sorry", "oops", "whoops", "uh-oh", "uhoh", "oh no", "apolog", "unfortunately", "error", "fehler", "erreur", "warning", "notice", "hinweis", "aviso", "avis", "désol", "sentimos", "entschuldigung", "leider", "desculpe", "spiacenti", "ops",
+    "申し訳", "죄송", "抱歉", "对不起", "loading", "fetching", "starting", "redirecting", "connecting", "processing", "laden", "chargement", "cargando", "please wait", "読み込み中", "로딩", "加载中",
+)
+SIGNS = {"order": ORDER_SIGNS, "opening": OPENING_SIGNS, "blank": BLANK_SIGNS, "latin": LATIN_SIGNS, "sample": SAMPLE_SIGNS, "trace": TRACE_SIGNS, "script": SCRIPT_SIGNS, "fail": FAIL_SIGNS, "prompt": PROMPT_SIGNS}
 CODE = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 #: Points at which a sentence is evidence by itself, and at which it is in a line without other text.
 SURE, LIKELY = 4, 3
@@ -207,6 +215,11 @@ def signs_of(text: str) -> dict[str, list[str]]:
     return {k: [x for x in v if x in here] for k, v in SIGNS.items()}
 
 
+def may_hold_field(core: str) -> bool:
+    """What FIELD_SIGN finds, by characters first: most sentences have none of them but the marker of a citation."""
+    return any(map(core.replace("[CITATION]", "").__contains__, "{«<%[$@#_(")) and bool(FIELD_SIGN.search(core)) or "here)" in core.lower()
+
+
 def bare(s: str) -> str:
     """A sentence without quotation marks around it and without marks of headings, lists and quotations."""
     core = s.strip().strip("\"'`“”")
@@ -230,7 +243,7 @@ def scored(core: str, signs: dict = SIGNS) -> tuple[str | None, int]:
 
 
 def _field(core: str, low: str, signs: dict) -> tuple[str | None, int]:
-    if signs.get("field", True) and FIELD_SIGN.search(core):
+    if signs.get("field", True) and may_hold_field(core):
         fields = FIELD.findall(core)
         if fields:  # several fields make a template, whatever it says; one field in a long sentence is an aside
             return ("placeholder", SURE) if len(fields) > 1 or len(WORD.findall(core)) <= 25 else (None, 0)
@@ -250,7 +263,7 @@ def _filler(core: str, low: str, signs: dict) -> tuple[str | None, int]:
         words = WORD.findall(low)
         if len(words) >= 3 and latin_share(words) >= 0.5:
             return "filler", SURE
-    if (signed(low, signs["sample"]) and SAMPLE.search(core) and SAMPLE_USE.search(core)) or ORDER.match(core):
+    if (signed(low, signs["sample"]) and SAMPLE.search(core) and SAMPLE_USE.search(core)) or (signed(low, signs["order"]) and ORDER.match(core)):
         return "filler", SURE
     return None, 0
 
@@ -259,8 +272,8 @@ def _notice(core: str, low: str, signs: dict) -> tuple[str | None, int]:
     """A notice by what it joins: a failure with a thing, a request with a reader, a browser's script with its being off."""
     if (signed(low, signs["trace"]) and TRACE.match(core)) or ("{" in core[:3] and JSON_ERROR.match(core)):
         return "error", SURE
-    sorry = bool(APOLOGY.match(core))
-    waits = bool(WAITING.match(core))
+    opening = signed(low, signs["opening"])
+    sorry, waits = opening and bool(APOLOGY.match(core)), opening and bool(WAITING.match(core))
     about, fail_sign, prompt_sign = signed(low, signs["script"]), signed(low, signs["fail"]), signed(low, signs["prompt"])
     coded = bool(signs.get("code", True) and CODE.search(core) and STATUS.search(core))
     if not (sorry or waits or about or fail_sign or prompt_sign or coded):
@@ -296,6 +309,9 @@ def line_kind(line: str, signs: dict = SIGNS) -> str | None:
         core = bare(s)
         if not core:
             continue
+        if "any" in signs and not signed(core.lower(), signs["any"]) and not (signs["field"] and may_hold_field(core)) and not (signs["code"] and CODE.search(core)):
+            other += len(core)  # nothing of which evidence is made
+            continue
         kind, points = scored(core, signs)
         if points >= SURE:
             return kind
@@ -311,7 +327,8 @@ def facts(text: str) -> list[tuple[str, str | None, int]]:
     """(normalised line, kind of evidence or None, characters) of a text, each normalised line once; numbers in evidence are alike."""
     found: dict[str, tuple[str, str | None, int]] = {}
     text = text.replace("\xa0", " ")
-    signs = {**signs_of(text), "field": bool(FIELD_SIGN.search(text)), "code": bool(CODE.search(text))}
+    here = signs_of(text)
+    signs = {**here, "any": sorted({x for v in here.values() for x in v}), "field": bool(FIELD_SIGN.search(text)), "code": bool(CODE.search(text))}
     for line in text.splitlines():
         line = line.strip()
         if line and (norm := " ".join(line.lower().split())) not in found:
