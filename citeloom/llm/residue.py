@@ -159,9 +159,9 @@ SAMPLE_SIGNS = tuple("sample mock dummy demo example temporary placeholder fille
 TRACE_SIGNS = ("rror", "xception", "traceback", "file \"", "at ", "notice", "warning", "panic", "core", "trace", "segmentation", "failure", "fatal")
 SCRIPT_SIGNS = ("script", "skript", "js", "active content", "cookie", "browser", "ad block", "adblock", "ad-block", "navegador", "navigateur", "install a", "start", "load", "not work", "not display", "not run", "スクリプト", "자바스크립트", "クッキー")
 FAIL_SIGNS = (
-    "wrong", "occurred", "can't", "can’t", "cannot", "can not", "couldn", "could not", "unable", "fail", "found", "avail", "recogni", "exist", "longer", "denied", "forbid", "restrict", "block", "permission", "authori", "not allowed", "not permitted", "not logged",
-    "n't ", "n’t ", "difficult", "problem", "connect", "an error", "impossible", "no se puede", "logged out", "signed out", "too many", "too fast", "rate limit", "throttl", "quota", "gateway", "request", "server", "proxy", "temporar", "currently", "offline", " down", "maintenance", "rebuilt", "password", "zero pages", "expired", "subscri", "robot", "memory", "lookup", "connection", "moved", "deleted",
-    "suspended", "disabled", "withdrawn", "missing", "nothing", "no result", "no record", "no document", "no match", "no entr", "0 results", "0 hits", "0 matches", "exceeded", "corrupt", "damaged", "encrypted", "paused", "time", "closed", "empty", "readable", "supported", "not load", "used up", "overload", "invalid",
+    "wrong", "occurred", "can't", "can’t", "cannot", "can not", "couldn", "could not", "unable", "fail", "not found", "nothing", "avail", "recogni", "exist", "longer", "denied", "forbid", "restrict", "block", "permission", "authori", "not allowed", "not permitted", "not logged",
+    "n't ", "n’t ", "difficult", "problem", "connect", "an error", "impossible", "no se puede", "logged out", "signed out", "too many", "too fast", "rate limit", "throttl", "quota", "gateway", "bad request", "server error", "proxy", "temporar", "currently", "offline", " down", "maintenance", "rebuilt", "password", "zero pages", "expired", "subscri", "robot", "memory", "lookup", "connection", "moved", "deleted",
+    "suspended", "disabled", "withdrawn", "missing", "nothing", "no result", "no record", "no document", "no match", "no entr", "0 results", "0 hits", "0 matches", "exceeded", "corrupt", "damaged", "encrypted", "paused", "timed out", "timed-out", "timeout", "time-out", "time out", "closed", "empty", "readable", "supported", "not load", "used up", "overload", "invalid",
     "nicht", "verweiger", "vorüber", "erforder", "nur für", "fehlgeschl", "erfordert", "benötigt", "introuvable", "indisponible", "trouv", "accès", "pas ", "réservé", "échou", "nécessite", "encontr", "pudo", "no existe", "disponible", "no está", "acceso", "requiere", "temporalmente", "falló", "não ", "pagina",
     "見つか", "存在", "利用", "찾을", "존재", "사용할", "找不到", "未找到", "不存在", "无法", "無法", "拒绝",
 )
@@ -170,6 +170,7 @@ PROMPT_SIGNS = (
     "patien", "purchase", "buy this", "subscribe", "members may", "owner", "administrat", "download it", "see this", "looking for", "versuchen", "melden", "wenden", "bitte", "zurück", "startseite", "späteren", "veuillez", "réessay", "retour", "plus tard", "intént", "vuelva", "volver", "inicie", "consulte", "más tarde", "por favor", "novamente", "riprova",
     "お待ち", "もう一度", "再度", "나중에", "다시", "잠시", "请稍", "重试", "稍後",
 )
+STATUS_SIGNS = ("http", "rror", "status", "code", "fehler", "erreur", "not found", "forbid", "authori", "gateway", "unavail", "timeout", "time-out", "too many", "bad ", "gone", "request", "proxy", "internal", "service", "access", "page")
 ORDER_SIGNS = (
     "your", " here", "below", "final", "actual", "the real", "this line", "this text", "this paragraph", "this space", "this box", "this field", "before submission", "to follow", "to be ", "todo", "tbd", "tba", "fixme", "xxx", "to do", "pending", ": <",
 )
@@ -178,7 +179,7 @@ OPENING_SIGNS = (
     "sorry", "oops", "whoops", "uh-oh", "uhoh", "oh no", "apolog", "unfortunately", "error", "fehler", "erreur", "warning", "notice", "hinweis", "aviso", "avis", "désol", "sentimos", "entschuldigung", "leider", "desculpe", "spiacenti", "ops",
     "申し訳", "죄송", "抱歉", "对不起", "loading", "fetching", "starting", "redirecting", "connecting", "processing", "laden", "chargement", "cargando", "please wait", "読み込み中", "로딩", "加载中",
 )
-SIGNS = {"order": ORDER_SIGNS, "opening": OPENING_SIGNS, "blank": BLANK_SIGNS, "latin": LATIN_SIGNS, "sample": SAMPLE_SIGNS, "trace": TRACE_SIGNS, "script": SCRIPT_SIGNS, "fail": FAIL_SIGNS, "prompt": PROMPT_SIGNS}
+SIGNS = {"status": STATUS_SIGNS, "order": ORDER_SIGNS, "opening": OPENING_SIGNS, "blank": BLANK_SIGNS, "latin": LATIN_SIGNS, "sample": SAMPLE_SIGNS, "trace": TRACE_SIGNS, "script": SCRIPT_SIGNS, "fail": FAIL_SIGNS, "prompt": PROMPT_SIGNS}
 CODE = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 #: Points at which a sentence is evidence by itself, and at which it is in a line without other text.
 SURE, LIKELY = 4, 3
@@ -275,7 +276,7 @@ def _notice(core: str, low: str, signs: dict) -> tuple[str | None, int]:
     opening = signed(low, signs["opening"])
     sorry, waits = opening and bool(APOLOGY.match(core)), opening and bool(WAITING.match(core))
     about, fail_sign, prompt_sign = signed(low, signs["script"]), signed(low, signs["fail"]), signed(low, signs["prompt"])
-    coded = bool(signs.get("code", True) and CODE.search(core) and STATUS.search(core))
+    coded = bool(signed(low, signs["status"]) and CODE.search(core) and STATUS.search(core))
     if not (sorry or waits or about or fail_sign or prompt_sign or coded):
         return None, 0
     n = len(WORD.findall(core))
@@ -309,7 +310,7 @@ def line_kind(line: str, signs: dict = SIGNS) -> str | None:
         core = bare(s)
         if not core:
             continue
-        if "any" in signs and not signed(core.lower(), signs["any"]) and not (signs["field"] and may_hold_field(core)) and not (signs["code"] and CODE.search(core)):
+        if "any" in signs and not signed(core.lower(), signs["any"]) and not (signs["field"] and may_hold_field(core)):
             other += len(core)  # nothing of which evidence is made
             continue
         kind, points = scored(core, signs)
@@ -328,7 +329,7 @@ def facts(text: str) -> list[tuple[str, str | None, int]]:
     found: dict[str, tuple[str, str | None, int]] = {}
     text = text.replace("\xa0", " ")
     here = signs_of(text)
-    signs = {**here, "any": sorted({x for v in here.values() for x in v}), "field": bool(FIELD_SIGN.search(text)), "code": bool(CODE.search(text))}
+    signs = {**here, "any": sorted({x for v in here.values() for x in v}), "field": any(map(text.replace("[CITATION]", "").__contains__, "{«<%[$@#_("))}
     for line in text.splitlines():
         line = line.strip()
         if line and (norm := " ".join(line.lower().split())) not in found:
