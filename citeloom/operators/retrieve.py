@@ -103,7 +103,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, scope: str, qid: str, query: s
 
     embedder turns texts into vectors (hooks.embed); score reranks (query, text), without one the share of the query's terms.
     """
-    sparse = top_k(bm25(queries, chunks, scope, qid, query, cid, text).withColumn("score", F.round("score", 6)), qid, [F.desc("score"), F.col(cid)], k)
+    sparse = bm25_top(queries, chunks, scope, qid, query, cid, text, k)
     vectors = lambda df, key, c: df.select(scope, key).join(embedder(df, key, c), key)
     near = dense(vectors(queries, qid, query), vectors(chunks, cid, text), scope, qid, cid, "embedding", k).where("score > 0")
     f = rrf(sparse, near, qid, cid).withColumn("fused", F.round("score", 9))
@@ -129,6 +129,18 @@ def bm25(queries: DataFrame, chunks: DataFrame, scope: str, qid: str, query: str
     return bm25_search(queries, post, corpus_stats(chunks, scope, text), scope, qid, query, cid, k1, b)
 
 
+def bm25_top(queries: DataFrame, chunks: DataFrame, scope: str, qid: str, query: str, cid: str, text: str, k: int) -> DataFrame:
+    """(qid, cid, score, rank): the k best chunks of each query by bm25 rounded to six places, ties by cid.
+
+    Queries go by number while their scores are added up, which is where most rows are moved; ids come back with the best.
+    """
+    # a query's number is that of its row in the written table, so it is the same wherever it is read
+    numbered = checkpointed(queries.select(scope, F.col(qid).alias("__id"), query).withColumn("__q", F.monotonically_increasing_id()))
+    s = bm25(numbered.select(scope, "__q", query), chunks, scope, "__q", query, cid, text).withColumn("score", F.round("score", 6))
+    best = top_k(s, "__q", [F.desc("score"), F.col(cid)], k)
+    return best.join(numbered.select("__q", "__id"), "__q").select(F.col("__id").alias(qid), cid, "score", "rank")
+
+
 def corpus_stats(chunks: DataFrame, scope: str, text: str) -> DataFrame:
     """(scope, n, avg_len): the number of chunks of each scope and their mean length."""
     return chunks.select(scope, F.size(terms(F.col(text))).alias("len")).groupBy(scope).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))

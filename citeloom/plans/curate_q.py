@@ -325,12 +325,6 @@ def smp02_placed(spark, d):
     return ranking.global_rank(i, ["h", "crawl_no"], "place").select("crawl_no", "place")
 
 
-def smp02_seeded_shuffle(spark, d):
-    """The seeded hash of every row, as its SQL has it. The places of SMP02 are in smp02_placed."""
-    i = table(spark, d, "papers", "crawl_no").withColumn("h", F.md5(F.concat(F.lit("11|"), F.col("crawl_no").cast("string"))))
-    return i.select("crawl_no", F.substring("h", 1, 12).alias("shuffle_key"))
-
-
 SHARES = [("TITLE_ERROR_SUBSTITUTE", "0.12"), ("TITLE_ERROR_PARAPHRASE", "0.10"), ("TITLE_ERROR_FULLY_FABRICATED", "0.08"), ("AUTHOR_ERROR_ADD_DEL", "0.12"), ("AUTHOR_ERROR_PERTURBATION", "0.12"), ("AUTHOR_ERROR_FULLY_FABRICATED", "0.08"), ("META_ERROR_DOI", "0.12"), ("META_ERROR_DATE", "0.12"), ("META_ERROR_VENUE", "0.10"), ("COMPOUND_ERROR", "0.04")]
 
 
@@ -347,12 +341,6 @@ def smp04_cycled(spark, d):
     return curate.cycle(pool, ["h", "original_paper"], target).select("original_paper", "round", "position")
 
 
-def smp04_cycling_pool(spark, d):
-    """Rounds of each paper, as many as it has instances but 3 at most, as its SQL has it. The whole of SMP04 is smp04_cycled."""
-    c = table(spark, d, "instances", "original_paper").groupBy("original_paper").agg(F.count("*").alias("n"))
-    return c.select("original_paper", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(3)))).alias("round"))
-
-
 _NT = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _REQ = "(coalesce(m.title, '') <> '' AND coalesce(m.venue, '') <> '' AND coalesce(m.year, 0) <> 0 AND coalesce(len(m.authors), 0) > 0)"
 _DM = D + ", c AS (SELECT instance_id, citation_metadata AS m, * FROM d)"
@@ -363,7 +351,15 @@ _TK = "list_filter(string_split(" + _NT + ", ' '), lambda w: w <> '')"
 _ST = ", ".join(f"'{w}'" for w in [*STOP, "citation"])
 
 QUERIES = {k: f for k, f in globals().items() if k.split("_")[0].rstrip("0123456789") in {"flt", "prj", "j", "win", "top", "set", "smp"} and callable(f) and k[-1] != "_" and k.split("_")[0][-1].isdigit()}
+# the virtual time of a row is added up step by step, as doubles are
+_INTERLEAVED = "WITH RECURSIVE " + D.removeprefix("WITH ") + """, r AS (SELECT instance_id, {label} AS label, row_number() OVER (PARTITION BY {label} ORDER BY instance_id) AS j FROM d),
+k AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY min(instance_id)) AS g FROM r GROUP BY 1),
+t(label, g, n, j, v) AS (SELECT label, g, n, 1::BIGINT, 1.0::DOUBLE / n FROM k UNION ALL SELECT label, g, n, j + 1, v + 1.0::DOUBLE / n FROM t WHERE j < n)
+SELECT instance_id, r.label, row_number() OVER (ORDER BY v, g) AS slot FROM r JOIN t ON r.label IS NOT DISTINCT FROM t.label AND r.j = t.j"""
 SQL = {
+    "smp02_placed": "SELECT crawl_no, row_number() OVER (ORDER BY md5('11|' || crawl_no), crawl_no) AS place FROM papers",
+    "smp04_cycled": "WITH p AS (SELECT original_paper, row_number() OVER (ORDER BY md5('4|' || original_paper), original_paper) AS r FROM (SELECT DISTINCT original_paper FROM instances WHERE original_paper IS NOT NULL)), z AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT 3 * count(*) FROM instances WHERE original_paper IS NOT NULL) AS t), g AS (SELECT unnest(generate_series(1, (SELECT t FROM z)))::BIGINT AS position) SELECT original_paper, (position - 1) // (SELECT n FROM z) + 1 AS round, position FROM g JOIN p ON p.r = (position - 1) % (SELECT n FROM z) + 1",
+    "win05_interleave": _INTERLEAVED.format(label="coalesce(true_outputs.true_alignment, 9)"),
     "flt01_required": _DM + f" SELECT instance_id, {_REQ} AS kept FROM c",
     "flt02_not_preprint": _DM + " SELECT instance_id FROM c WHERE NOT coalesce(contains(lower(m.venue), 'arxiv'), false) AND coalesce(len(m.authors), 0) < 10",
     "flt03_claim_in_context": D + " SELECT instance_id FROM d WHERE contains(surrounding_context, claim_text)",
@@ -406,7 +402,5 @@ SQL = {
     "set05_dedup_chunks": D + ", e AS (SELECT instance_id, unnest(retrieved_evidences.extractive_chunks) AS c, generate_subscripts(retrieved_evidences.extractive_chunks, 1) - 1 AS pos FROM d) SELECT instance_id, min(pos) AS pos FROM e GROUP BY instance_id, c.extractive_text",
     "set06_array_sets": D + f", s AS (SELECT instance_id, list_distinct({_TK.format('citation_metadata.title')}) AS a, list_distinct({_TK.format('claim_text')}) AS b FROM d) SELECT instance_id, len(list_intersect(a, b)) AS \"both\", len(a) + len(b) - len(list_intersect(a, b)) AS either, len(a) - len(list_intersect(a, b)) AS only_title FROM s",
     "smp01_seeded_sample": D + " SELECT instance_id FROM d ORDER BY md5('7|' || instance_id), instance_id LIMIT 100",
-    "smp02_seeded_shuffle": "SELECT crawl_no, substr(md5('11|' || crawl_no), 1, 12) AS shuffle_key FROM papers",
     "smp03_target_allocation": "WITH n AS (SELECT count(DISTINCT instance_id) AS n FROM instances), s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {v}::DECIMAL(10,6))" for i, (k, v) in enumerate(SHARES)) + ") t(i, name, s)), p AS (SELECT i, name, round_even((n * s)::DOUBLE, 0)::BIGINT AS n0, n FROM s, n) SELECT name, CASE WHEN i = 9 THEN n - (SELECT sum(n0) FROM p WHERE i < 9) ELSE n0 END::BIGINT AS n FROM p",
-    "smp04_cycling_pool": "SELECT original_paper, unnest(range(1, least(count(*), 3) + 1)) AS round FROM instances GROUP BY original_paper",
 }

@@ -102,13 +102,6 @@ def j09_aligned(spark, d):
     return true.join(found, ["instance_id", "pos"], "left").select("instance_id", (F.col("pos") + 1).alias("position"), "truth", "extracted")
 
 
-def j09_left_positional(spark, d):
-    """How many instances have a verdict, as its SQL has it. The alignment of J09 is j09_aligned."""
-    v = table(spark, d, "verification_instances", "instance_id", "event_ts", "status")
-    last = v.groupBy("instance_id").agg(F.max("event_ts").alias("last_ts"))
-    return delivered(spark, d, "original_paper").select("instance_id").join(last, "instance_id", "left").groupBy(F.col("last_ts").isNotNull().alias("verified")).agg(F.count("*").alias("n"))
-
-
 def j12_scoped_join(spark, d):
     """How many passages each claim can search: an equi join on its paper, counted before it is expanded."""
     n = passages(spark, d).groupBy("scope").agg(F.count("*").alias("passages"))
@@ -157,12 +150,6 @@ def smp05_combined(spark, d):
     return curate.interleave(i, "label", ["instance_id"]).select("instance_id", "label", "slot")
 
 
-def smp05_stratified(spark, d):
-    """A stratified pick: 30 of each label by seeded order, as its SQL has it. The whole of SMP05 is smp05_combined."""
-    i = delivered(spark, d, "true_outputs").select("instance_id", F.col("true_outputs.true_alignment").alias("label"))
-    return curate.head_per_group(i, "label", [F.md5(F.concat(F.lit("5|"), "instance_id")), "instance_id"], 30)
-
-
 def str03_match_methods(spark, d):
     """Strict, soft, author, year and identifier matches of each verdict (STR03, 04, 07 to 10)."""
     v = verdicts(spark, d)
@@ -240,18 +227,11 @@ def ret05_searched(spark, d):
     # a context that says the same as the claim is no second query
     both = both.where("query is not null").groupBy("scope", "qid", "query").agg(F.min("o").alias("o")).withColumn("q", F.struct("qid", "o"))
     p = passages(spark, d)
-    s = r.bm25(both, p, "scope", "q", "query", "cid", "text").withColumn("score", F.round("score", 6))
-    found = r.top_k(s, "q", [F.desc("score"), F.col("cid")], 15).join(p.select("cid", "text"), "cid")
+    found = r.bm25_top(both, p, "scope", "q", "query", "cid", "text", 15).join(p.select("cid", "text"), "cid")
     best = found.groupBy("q.qid", "text").agg(F.min(F.struct("q.o", "rank", "cid")).alias("b")).select("qid", "b.cid", F.col("b.o").alias("query_no"), "b.rank")
     return r.top_k(best, "qid", [F.col("query_no"), F.col("rank")], 30, "place")
 
 
-def ret05_two_queries(spark, d):
-    """The two queries of each instance, claim and context, equal ones once, as its SQL has it. The search of RET05 is ret05_searched."""
-    q = delivered(spark, d, "claim_text", "surrounding_context").select("instance_id", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("claim_text").alias("q")), F.struct(F.lit(1).alias("o"), F.col("surrounding_context").alias("q")))).alias("s"))
-    return q.where("s.q is not null").groupBy("instance_id", "s.q").agg(F.min("s.o").alias("first"))
-
-
 def ret08_rerank(spark, d):
     s = top03_bm25(spark, d).join(passages(spark, d).select("cid", "text"), "cid").join(claims(spark, d).select("qid", "query"), "qid")
     return r.rerank(s, None, "query", "text").select("qid", "cid", F.round("rerank_score", 6).alias("rerank_score"))
@@ -353,7 +333,22 @@ _MATCH = VERDICTS + f", ab AS (SELECT *, {_LAST.format('m.authors')} AS la, {_LA
 _SOFT = lambda f: f"coalesce(m.{f} <> '' AND x.{f} <> '' AND {_NT.format('m.' + f)} = {_NT.format('x.' + f)}, false)"
 _AUTH = f"coalesce({_JAC.format('la', 'lb')} >= 0.75, false)"
 _LN = "CASE truth WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIALLY_SUPPORTED' WHEN 2 THEN 'UNSUPPORTED' ELSE 'UNCERTAIN' END"
+from citeloom.plans.retrieve_q import _Q as _QP, _W as _WORDS  # noqa: E402
+
+_RET05 = D + ", " + _QP + f""", q2 AS (SELECT scope, qid, min(o) AS o, query FROM (SELECT scope, qid, 0 AS o, query FROM q UNION ALL SELECT q.scope, q.qid, 1, d.surrounding_context FROM q JOIN d ON d.instance_id = q.qid) WHERE query IS NOT NULL GROUP BY scope, qid, query),
+pw AS (SELECT scope, cid, text, {_WORDS.format('text')} AS w FROM p), sz AS (SELECT scope, count(*) AS n, avg(len(w)) AS al FROM pw GROUP BY 1),
+po AS (SELECT scope, cid, len, term, count(*) AS tf FROM (SELECT scope, cid, len(w) AS len, unnest(w) AS term FROM pw) GROUP BY ALL), df AS (SELECT scope, term, count(*) AS df FROM po GROUP BY 1, 2),
+qt AS (SELECT scope, qid, o, unnest(list_distinct({_WORDS.format('query')})) AS term FROM q2),
+sc AS (SELECT qid, o, cid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM qt JOIN po USING (scope, term) JOIN df USING (scope, term) JOIN sz USING (scope) GROUP BY 1, 2, 3),
+bm AS (SELECT *, row_number() OVER (PARTITION BY qid, o ORDER BY score DESC, cid) AS rank FROM sc QUALIFY rank <= 15),
+be AS (SELECT qid, text, o, rank, cid FROM bm JOIN (SELECT cid, text FROM pw) USING (cid) QUALIFY row_number() OVER (PARTITION BY qid, text ORDER BY o, rank, cid) = 1)
+SELECT qid, cid, o AS query_no, rank, row_number() OVER (PARTITION BY qid ORDER BY o, rank) AS place FROM be QUALIFY place <= 30"""
+from citeloom.plans.curate_q import _INTERLEAVED  # noqa: E402
+
 SQL = {
+    "j09_aligned": D + ", l AS (SELECT instance_id, extracted_citation AS x FROM verification_instances QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY event_ts DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1), a AS (SELECT d.instance_id, x.authors AS e, unnest(citation_metadata.authors) AS truth, generate_subscripts(citation_metadata.authors, 1) AS position FROM d LEFT JOIN l ON d.instance_id = l.instance_id) SELECT instance_id, position::INTEGER AS position, truth, e[position] AS extracted FROM a",
+    "ret05_searched": _RET05,
+    "smp05_combined": _INTERLEAVED.format(label="true_outputs.true_alignment"),
     "flt10_existence_two_stage": D + f", q AS (SELECT regexp_replace(nullif(citation_metadata.identifiers.arxiv_id, ''), 'v\\d+$', '') AS aid, nullif({_T2.format('citation_metadata.title')}, '') AS nt FROM d), a AS (SELECT DISTINCT regexp_replace(arxiv_id, 'v\\d+$', '') AS k FROM papers WHERE arxiv_id <> ''), b AS (SELECT DISTINCT {_T2.format('title')} AS k FROM papers) SELECT CASE WHEN a.k IS NOT NULL THEN 'id' WHEN b.k <> '' THEN 'title' ELSE 'none' END AS stage, count(*) AS n FROM q LEFT JOIN a ON a.k = aid LEFT JOIN b ON b.k = nt GROUP BY 1",
     "flt11_first_available": D + ", k AS (SELECT paper_id, min(doc_id) AS doc_id FROM documents WHERE paper_id IS NOT NULL GROUP BY 1) SELECT instance_id, doc_id FROM d JOIN k ON paper_id = original_paper",
     "flt14_misclassified": _PRED + "SELECT model, count(*) AS n, count(*) FILTER (pred IS NULL) AS no_prediction FROM miss GROUP BY 1",
@@ -366,7 +361,6 @@ SQL = {
     "prj11_verdict_rows": VERDICTS + f"SELECT instance_id, {_LN} AS truth, CASE WHEN pred IS NULL THEN 'ERROR' ELSE {_LN.replace('truth', 'pred')} END AS predicted, coalesce(confidence, 0) AS confidence FROM v",
     "j02_claim_keys": D + f", i AS (SELECT instance_id, original_paper AS p, {_T2.format('citation_metadata.title')} AS nt FROM d), b AS (SELECT ref_id, paper_id AS p, {_T2.format('title')} AS nt FROM bib_references) SELECT instance_id, ref_id FROM i JOIN b USING (p, nt) WHERE trim(nt) <> ''",
     "j08_positional_zip": D + ", i AS (SELECT instance_id, original_paper AS p, row_number() OVER (PARTITION BY original_paper ORDER BY instance_id) AS n FROM d), b AS (SELECT ref_id, paper_id AS p, row_number() OVER (PARTITION BY paper_id ORDER BY ref_id) AS n FROM bib_references) SELECT instance_id, ref_id FROM i JOIN b USING (p, n)",
-    "j09_left_positional": D + ", l AS (SELECT instance_id, max(event_ts) AS t FROM verification_instances GROUP BY 1) SELECT t IS NOT NULL AS verified, count(*) AS n FROM d LEFT JOIN l USING (instance_id) GROUP BY 1",
     "j12_scoped_join": _BM + " SELECT qid, coalesce(c.n, 0) AS passages FROM q LEFT JOIN (SELECT scope, count(*) AS n FROM p GROUP BY 1) c USING (scope)",
     "j13_left_if_exists": D + ", c AS (SELECT true_outputs.true_alignment AS label, count(*) AS n FROM d GROUP BY 1), m AS (SELECT true_alignment AS a, count(*) AS targets FROM sample_targets WHERE true_alignment IS NOT NULL GROUP BY 1) SELECT label, n, targets FROM c LEFT JOIN m ON a = label",
     "win04_retrieval_ranks": D + ", e AS (SELECT instance_id, unnest(retrieved_evidences.extractive_chunks) AS c, generate_subscripts(retrieved_evidences.extractive_chunks, 1) - 1 AS pos FROM d) SELECT instance_id, pos, row_number() OVER (PARTITION BY instance_id ORDER BY c.relevance_score DESC NULLS LAST, pos) AS rank FROM e",
@@ -375,7 +369,6 @@ SQL = {
     "top11_order_restored": D + " SELECT instance_id, row_number() OVER (PARTITION BY created_at::DATE ORDER BY created_at, instance_id) AS place FROM d",
     "set02_concat_sources": "SELECT source_api, count(*) AS n FROM papers GROUP BY 1",
     "set07_common_ids": "SELECT count(DISTINCT instance_id) AS n FROM instances WHERE instance_id IN (SELECT instance_id FROM verification_instances)",
-    "smp05_stratified": D + " SELECT instance_id, true_outputs.true_alignment AS label FROM d QUALIFY row_number() OVER (PARTITION BY true_outputs.true_alignment ORDER BY md5('5|' || instance_id), instance_id) <= 30",
     "str03_match_methods": _MATCH + f" SELECT instance_id, coalesce(m.title = x.title AND m.title <> '', false) AS strict, {_SOFT('title')} AS soft, {_AUTH} AS authors, coalesce(m.year = x.year, false) AS year, coalesce({_BARE.format('m.identifiers.doi')} = {_BARE.format('x.identifiers.doi')} AND {_BARE.format('m.identifiers.doi')} <> '', false) AS doi FROM ab",
     "str15_year_number": "SELECT ref_id, TRY_CAST(nullif(regexp_extract(year, '(1[89]\\d{2}|20\\d{2})', 1), '') AS INTEGER) AS year FROM bib_references",
     "str16_real_authors": D + f", w AS (SELECT instance_id, citation_metadata.authors AS a, string_split({_NT.format(chr(99) + 'oalesce(citation_metadata.title, ' + chr(39) + chr(39) + ')')}, ' ') AS ws FROM d WHERE citation_metadata.authors IS NOT NULL) SELECT instance_id, len(list_filter(a, lambda y: y IS NOT NULL AND len(list_filter(list_intersect(string_split({_NT.format('y')}, ' '), ws), lambda z: z <> '')) = 0)) AS kept FROM w",
@@ -384,7 +377,6 @@ SQL = {
     "arr03_evidence_text": D + " SELECT instance_id, md5(coalesce(array_to_string(list_filter(list_transform(retrieved_evidences.extractive_chunks, lambda c: c.extractive_text), lambda s: s IS NOT NULL), chr(10)), '')) AS evidence_md5 FROM d",
     "jsn02_strict_parse": "SELECT json_valid(retrieval_traces) AS valid, count(*) AS n FROM verification_instances WHERE retrieval_traces IS NOT NULL GROUP BY 1",
     "jsn05_event_props": "SELECT event_type, count(*) FILTER (json_valid(props)) AS valid, count(*) AS n FROM events GROUP BY 1",
-    "ret05_two_queries": D + ", s AS (SELECT instance_id, 0 AS o, claim_text AS q FROM d UNION ALL SELECT instance_id, 1, surrounding_context FROM d) SELECT instance_id, q, min(o) AS first FROM s WHERE q IS NOT NULL GROUP BY 1, 2",
     "ret08_rerank": _BM + f", j AS (SELECT bm.qid, bm.cid, list_distinct({_TM.format('q.query')}) AS a, list_distinct({_TM.format('p.text')}) AS b FROM bm JOIN q USING (qid) JOIN p USING (cid)) SELECT qid, cid, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS rerank_score FROM j",
     "neg09_rewrite_rules": D + ", w AS (SELECT claim_text AS c, split_part(surrounding_context, '. ', 1) AS n FROM d WHERE claim_text IS NOT NULL AND surrounding_context IS NOT NULL) SELECT CASE WHEN n = c THEN 'unchanged' WHEN length(n) < 20 THEN 'too_short' WHEN length(n) > 3 * length(c) THEN 'too_long' WHEN contains(c, '[CITATION]') AND NOT contains(n, '[CITATION]') THEN 'marker_lost' ELSE 'accepted' END AS reason, count(*) AS n FROM w GROUP BY 1",
     "neg12_label_audit": VERDICTS + "SELECT coalesce(truth = 0, false) OR truth IS DISTINCT FROM pred AS needs_review, count(*) AS n FROM v GROUP BY 1",

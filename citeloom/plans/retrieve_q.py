@@ -38,8 +38,7 @@ lx AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) A
 
 
 def top03_bm25(spark, d):
-    s = r.bm25(claims(spark, d), passages(spark, d), "scope", "qid", "query", "cid", "text").withColumn("score", F.round("score", 6))
-    return r.top_k(s, "qid", [F.desc("score"), F.col("cid")], 15)
+    return r.bm25_top(claims(spark, d), passages(spark, d), "scope", "qid", "query", "cid", "text", 15)
 
 
 def overlap(spark, d):
