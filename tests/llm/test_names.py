@@ -148,9 +148,10 @@ def test_typing_errors_equal_brute_force(spark, monkeypatch, ways):
     keys = sorted({"p:" + " ".join(sorted(ws)) for ws in base})
     want = brute_force(keys)
     got = {tuple(r) for r in names.typing_errors(spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
-    if ways == names.MOST_WAYS:
-        assert len(want) > 15 and groups(got) == groups(want)
-    else:  # tokens of one class are compared in their order, so a pair at the bound may differ
+    assert len(want) > 15
+    if ways > 1:
+        assert groups(got) == groups(want)
+    else:  # tokens of one class are compared in their order, so a pair of names with several of them may be missed
         within = lambda pairs, gs: sum(any(a in g and b in g for g in gs) for a, b in pairs)
         assert within(got, groups(want)) == len(got) and within(want, groups(got)) >= 0.95 * len(want)
 
