@@ -292,24 +292,24 @@ def near_titles(titles: DataFrame, group: str, title: str, pos: str, least: floa
     """(group, title, first_pos): of each title the least position of a title of its group that is equal to it or more similar than `least`.
 
     Similarity is 1 less the edit distance by the longer length. Titles of a group meet by q-gram prefixes: of a title that may
-    bear k edits, one of the q * k + 1 rarest grams is shared. Pairs are filtered by length and verified exactly.
+    bear k edits, one of the q * k + 1 rarest grams is shared, at a place k off at most. Pairs are filtered by length and verified exactly.
     """
     d = titles.groupBy(group, title).agg(F.min(pos).alias("__pos"))
     share = 1 - least
     edits = F.floor(F.length(title) * F.lit(share / least) + 1e-9).cast("int")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(title) - q + 1)), lambda i: F.substring(F.col(title), i, F.lit(q))))
-    g = d.where(edits > 0).select(group, title, "__pos", edits.alias("k"), F.explode(grams).alias("g"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(title) - q + 1)), lambda i: F.substring(F.col(title), i, F.lit(q)))
+    g = d.where(edits > 0).select(group, title, "__pos", edits.alias("k"), F.posexplode(grams).alias("at", "g"))
     rare = g.groupBy("g").agg(F.count("*").alias("df"))
     prefix = (
-        g.join(rare, "g").groupBy(group, title, "__pos", "k").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-        .select(group, title, "__pos", F.explode(F.slice("gs", F.lit(1), F.lit(q) * F.col("k") + 1)).alias("e")).select(group, title, "__pos", F.col("e.g").alias("g"))
+        g.join(rare, "g").groupBy(group, title, "__pos", "k").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("gs"))
+        .select(group, title, "__pos", "k", F.explode(F.slice("gs", F.lit(1), F.lit(q) * F.col("k") + 1)).alias("e")).select(group, title, "__pos", "k", F.col("e.g").alias("g"), F.col("e.at").alias("at"))
     )
     prefix = checkpointed(prefix)
-    a = prefix.withColumnsRenamed({title: "ta", "__pos": "pa"})
-    b = prefix.withColumnsRenamed({title: "tb", "__pos": "pb"})
+    a = prefix.withColumnsRenamed({title: "ta", "__pos": "pa", "k": "ka", "at": "sa"})
+    b = prefix.withColumnsRenamed({title: "tb", "__pos": "pb", "k": "kb", "at": "sb"})
     longer = F.greatest(F.length("ta"), F.length("tb"))
     near = (
-        a.join(b, [group, "g"]).where((F.col("ta") != F.col("tb")) & (F.abs(F.length("ta") - F.length("tb")) < share * longer) & (F.col("pb") < F.col("pa")))
+        a.join(b, [group, "g"]).where((F.abs(F.col("sa") - F.col("sb")) <= F.greatest("ka", "kb")) & (F.col("ta") != F.col("tb")) & (F.abs(F.length("ta") - F.length("tb")) < share * longer) & (F.col("pb") < F.col("pa")))
         .select(group, "ta", "tb", "pb").distinct().where(F.levenshtein("ta", "tb") < share * longer - 1e-9)
         .groupBy(group, F.col("ta").alias(title)).agg(F.min("pb").alias("__near"))
     )

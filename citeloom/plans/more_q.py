@@ -105,7 +105,8 @@ def j09_aligned(spark, d):
 def j12_scoped_join(spark, d):
     """How many passages each claim can search: an equi join on its paper, counted before it is expanded."""
     n = passages(spark, d).groupBy("scope").agg(F.count("*").alias("passages"))
-    return claims(spark, d).join(n, "scope", "left").select("qid", F.coalesce("passages", F.lit(0)).alias("passages"))
+    i = delivered(spark, d, "claim_text", "original_paper").where("claim_text is not null").select(F.col("instance_id").alias("qid"), F.col("original_paper").alias("scope"))
+    return i.join(n, "scope", "left").select("qid", F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
 def j13_left_if_exists(spark, d):
@@ -361,7 +362,7 @@ SQL = {
     "prj11_verdict_rows": VERDICTS + f"SELECT instance_id, {_LN} AS truth, CASE WHEN pred IS NULL THEN 'ERROR' ELSE {_LN.replace('truth', 'pred')} END AS predicted, coalesce(confidence, 0) AS confidence FROM v",
     "j02_claim_keys": D + f", i AS (SELECT instance_id, original_paper AS p, {_T2.format('citation_metadata.title')} AS nt FROM d), b AS (SELECT ref_id, paper_id AS p, {_T2.format('title')} AS nt FROM bib_references) SELECT instance_id, ref_id FROM i JOIN b USING (p, nt) WHERE trim(nt) <> ''",
     "j08_positional_zip": D + ", i AS (SELECT instance_id, original_paper AS p, row_number() OVER (PARTITION BY original_paper ORDER BY instance_id) AS n FROM d), b AS (SELECT ref_id, paper_id AS p, row_number() OVER (PARTITION BY paper_id ORDER BY ref_id) AS n FROM bib_references) SELECT instance_id, ref_id FROM i JOIN b USING (p, n)",
-    "j12_scoped_join": _BM + " SELECT qid, coalesce(c.n, 0) AS passages FROM q LEFT JOIN (SELECT scope, count(*) AS n FROM p GROUP BY 1) c USING (scope)",
+    "j12_scoped_join": D + ", k AS (SELECT paper_id, count(*) AS passages FROM bib_references WHERE title IS NOT NULL GROUP BY 1) SELECT instance_id AS qid, coalesce(passages, 0) AS passages FROM d LEFT JOIN k ON paper_id = original_paper WHERE claim_text IS NOT NULL",
     "j13_left_if_exists": D + ", c AS (SELECT true_outputs.true_alignment AS label, count(*) AS n FROM d GROUP BY 1), m AS (SELECT true_alignment AS a, count(*) AS targets FROM sample_targets WHERE true_alignment IS NOT NULL GROUP BY 1) SELECT label, n, targets FROM c LEFT JOIN m ON a = label",
     "win04_retrieval_ranks": D + ", e AS (SELECT instance_id, unnest(retrieved_evidences.extractive_chunks) AS c, generate_subscripts(retrieved_evidences.extractive_chunks, 1) - 1 AS pos FROM d) SELECT instance_id, pos, row_number() OVER (PARTITION BY instance_id ORDER BY c.relevance_score DESC NULLS LAST, pos) AS rank FROM e",
     "top05_best_evidence": D + ", e AS (SELECT instance_id, unnest(retrieved_evidences.extractive_chunks) AS c, generate_subscripts(retrieved_evidences.extractive_chunks, 1) - 1 AS pos FROM d) SELECT instance_id, pos FROM e QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY c.relevance_score DESC NULLS LAST, pos) <= 3",
