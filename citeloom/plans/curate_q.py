@@ -194,14 +194,6 @@ def j07_two_key_attach(spark, d):
     return i.join(r, ["original_paper", "title"], "left").select("instance_id", "ref_id")
 
 
-def j10_bibliography_order(spark, d):
-    """References in the order of another list of their paper, unmatched ones last in their own order."""
-    r = table(spark, d, "bib_references", "ref_id", "paper_id", "entry_pos", "year")
-    y = r.groupBy("paper_id", "year").agg(F.min("entry_pos").alias("year_pos"))
-    r = r.join(y, ["paper_id", "year"], "left").select("ref_id", "paper_id", "year_pos", "entry_pos")
-    return rank_within(r, ["paper_id"], [F.asc_nulls_last("year_pos"), "entry_pos"], "place").select("ref_id", "place")
-
-
 def j14_upsert(spark, d):
     """States merged by instance: the latest event wins."""
     v = table(spark, d, "verification_instances", "instance_id", "event_ts", "loaded_at", "status")
@@ -385,7 +377,6 @@ SQL = {
     "j05_left_with_default": "WITH l AS (SELECT instance_id, status FROM verification_instances QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY event_ts DESC NULLS LAST, loaded_at DESC NULLS LAST, status DESC NULLS LAST) = 1) SELECT i.instance_id, coalesce(l.status, 'UNKNOWN') AS status FROM (SELECT DISTINCT instance_id FROM instances) i LEFT JOIN l USING (instance_id)",
     "j06_cascade": _DM + f", q AS (SELECT instance_id, nullif(m.identifiers.doi, '') AS doi, regexp_replace(nullif(m.identifiers.arxiv_id, ''), 'v\\d+$', '') AS aid, nullif({_NT.format('m.title')}, '') AS nt FROM c), a AS (SELECT doi AS k, min(crawl_no) AS v FROM papers WHERE doi <> '' GROUP BY 1), b AS (SELECT regexp_replace(arxiv_id, 'v\\d+$', '') AS k, min(crawl_no) AS v FROM papers WHERE arxiv_id <> '' GROUP BY 1), e AS (SELECT {_NT.format('title')} AS k, min(crawl_no) AS v FROM papers GROUP BY 1) SELECT instance_id, coalesce(a.v, b.v, e.v) AS crawl_no, CASE WHEN a.v IS NOT NULL THEN 'doi' WHEN b.v IS NOT NULL THEN 'arxiv' WHEN e.v IS NOT NULL THEN 'title' ELSE 'none' END AS source FROM q LEFT JOIN a ON a.k = doi LEFT JOIN b ON b.k = aid LEFT JOIN e ON e.k = nt AND e.k <> ''",
     "j07_two_key_attach": _DM + ", r AS (SELECT paper_id, title, max(ref_id) AS ref_id FROM bib_references WHERE title IS NOT NULL GROUP BY 1, 2) SELECT c.instance_id, r.ref_id FROM c LEFT JOIN r ON r.paper_id = c.original_paper AND r.title = m.title",
-    "j10_bibliography_order": "WITH y AS (SELECT paper_id, year, min(entry_pos) AS yp FROM bib_references WHERE year IS NOT NULL GROUP BY 1, 2) SELECT ref_id, row_number() OVER (PARTITION BY r.paper_id ORDER BY yp NULLS LAST, entry_pos) AS place FROM bib_references r LEFT JOIN y ON r.paper_id = y.paper_id AND r.year = y.year",
     "j14_upsert": "SELECT instance_id, status, event_ts FROM verification_instances QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY event_ts DESC NULLS LAST, loaded_at DESC NULLS LAST, status DESC NULLS LAST) = 1",
     "j15_author_pool_minus": _DM + ", p AS (SELECT m.venue AS venue, unnest(m.authors) AS a FROM c WHERE m.venue IS NOT NULL), g AS (SELECT venue, list(DISTINCT a) AS pool FROM p WHERE a IS NOT NULL GROUP BY 1) SELECT instance_id, len(list_filter(pool, lambda x: NOT coalesce(list_contains(m.authors, x), false))) AS others FROM c JOIN g ON g.venue = m.venue",
     "win01_head_per_field": "SELECT crawl_no, field FROM papers QUALIFY row_number() OVER (PARTITION BY field ORDER BY crawl_no) <= 40",

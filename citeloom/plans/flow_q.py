@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from citeloom.functions import hooks
 from citeloom.functions import text as t
 from citeloom.operators import extract as x
-from citeloom.operators import retrieve as r
 from citeloom.plans.p_core import delivered
 from citeloom.session import scratch, table
 from citeloom.streaming import streams
@@ -31,17 +30,6 @@ def ret04_embed_claims(spark, d):
     return a.join(b, "instance_id").select("instance_id", F.round(t.cosine(F.col("a"), F.col("b")), 4).alias("cosine"))
 
 
-def neg11_first_accepted(spark, d):
-    """Three candidates for each claim, the first whose similarity to the claim reaches .8 is kept; no loop."""
-    i = delivered(spark, d, "claim_text").where("claim_text is not null")
-    c = i.select("instance_id", "claim_text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
-    words = F.split("claim_text", " ")
-    made = F.array_join(F.filter(words, lambda w, j: j % (F.col("attempt") * 2 + 1) != 0), " ")
-    s = c.withColumn("candidate", made).withColumn("sim", t.jaccard(r.terms(F.col("claim_text")), r.terms(F.col("candidate"))))
-    ok = s.where("sim >= 0.8").groupBy("instance_id").agg(F.min("attempt").alias("attempt"))
-    return i.select("instance_id").join(ok, "instance_id", "left").groupBy("attempt").agg(F.count("*").alias("n"))
-
-
 def _drain(spark, df, name, mode):
     at = scratch(spark, f"stream-{name}")
     q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/ckpt").outputMode(mode).trigger(availableNow=True).start()
@@ -67,7 +55,7 @@ def stream_first_deliveries(spark, d):
     return _drain(spark, streams.first_deliveries(s, "instance_id", "created_at", f"{int(span) + 1} days").select("instance_id"), "deliveries", "append")
 
 
-QUERIES = {f.__name__: f for f in [udf03_open_book, ret04_embed_claims, neg11_first_accepted, stream_event_windows, stream_first_deliveries]}
+QUERIES = {f.__name__: f for f in [udf03_open_book, ret04_embed_claims, stream_event_windows, stream_first_deliveries]}
 SQL = {
     "stream_first_deliveries": "SELECT DISTINCT instance_id FROM instances",
     "stream_event_windows": "WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events), w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT window_start, event_type, n, total FROM w, m WHERE window_start + INTERVAL 1 HOUR <= wm",

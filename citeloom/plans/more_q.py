@@ -61,13 +61,6 @@ def prj07_build_instances(spark, d):
     return s.select("ref_id", "i.original_paper", F.col("i.citation_metadata.title").alias("title"), F.col("i.true_outputs.true_existence").alias("existence"))
 
 
-def prj08_fields_by_type(spark, d):
-    """Which fields a reference keeps depends on its type; others are null."""
-    b = table(spark, d, "bib_references", "ref_id", "entrytype", "journal", "booktitle")
-    kind = F.lower(F.trim("entrytype"))
-    return b.select("ref_id", F.when(kind == "article", F.col("journal")).when(kind == "inproceedings", F.col("booktitle")).alias("container"), F.coalesce(kind, F.lit("other")).alias("kind"))
-
-
 def prj09_drop_nulls(spark, d):
     """JSON without null fields."""
     b = table(spark, d, "bib_references", "ref_id", "year", "journal", "booktitle")
@@ -86,13 +79,6 @@ def j02_claim_keys(spark, d):
     return i.join(b, ["paper_id", "nt"]).select("instance_id", "ref_id")
 
 
-def j08_positional_zip(spark, d):
-    """The n-th instance and the n-th state of each paper side by side, as long as both go on."""
-    i = rank_within(delivered(spark, d, "original_paper"), ["original_paper"], ["instance_id"], "n")
-    b = rank_within(table(spark, d, "bib_references", "paper_id", "ref_id"), ["paper_id"], ["ref_id"], "n")
-    return i.join(b, (F.col("original_paper") == F.col("paper_id")) & (i["n"] == b["n"])).select("instance_id", "ref_id")
-
-
 def j09_aligned(spark, d):
     """J09: the true authors of each instance and those extracted in its latest state, by position; every true one stays, extra ones are ignored."""
     true = delivered(spark, d, "citation_metadata").select("instance_id", F.posexplode("citation_metadata.authors").alias("pos", "truth"))
@@ -161,49 +147,22 @@ def str03_match_methods(spark, d):
     )
 
 
-def str13_split_merged(spark, d):
-    """Bibliographies joined into one line and parted again before each number."""
-    b = table(spark, d, "documents", "doc_id", "text", "source").where("source = 'bibliography' and text is not null")
-    one = F.regexp_replace("text", r"\s*\r?\n\s*", " ")
-    return b.select("doc_id", F.size(x.split_merged(one)).alias("entries"))
-
-
 def str15_year_number(spark, d):
     b = table(spark, d, "bib_references", "ref_id", "year")
     return b.select("ref_id", F.nullif(F.regexp_extract("year", r"(1[89]\d{2}|20\d{2})", 1), F.lit("")).try_cast("int").alias("year"))
 
 
-def str16_real_authors(spark, d):
-    """Authors that are no words of the title."""
-    c = cited(spark, d).where("authors is not null")
-    words = t.tokens(t.normalize_text(F.coalesce("title", F.lit(""))))
-    keep = F.filter("authors", lambda a: a.isNotNull() & ~F.exists(t.tokens(t.normalize_text(a)), lambda w: F.array_contains(words, w)))
-    return c.select("instance_id", F.size(keep).alias("kept"))
-
-
 def str22_latex_text(spark, d):
     doc = table(spark, d, "documents", "doc_id", "text", "source").where("source = 'latex' and text is not null")
     return doc.select("doc_id", F.length(x.clean_latex(F.col("text"))).alias("chars"))
 
 
-def str24_links(spark, d):
-    doc = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    return doc.select("doc_id", F.size(x.html_links(F.col("text"))).alias("links")).groupBy("links").agg(F.count("*").alias("n"))
-
-
 def mth02_jaccard(spark, d):
     v = delivered(spark, d, "claim_text", "surrounding_context")
     j = t.jaccard(r.terms(F.col("claim_text")), r.terms(F.col("surrounding_context")))
     return v.select("instance_id", F.round(F.coalesce(j, F.lit(0.0)), 6).alias("jaccard"))
 
 
-def mth05_backoff(spark, d):
-    """Waiting times of repeated attempts, by number of traces: base 1.5 s doubled, and 30 s doubled up to 120."""
-    n = F.least(F.coalesce(F.length("retrieval_traces"), F.lit(0)) % 5 + 1, F.lit(5))
-    v = table(spark, d, "verification_instances", "retrieval_traces").select(n.alias("attempt"))
-    return v.groupBy("attempt").agg(F.count("*").alias("n")).select("attempt", "n", (1.5 * F.pow(F.lit(2.0), F.col("attempt") - 1)).alias("wait"), F.least(F.lit(120.0), 30.0 * F.pow(F.lit(2.0), F.col("attempt"))).alias("capped"))
-
-
 def arr03_evidence_text(spark, d):
     i = delivered(spark, d, "retrieved_evidences")
     return i.select("instance_id", F.md5(F.coalesce(F.array_join(F.transform("retrieved_evidences.extractive_chunks", lambda c: c["extractive_text"]), "\n"), F.lit(""))).alias("evidence_md5"))
@@ -215,12 +174,6 @@ def jsn02_strict_parse(spark, d):
     return v.groupBy(F.try_parse_json("retrieval_traces").isNotNull().alias("valid")).agg(F.count("*").alias("n"))
 
 
-def jsn05_event_props(spark, d):
-    """A field of the JSON properties of events, absent or not."""
-    e = table(spark, d, "events", "event_type", "props")
-    return e.groupBy("event_type").agg(F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"), F.count("*").alias("n"))
-
-
 def ret05_searched(spark, d):
     """RET05: claim and context of the stated query set each search the passages; of a text met by both the claim's place counts."""
     context = delivered(spark, d, "surrounding_context").select(F.col("instance_id").alias("qid"), F.col("surrounding_context").alias("context"))
@@ -255,13 +208,6 @@ def neg09_rewrite_rules(spark, d):
     return i.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def neg12_label_audit(spark, d):
-    """Truth against prediction: a claim said to be supported is always looked at again."""
-    v = verdicts(spark, d)
-    bad = F.coalesce(F.col("truth") == 0, F.lit(False)) | ~F.col("truth").eqNullSafe(F.col("pred"))
-    return v.groupBy(bad.alias("needs_review")).agg(F.count("*").alias("n"))
-
-
 def spc03_year_score(spark, d):
     v = verdicts(spark, d).where("m.year is not null and x.year is not null")
     return v.groupBy(scoring.year_score(F.col("m.year"), F.col("x.year")).alias("score")).agg(F.count("*").alias("n"))
@@ -272,22 +218,6 @@ def spc08_confidence(spark, d):
     return v.select("instance_id", F.round(scoring.confidence(F.col("confidence")), 6).alias("certainty"))
 
 
-def spc11_candidates(spark, d):
-    """Crawled papers with the same arXiv id as a reference, ranked by title overlap: accepted, ambiguous or refused."""
-    b = table(spark, d, "bib_references", "ref_id", "title", "extra_fields").select("ref_id", "title", t.without_version(t.arxiv_id(F.col("extra_fields")["eprint"])).alias("aid")).where("aid is not null")
-    p = table(spark, d, "papers", "crawl_no", "arxiv_id", "title").select("crawl_no", F.col("title").alias("pt"), t.without_version(F.col("arxiv_id")).alias("aid"))
-    s = b.join(p, "aid").withColumn("s", F.round(t.jaccard(t.tokens(t.normalize_text(F.col("title"))), t.tokens(t.normalize_text(F.col("pt")))), 6))
-    best = s.groupBy("ref_id").agg(F.max("s").alias("s"))
-    return best.groupBy(F.when(F.col("s") > 0.8, "accepted").when(F.col("s") >= 0.6, "ambiguous").otherwise("refused").alias("decision")).agg(F.count("*").alias("n"))
-
-
-def spc14_reference_classes(spark, d):
-    """References by how many of their fields are right, with the micro F1 of all fields."""
-    v = verdicts(spark, d)
-    right = sum((F.when(c, 1).otherwise(0) for c in (t.soft_match(F.col("m.title"), F.col("x.title")), t.author_match(F.col("m.authors"), F.col("x.authors")), t.year_match(F.col("m.year"), F.col("x.year")), t.soft_match(F.col("m.venue"), F.col("x.venue")))), F.lit(0))
-    return v.groupBy(right.alias("fields_right")).agg(F.count("*").alias("n"))
-
-
 def spc19_ranking(spark, d):
     """P@5, MAP and NDCG of evidence lists: a chunk of the upper half by relevance counts as relevant, ranked by its place."""
     i = delivered(spark, d, "retrieved_evidences").select("instance_id", F.posexplode("retrieved_evidences.extractive_chunks").alias("pos", "c"))
@@ -302,12 +232,6 @@ def spc19_ranking(spark, d):
     return g.agg(F.round(F.avg("p5"), 5).alias("p_at_5"), F.round(F.avg("ap"), 5).alias("map"), F.round(F.avg(F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0)), 5).alias("ndcg"), F.count("*").alias("lists"))
 
 
-def spc23_year_range(spark, d):
-    b = table(spark, d, "bib_references", "year")
-    y = F.nullif(F.regexp_extract("year", r"(\d{4})", 1), F.lit("")).try_cast("int")
-    return b.groupBy(F.when(y.isNull(), "none").when(y.between(1900, 2030), "in_range").otherwise("out_of_range").alias("range")).agg(F.count("*").alias("n"))
-
-
 def tpch_q1(spark, d):
     """Pricing summary of line items: grouped sums and averages over a pushed-down date filter."""
     li = table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate").where("l_shipdate <= timestamp_ntz '1998-09-02'")
@@ -357,11 +281,9 @@ SQL = {
     "prj01_drop_columns": D + " SELECT instance_id, original_paper, length(claim_text) AS chars FROM d",
     "prj03_positional_path": D + " SELECT instance_id, (row_number() OVER (PARTITION BY original_paper ORDER BY created_at, instance_id) - 1) || '.pdf' AS path FROM d",
     "prj07_build_instances": "SELECT ref_id, paper_id AS original_paper, title, 1 AS existence FROM bib_references WHERE title IS NOT NULL",
-    "prj08_fields_by_type": "SELECT ref_id, CASE lower(trim(entrytype)) WHEN 'article' THEN journal WHEN 'inproceedings' THEN booktitle END AS container, coalesce(lower(trim(entrytype)), 'other') AS kind FROM bib_references",
     "prj09_drop_nulls": "SELECT ref_id, (year IS NOT NULL)::INTEGER + (journal IS NOT NULL)::INTEGER + (booktitle IS NOT NULL)::INTEGER AS fields FROM bib_references",
     "prj11_verdict_rows": VERDICTS + f"SELECT instance_id, {_LN} AS truth, CASE WHEN pred IS NULL THEN 'ERROR' ELSE {_LN.replace('truth', 'pred')} END AS predicted, coalesce(confidence, 0) AS confidence FROM v",
     "j02_claim_keys": D + f", i AS (SELECT instance_id, original_paper AS p, {_T2.format('citation_metadata.title')} AS nt FROM d), b AS (SELECT ref_id, paper_id AS p, {_T2.format('title')} AS nt FROM bib_references) SELECT instance_id, ref_id FROM i JOIN b USING (p, nt) WHERE trim(nt) <> ''",
-    "j08_positional_zip": D + ", i AS (SELECT instance_id, original_paper AS p, row_number() OVER (PARTITION BY original_paper ORDER BY instance_id) AS n FROM d), b AS (SELECT ref_id, paper_id AS p, row_number() OVER (PARTITION BY paper_id ORDER BY ref_id) AS n FROM bib_references) SELECT instance_id, ref_id FROM i JOIN b USING (p, n)",
     "j12_scoped_join": D + ", k AS (SELECT paper_id, count(*) AS passages FROM bib_references WHERE title IS NOT NULL GROUP BY 1) SELECT instance_id AS qid, coalesce(passages, 0) AS passages FROM d LEFT JOIN k ON paper_id = original_paper WHERE claim_text IS NOT NULL",
     "j13_left_if_exists": D + ", c AS (SELECT true_outputs.true_alignment AS label, count(*) AS n FROM d GROUP BY 1), m AS (SELECT true_alignment AS a, count(*) AS targets FROM sample_targets WHERE true_alignment IS NOT NULL GROUP BY 1) SELECT label, n, targets FROM c LEFT JOIN m ON a = label",
     "win04_retrieval_ranks": D + ", e AS (SELECT instance_id, unnest(retrieved_evidences.extractive_chunks) AS c, generate_subscripts(retrieved_evidences.extractive_chunks, 1) - 1 AS pos FROM d) SELECT instance_id, pos, row_number() OVER (PARTITION BY instance_id ORDER BY c.relevance_score DESC NULLS LAST, pos) AS rank FROM e",
@@ -372,21 +294,14 @@ SQL = {
     "set07_common_ids": "SELECT count(DISTINCT instance_id) AS n FROM instances WHERE instance_id IN (SELECT instance_id FROM verification_instances)",
     "str03_match_methods": _MATCH + f" SELECT instance_id, coalesce(m.title = x.title AND m.title <> '', false) AS strict, {_SOFT('title')} AS soft, {_AUTH} AS authors, coalesce(m.year = x.year, false) AS year, coalesce({_BARE.format('m.identifiers.doi')} = {_BARE.format('x.identifiers.doi')} AND {_BARE.format('m.identifiers.doi')} <> '', false) AS doi FROM ab",
     "str15_year_number": "SELECT ref_id, TRY_CAST(nullif(regexp_extract(year, '(1[89]\\d{2}|20\\d{2})', 1), '') AS INTEGER) AS year FROM bib_references",
-    "str16_real_authors": D + f", w AS (SELECT instance_id, citation_metadata.authors AS a, string_split({_NT.format(chr(99) + 'oalesce(citation_metadata.title, ' + chr(39) + chr(39) + ')')}, ' ') AS ws FROM d WHERE citation_metadata.authors IS NOT NULL) SELECT instance_id, len(list_filter(a, lambda y: y IS NOT NULL AND len(list_filter(list_intersect(string_split({_NT.format('y')}, ' '), ws), lambda z: z <> '')) = 0)) AS kept FROM w",
     "mth02_jaccard": D + f", w AS (SELECT instance_id, list_distinct({_TM.format('claim_text')}) AS a, list_distinct({_TM.format('surrounding_context')}) AS b FROM d) SELECT instance_id, round(coalesce({_JAC.format('a', 'b')}, 0), 6) AS jaccard FROM w",
-    "mth05_backoff": "WITH a AS (SELECT least(coalesce(length(retrieval_traces), 0) % 5 + 1, 5) AS attempt FROM verification_instances) SELECT attempt, count(*) AS n, 1.5 * pow(2.0, attempt - 1) AS wait, least(120.0, 30.0 * pow(2.0, attempt)) AS capped FROM a GROUP BY 1",
     "arr03_evidence_text": D + " SELECT instance_id, md5(coalesce(array_to_string(list_filter(list_transform(retrieved_evidences.extractive_chunks, lambda c: c.extractive_text), lambda s: s IS NOT NULL), chr(10)), '')) AS evidence_md5 FROM d",
     "jsn02_strict_parse": "SELECT json_valid(retrieval_traces) AS valid, count(*) AS n FROM verification_instances WHERE retrieval_traces IS NOT NULL GROUP BY 1",
-    "jsn05_event_props": "SELECT event_type, count(*) FILTER (json_valid(props)) AS valid, count(*) AS n FROM events GROUP BY 1",
     "ret08_rerank": _BM + f", j AS (SELECT bm.qid, bm.cid, list_distinct({_TM.format('q.query')}) AS a, list_distinct({_TM.format('p.text')}) AS b FROM bm JOIN q USING (qid) JOIN p USING (cid)) SELECT qid, cid, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS rerank_score FROM j",
     "neg09_rewrite_rules": D + ", w AS (SELECT claim_text AS c, split_part(surrounding_context, '. ', 1) AS n FROM d WHERE claim_text IS NOT NULL AND surrounding_context IS NOT NULL) SELECT CASE WHEN n = c THEN 'unchanged' WHEN length(n) < 20 THEN 'too_short' WHEN length(n) > 3 * length(c) THEN 'too_long' WHEN contains(c, '[CITATION]') AND NOT contains(n, '[CITATION]') THEN 'marker_lost' ELSE 'accepted' END AS reason, count(*) AS n FROM w GROUP BY 1",
-    "neg12_label_audit": VERDICTS + "SELECT coalesce(truth = 0, false) OR truth IS DISTINCT FROM pred AS needs_review, count(*) AS n FROM v GROUP BY 1",
     "spc03_year_score": VERDICTS + "SELECT CASE abs(m.year - x.year) WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.0 END::DOUBLE AS score, count(*) AS n FROM v WHERE m.year IS NOT NULL AND x.year IS NOT NULL GROUP BY 1",
     "spc08_confidence": VERDICTS + "SELECT instance_id, round(1 - exp(-5 * abs(confidence - 0.8)), 6) AS certainty FROM v WHERE confidence IS NOT NULL",
-    "spc11_candidates": f"WITH b AS (SELECT ref_id, title, regexp_replace(nullif(regexp_extract(extra_fields['eprint'], '([0-9]{{4}}\\.[0-9]{{4,5}}(?:v[0-9]+)?)', 1), ''), 'v\\d+$', '') AS aid FROM bib_references), p AS (SELECT title AS pt, regexp_replace(arxiv_id, 'v\\d+$', '') AS aid FROM papers), w AS (SELECT ref_id, list_distinct(list_filter(string_split({_NT.format('title')}, ' '), lambda z: z <> '')) AS a, list_distinct(list_filter(string_split({_NT.format('pt')}, ' '), lambda z: z <> '')) AS c FROM b JOIN p USING (aid)), s AS (SELECT ref_id, max(round({_JAC.format('a', 'c')}, 6)) AS s FROM w GROUP BY 1) SELECT CASE WHEN s > 0.8 THEN 'accepted' WHEN s >= 0.6 THEN 'ambiguous' ELSE 'refused' END AS decision, count(*) AS n FROM s GROUP BY 1",
-    "spc14_reference_classes": _MATCH + f" SELECT {_SOFT('title')}::INTEGER + {_AUTH}::INTEGER + coalesce(nullif(regexp_extract(m.year::VARCHAR, '\\b(19|20)\\d{{2}}\\b', 0), '') = nullif(regexp_extract(x.year::VARCHAR, '\\b(19|20)\\d{{2}}\\b', 0), ''), false)::INTEGER + {_SOFT('venue')}::INTEGER AS fields_right, count(*) AS n FROM ab GROUP BY 1",
     "spc19_ranking": D + ", e0 AS (SELECT instance_id, unnest(retrieved_evidences.extractive_chunks) AS c, generate_subscripts(retrieved_evidences.extractive_chunks, 1) AS rk FROM d), e AS (SELECT instance_id, rk, (coalesce(c.relevance_score, 0) >= 0.5)::INTEGER AS rel FROM e0), h AS (SELECT *, sum(rel) OVER (PARTITION BY instance_id ORDER BY rk) AS hits FROM e), g AS (SELECT instance_id, sum(CASE WHEN rk <= 5 THEN rel ELSE 0 END) / 5.0::DOUBLE AS p5, coalesce(sum(rel * hits / rk) / nullif(sum(rel), 0), 0) AS ap, sum(rel / log2(rk + 1)) AS dcg, sum(rel) AS n FROM h GROUP BY 1), i AS (SELECT *, CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, n::BIGINT + 1), lambda k: 1 / log2(k + 1))) ELSE 0 END AS nd FROM g) SELECT round(avg(p5), 5) AS p_at_5, round(avg(ap), 5) AS map, round(avg(nd), 5) AS ndcg, count(*) AS lists FROM i",
-    "spc23_year_range": "WITH y AS (SELECT TRY_CAST(nullif(regexp_extract(year, '(\\d{4})', 1), '') AS INTEGER) AS y FROM bib_references) SELECT CASE WHEN y IS NULL THEN 'none' WHEN y BETWEEN 1900 AND 2030 THEN 'in_range' ELSE 'out_of_range' END AS range, count(*) AS n FROM y GROUP BY 1",
     "tpch_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "join_revenue_by_region": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import hooks, prompts
 from citeloom.functions import text as t
 from citeloom.operators import extract as x
+from citeloom.operators import perturb
 from citeloom.operators.ranking import global_rank
 from citeloom.plans.metrics_q import VERDICTS, verdicts
 from citeloom.plans.p_core import SQL as _P
@@ -267,9 +268,33 @@ def neg12_audit(spark, d):
     return v.select("instance_id", "truth", bad.alias("mismatch"), F.when(bad, F.coalesce("pred", F.lit(3))).otherwise(F.col("truth")).alias("relabelled"))
 
 
+def neg01_pool_author(spark, d):
+    """An author more at a seeded place, the first author of the next instance, unless it is one already; and one author less."""
+    i = global_rank(delivered(spark, d, "citation_metadata").select("instance_id", F.col("citation_metadata.authors").alias("a")), ["instance_id"], "n")
+    other = i.select((F.col("n") - 1).alias("n"), F.get("a", F.lit(0)).alias("other"))
+    both = i.join(other, "n", "left").where("size(a) > 0")
+    return both.select("instance_id", F.array_join(perturb.add_author(F.col("a"), F.col("other"), F.col("instance_id")), "|").alias("added"), F.array_join(perturb.drop_author(F.col("a"), F.col("instance_id")), "|").alias("dropped"))
+
+
+def neg11_accepted(spark, d):
+    """Distorted claims, three attempts each: the first that a judge finds distorted and whose embedding stays within .80 of the claim's; without one the row stays empty."""
+    i = delivered(spark, d, "claim_text").where("claim_text is not null")
+    w = F.split("claim_text", " ")
+    c = i.select("instance_id", "claim_text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
+    made = F.array_join(F.filter(w, lambda x_, j: j % (2 * F.col("attempt") + 1) != 2), " ")  # every third, fifth, seventh word is lost
+    c = c.select("instance_id", "attempt", "claim_text", made.alias("candidate"), F.concat_ws("|", "instance_id", "attempt").alias("key"))
+    near = hooks.embed(c, "key", "claim_text").withColumnRenamed("embedding", "a").join(hooks.embed(c, "key", "candidate").withColumnRenamed("embedding", "b"), "key")
+    judged = hooks.generate(c.select("key", F.concat("claim_text", F.lit("\nEvidence: "), "candidate").alias("p")), "key", "p", hooks.rule_classifier)
+    ok = (
+        c.join(near.select("key", F.round(t.cosine(F.col("a"), F.col("b")), 6).alias("sim")), "key").join(judged.select("key", x.classification(F.col("answer")).alias("verdict")), "key")
+        .where("sim >= 0.8 and candidate <> claim_text and verdict = 'SUPPORTED'").groupBy("instance_id").agg(F.min(F.struct("attempt", "candidate", "sim")).alias("b"))
+    )
+    return i.select("instance_id").join(ok, "instance_id", "left").select("instance_id", "b.attempt", "b.candidate", "b.sim")
+
+
 QUERIES = {f.__name__: f for f in [
     src12_bbl, j08_truth_and_prediction, j10_bbl_order, str13_parted, str14_filled, str16_people, str21_claims, str22_clean_fields, str24_page_links, str28_secrets, str29_messages, jsn04_answers, jsn05_objects, prj08_all_types,
-    agg10_runs, mth05_waits, dat03_stamped, prm01_prompts, udf04_closed_book, udf06_batch, udf07_support, udf08_claims, neg06_titles, neg12_audit, neg13_uncertain,
+    agg10_runs, mth05_waits, dat03_stamped, prm01_prompts, udf04_closed_book, udf06_batch, udf07_support, udf08_claims, neg01_pool_author, neg06_titles, neg11_accepted, neg12_audit, neg13_uncertain,
 ]}
 
 _D = "WITH d AS (SELECT * FROM instances WHERE instance_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY loaded_at DESC) = 1)"
@@ -304,7 +329,11 @@ def _tokens_sql():
     return _D + " " + " UNION ALL ".join(out)
 
 
+_SEED = lambda n, word: f"(('0x' || substr(md5('{word}|' || instance_id), 1, 8))::BIGINT % ({n}))"
 SQL = {
+    "neg01_pool_author": _D + f""", i AS (SELECT instance_id, citation_metadata.authors AS a, lead(citation_metadata.authors[1]) OVER (ORDER BY instance_id) AS o FROM d), k AS (SELECT *, {_SEED('len(a) + 1', 'add')} AS p, {_SEED('greatest(len(a), 1)', 'drop')} AS q FROM i WHERE len(a) > 0)
+SELECT instance_id, coalesce(array_to_string(CASE WHEN o IS NULL OR list_contains(a, o) THEN a ELSE list_concat(list_concat(list_slice(a, 1, p), [o]), list_slice(a, p + 1, len(a))) END, '|'), '') AS added,
+  coalesce(array_to_string(CASE WHEN len(a) >= 2 THEN list_concat(list_slice(a, 1, q), list_slice(a, q + 2, len(a))) ELSE a END, '|'), '') AS dropped FROM k""",
     "src12_bbl": f"SELECT 'key' || ref_id AS cite_key, t || '.' AS body FROM (SELECT ref_id, {_T.format('title')} AS t FROM bib_references) WHERE t <> ''",
     "j08_truth_and_prediction": _D + """, a AS (SELECT instance_id, true_outputs.true_alignment AS truth, row_number() OVER (ORDER BY instance_id) AS n FROM d),
 b AS (SELECT instance_id AS pred_id, system_prediction.alignment.label AS pred, row_number() OVER (ORDER BY instance_id) AS n FROM (SELECT * FROM verification_instances WHERE instance_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY event_ts DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1))

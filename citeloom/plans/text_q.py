@@ -80,11 +80,6 @@ def str20_citing_sentences(spark, d):
     return x.citing_sentences(doc, "doc_id", "text")
 
 
-def src12_bibitems(spark, d):
-    doc = table(spark, d, "documents", "doc_id", "text", "source").where("source in ('latex', 'bibliography') and text is not null")
-    return x.bibitems(doc, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("items"))
-
-
 def src14_numbered_entries(spark, d):
     doc = table(spark, d, "documents", "doc_id", "text", "source").where("source = 'bibliography' and text is not null")
     return x.numbered_entries(doc, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("entries"))
@@ -273,13 +268,6 @@ def spc10_quality_flags(spark, d):
     return c.select("instance_id", F.array_join(scoring.quality_flags(*m), ",").alias("flags"), scoring.completeness(*m).alias("completeness"))
 
 
-def spc13_repeated_titles(spark, d):
-    """References whose normalised title occurred earlier in the same paper."""
-    r = _refs(spark, d, "paper_id", "entry_pos", "title").withColumn("nt", t.normalize_text(F.col("title"))).where("nt <> ''")
-    first = r.groupBy("paper_id", "nt").agg(F.min("entry_pos").alias("first_pos"), F.count("*").alias("n")).where("n > 1")
-    return r.join(first, ["paper_id", "nt"]).where("entry_pos > first_pos").select("ref_id", "first_pos")
-
-
 def spc24_verdict_export(spark, d):
     """The flattened export: one row for each verdict, nested fields as columns."""
     return verdicts(spark, d).select("instance_id", "truth", "pred", F.col("m.title").alias("title"), F.col("m.year").alias("year"), F.array_join("m.authors", "; ").alias("authors"))
@@ -360,6 +348,5 @@ SQL = {
     "spc06_overall": _SC + " SELECT instance_id, overall FROM o",
     "spc09_verdicts": _SC + ", h AS (SELECT *, (title < 0.5)::INTEGER + (authors < 0.5)::INTEGER + (year < 0.5)::INTEGER AS hard, coalesce(confidence, 0) AS cf FROM o) SELECT CASE WHEN overall < 0.5 OR hard >= 2 THEN 'unverified' WHEN overall < 0.7 OR hard = 1 OR cf < 0.6 THEN 'questionable' WHEN overall < 0.85 THEN 'partially_verified' WHEN overall <= 0.90 AND cf > 0.70 THEN 'likely_verified' WHEN overall > 0.90 AND cf > 0.80 THEN 'verified' ELSE 'partially_verified' END AS verdict, CASE WHEN title >= 0.95 THEN 'match' WHEN title >= 0.8 THEN 'minor' WHEN title >= 0.5 THEN 'major' ELSE 'mismatch' END AS title_verdict, count(*) AS n FROM h GROUP BY 1, 2",
     "spc10_quality_flags": _DM + " SELECT instance_id, array_to_string(list_filter([CASE WHEN coalesce(m.title, '') = '' THEN 'no_title' END, CASE WHEN coalesce(len(m.authors), 0) = 0 THEN 'no_authors' END, CASE WHEN m.year IS NULL OR NOT m.year BETWEEN 1900 AND 2030 THEN 'bad_year' END, CASE WHEN coalesce(m.venue, '') = '' THEN 'no_venue' END], lambda f: f IS NOT NULL), ',') AS flags, ((coalesce(m.title, '') <> '')::INTEGER + (coalesce(len(m.authors), 0) > 0)::INTEGER + (m.year IS NOT NULL)::INTEGER + (coalesce(m.venue, '') <> '')::INTEGER) / 4.0 AS completeness FROM c",
-    "spc13_repeated_titles": f"WITH r AS (SELECT ref_id, paper_id, entry_pos, {_N.format('title')} AS nt FROM bib_references), f AS (SELECT paper_id, nt, min(entry_pos) AS first_pos FROM r WHERE nt <> '' GROUP BY 1, 2) SELECT ref_id, first_pos FROM r JOIN f USING (paper_id, nt) WHERE entry_pos > first_pos",
     "spc24_verdict_export": VERDICTS + " SELECT instance_id, truth, pred, m.title, m.year, array_to_string(list_filter(m.authors, lambda a: a IS NOT NULL), '; ') AS authors FROM v",
 }
