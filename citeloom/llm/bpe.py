@@ -21,6 +21,7 @@ import codecs
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -31,16 +32,25 @@ from pyspark.sql import functions as F
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text into pretokens before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The largest vocabulary file that is sent to every executor.
+MOST_VOCAB_BYTES = 64 << 20
 #: Bytes read beyond the lookahead before stable tokens are emitted.
 BLOCK = 2048
 #: Pretokens kept in a worker's memo, and the longest pretoken that is kept; more only costs time.
 MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
 
 
-def load_ranks(path: str = DEFAULT_VOCAB) -> dict[bytes, int]:
-    """The vocabulary file as bytes -> rank."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def read_vocab(path: str = DEFAULT_VOCAB) -> bytes:
+    """The vocabulary file. It is read on the driver only and sent to the workers, so it need not lie on their machines."""
+    data = Path(path).read_bytes()
+    if len(data) > MOST_VOCAB_BYTES:
+        raise ValueError(f"a vocabulary of {len(data)} bytes is not broadcast")
+    return data
+
+
+def load_ranks(path: str = DEFAULT_VOCAB, data: bytes | None = None) -> dict[bytes, int]:
+    """The vocabulary as bytes -> rank."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, (read_vocab(path) if data is None else data).splitlines())}
 
 
 def lookahead(ranks: dict[bytes, int]) -> int:
@@ -157,10 +167,10 @@ class Transducer:
 _loaded: dict[tuple[str, int], Transducer] = {}
 
 
-def transducer(path: str, ahead: int) -> Transducer:
-    """The transducer of a worker, loaded once for each vocabulary path."""
+def transducer(path: str, ahead: int, data: bytes | None = None) -> Transducer:
+    """The transducer of a worker, made once for each vocabulary path."""
     if (path, ahead) not in _loaded:
-        _loaded[path, ahead] = Transducer(load_ranks(path), ahead)
+        _loaded[path, ahead] = Transducer(load_ranks(path, data), ahead)
     return _loaded[path, ahead]
 
 
@@ -171,11 +181,13 @@ def encode_documents(
 
     Null and empty texts give an empty list. Other columns, whatever their names, are not read.
     """
-    ahead = lookahead(load_ranks(vocab))
+    data = read_vocab(vocab)
+    ahead = lookahead(load_ranks(vocab, data))
+    sent = docs.sparkSession.sparkContext.broadcast(data)
     d = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(vocab, ahead)
+        t = transducer(vocab, ahead, sent.value)
         for b in batches:
             ids = [t.encode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["k", "ids"])
@@ -195,10 +207,11 @@ def decode_documents(
     encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab: str = DEFAULT_VOCAB
 ) -> DataFrame:
     """(id_col, text string): the text of every list of ids; null and empty lists give an empty text."""
+    sent = encoded.sparkSession.sparkContext.broadcast(read_vocab(vocab))
     d = encoded.select(F.col(id_col).alias("k"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(vocab, 0)
+        t = transducer(vocab, 0, sent.value)
         for b in batches:
             texts = [t.decode(x) if x else "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["k", "text"])
