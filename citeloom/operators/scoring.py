@@ -288,31 +288,52 @@ def extraction_quality(title: Column, authors: Column, year: Column, venue: Colu
     return {"completeness": complete, "validity": F.round(valid, 6), "confidence": sure, "issues": F.array_join(issues, ","), "warnings": F.array_join(warnings, ",")}
 
 
-def near_titles(titles: DataFrame, group: str, title: str, pos: str, least: float = 0.95, q: int = 4) -> DataFrame:
+def _meetings(d: DataFrame, group: str, title: str, least: float, widest: int = 9) -> DataFrame:
+    """(x, y): ids of titles of one group that share a part where a pair more similar than `least` must share one; d has `__id` and `__k`, the edits a title as the longer of a pair may bear.
+
+    A title is cut into one part more than the edits of its longest partner, so one part stays whole, and it lies near its place: in the longer
+    title that part begins as far off as the edits before and after it allow. Titles of more than `widest` parts are looked up at all places, which are fewer there.
+    """
+    share, size, long = 1 - least, F.col("__size"), F.length(title)
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.floor(n / F.lit(least) + 1e-9) - 1e-9)).cast("int")
+    cut = lambda df: df.withColumn("__m", parts(F.col("__l"))).where("__m > 1").withColumn("__size", F.floor(F.col("__l") / F.col("__m")).cast("int")).withColumn("__plain", F.col("__m") - F.col("__l") % F.col("__m"))
+    begin = lambda df: df.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__m") - 1))).withColumn("__at", 1 + F.col("__i") * size + F.greatest(F.lit(0), F.col("__i") - F.col("__plain"))).withColumn("__len", size + (F.col("__i") >= F.col("__plain")).cast("int"))
+    near = F.col("__m") <= widest
+    keyed = lambda df, at, length, *place: df.select(F.xxhash64(group, F.substring(F.col(title), at, length), *place).alias("key"), "__id", at.alias("at"), "__k")
+    place = (F.when(near, F.col("__l")).otherwise(0), F.when(near, F.col("__i")).otherwise(0))
+    shorter = keyed(begin(cut(d.withColumn("__l", long))), F.col("__at"), F.col("__len"), *place)
+    asked = cut(d.where("__k > 0").withColumn("__l", F.explode(F.sequence(long - F.col("__k"), long))))
+    off, i, m = long - F.col("__l"), F.col("__i"), F.col("__m")
+    first = F.greatest(F.lit(1), F.col("__at") - i, F.col("__at") + off - (m - 1 - i))
+    last = F.least(long - F.col("__len") + 1, F.col("__at") + i, F.col("__at") + off + (m - 1 - i))
+    longer = keyed(begin(asked.where(near)).withColumns({"__first": first, "__last": last}).where("__first <= __last").withColumn("__p", F.explode(F.sequence("__first", "__last"))), F.col("__p"), F.col("__len"), "__l", "__i")
+    sizes = asked.where(~near).select(group, title, "__id", "__k", F.explode(F.array("__size", size + 1)).alias("__len")).distinct()
+    anywhere = keyed(sizes.withColumn("__p", F.explode(F.sequence(F.lit(1), long - F.col("__len") + 1))), F.col("__p"), F.col("__len"), F.lit(0), F.lit(0))
+    b = shorter.select("key", F.col("__id").alias("b"), F.col("at").alias("sb"))
+    met = longer.unionAll(anywhere).join(b, "key").where((F.abs(F.col("at") - F.col("sb")) <= F.col("__k")) & (F.col("__id") != F.col("b")))
+    return met.select(F.least("__id", "b").alias("x"), F.greatest("__id", "b").alias("y")).distinct()
+
+
+def near_titles(titles: DataFrame, group: str, title: str, pos: str, least: float = 0.95, few: int = 400) -> DataFrame:
     """(group, title, first_pos): of each title the least position of a title of its group that is equal to it or more similar than `least`.
 
-    Similarity is 1 less the edit distance by the longer length. Titles of a group meet by q-gram prefixes: of a title that may
-    bear k edits, one of the q * k + 1 rarest grams is shared, at a place k off at most. Pairs are filtered by length and verified exactly.
+    Similarity is 1 less the edit distance by the longer length. In groups of at most `few` titles each meets each; in larger ones they meet by
+    the parts that so few edits leave whole. Pairs are filtered by length and verified exactly, so both ways find the same.
     """
-    d = titles.groupBy(group, title).agg(F.min(pos).alias("__pos"))
     share = 1 - least
-    edits = F.floor(F.length(title) * F.lit(share / least) + 1e-9).cast("int")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(title) - q + 1)), lambda i: F.substring(F.col(title), i, F.lit(q)))
-    g = d.where(edits > 0).select(group, title, "__pos", edits.alias("k"), F.posexplode(grams).alias("at", "g"))
-    rare = g.groupBy("g").agg(F.count("*").alias("df"))
-    prefix = (
-        g.join(rare, "g").groupBy(group, title, "__pos", "k").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("gs"))
-        .select(group, title, "__pos", "k", F.explode(F.slice("gs", F.lit(1), F.lit(q) * F.col("k") + 1)).alias("e")).select(group, title, "__pos", "k", F.col("e.g").alias("g"), F.col("e.at").alias("at"))
-    )
-    prefix = checkpointed(prefix)
-    a = prefix.withColumnsRenamed({title: "ta", "__pos": "pa", "k": "ka", "at": "sa"})
-    b = prefix.withColumnsRenamed({title: "tb", "__pos": "pb", "k": "kb", "at": "sb"})
-    longer = F.greatest(F.length("ta"), F.length("tb"))
-    near = (
-        a.join(b, [group, "g"]).where((F.abs(F.col("sa") - F.col("sb")) <= F.greatest("ka", "kb")) & (F.col("ta") != F.col("tb")) & (F.abs(F.length("ta") - F.length("tb")) < share * longer) & (F.col("pb") < F.col("pa")))
-        .select(group, "ta", "tb", "pb").distinct().where(F.levenshtein("ta", "tb") < share * longer - 1e-9)
-        .groupBy(group, F.col("ta").alias(title)).agg(F.min("pb").alias("__near"))
-    )
+    d = titles.groupBy(group, title).agg(F.min(pos).alias("__pos")).withColumn("__id", F.monotonically_increasing_id())
+    d = checkpointed(d.withColumn("__k", F.greatest(F.lit(0), F.ceil(F.lit(share) * F.length(title) - 1e-9) - 1).cast("int")))
+    hot = F.broadcast(checkpointed(d.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") > few).select(group)))  # one group for `few` titles at most
+    side = lambda df, s: df.select(group, F.col("__id").alias(f"i{s}"), F.col(title).alias(f"t{s}"), F.col("__pos").alias(f"p{s}"), F.col("__k").alias(f"k{s}"))
+    small, large = d.join(hot, group, "left_anti"), checkpointed(d.join(hot, group, "left_semi"))
+    each = side(small, "a").join(side(small, "b"), group).where("pb < pa and ia <> ib")
+    met = _meetings(large, group, title, least).join(side(large, "a").withColumnRenamed("ia", "x"), "x").join(side(large, "b").withColumnsRenamed({"ib": "y", group: "__g"}), "y")
+    later = F.col("pa") > F.col("pb")
+    met = met.where((F.col(group) == F.col("__g")) & (F.col("pa") != F.col("pb"))).select(group, F.when(later, F.col("ta")).otherwise(F.col("tb")).alias("ta"), F.when(later, F.col("tb")).otherwise(F.col("ta")).alias("tb"), F.least("pa", "pb").alias("pb"), "ka", "kb")
+    most = F.greatest("ka", "kb")
+    alike = (most > 0) & (F.abs(F.length("ta") - F.length("tb")) <= most) & (F.call_function("levenshtein", "ta", "tb", most) >= 0)
+    near = [df.where(alike).select(group, F.col("ta").alias(title), "pb") for df in (each, met)]
+    near = near[0].unionAll(near[1]).groupBy(group, title).agg(F.min("pb").alias("__near"))
     return d.join(near, [group, title], "left").select(group, title, F.least("__pos", "__near").alias("first_pos"))
 
 

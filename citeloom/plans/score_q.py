@@ -125,7 +125,9 @@ def spc12_extraction_quality(spark, d):
 
 def spc13_near_titles(spark, d):
     """References whose title is more than .95 similar by edits to an earlier one of the same paper, with the first such place."""
-    r = table(spark, d, "bib_references", "ref_id", "paper_id", "entry_pos", "title").withColumn("nt", F.trim(t.normalize_title(F.col("title")))).where("nt <> '' and paper_id is not null")
+    b = table(spark, d, "bib_references", "ref_id", "paper_id", "entry_pos", "title").where("paper_id is not null")
+    # a filter of its own would make each title's normal form twice
+    r = b.select("ref_id", "paper_id", "entry_pos", F.explode(F.filter(F.array(F.trim(t.normalize_title(F.col("title")))), lambda x: x != "")).alias("nt"))
     n = scoring.near_titles(r, "paper_id", "nt", "entry_pos")
     return r.join(n, ["paper_id", "nt"]).where("first_pos < entry_pos").select("ref_id", "first_pos")
 

@@ -98,6 +98,49 @@ def test_near_titles_equal_a_loop(spark):
     assert got == want and any(want[k] < pos[k] for k in pos)
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_near_titles_find_the_same_in_large_groups(spark):
+    rnd = random.Random(8)
+    titles = []
+    for n in (3, 4, 5, 8, 9, 12, 13, 14, 20, 34, 45):  # up to 270 letters, beyond the widest that is looked up by place
+        for _ in range(2):
+            base = sentence(rnd, n)
+            titles.append(base)
+            for _ in range(4):
+                x = base
+                for _ in range(rnd.randint(1, max(1, len(base) // 20 + 1))):
+                    k = rnd.randrange(len(x))
+                    x = rnd.choice((x[:k] + "q" + x[k:], x[:k] + x[k + 1 :], x[:k] + "q" + x[k + 1 :]))
+                titles.append(x.strip())
+    titles = list(dict.fromkeys(titles))
+    rows = [(p, t, i) for p in ("p", "q") for i, t in enumerate(rnd.sample(titles, len(titles)))]
+    pos = {(p, t): i for p, t, i in rows}
+    alike = {(t, u) for t in titles for u in titles if t == u or (abs(len(t) - len(u)) < 15 and _edits(t, u) < 0.05 * max(len(t), len(u)) - 1e-9)}
+    want = {(p, t): min(pos[p, u] for u in titles if (t, u) in alike) for p, t in pos}
+    df = spark.createDataFrame(rows, "p string, t string, i int")
+    for few in (0, 400):
+        assert {(r["p"], r["t"]): r["first_pos"] for r in scoring.near_titles(df, "p", "t", "i", few=few).collect()} == want
+    assert sum(want[k] < pos[k] for k in pos) > 40
+
+
+def test_near_titles_of_one_form_hardly_meet(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(6, 10)))
+    w = [word() for _ in range(60)]
+    rows = [(i, "p", f"does {rnd.choice(w)} {rnd.choice(w)} help {rnd.choice(w)} evidence from {rnd.choice(w)} {rnd.choice(w)}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "__id bigint, p string, t string").withColumn("__k", F.greatest(F.lit(0), F.ceil(F.lit(0.05) * F.length("t") - 1e-9) - 1).cast("int"))
+    assert scoring._meetings(d, "p", "t", 0.95).count() < 30_000  # of 4.5 million pairs
+
+
 @pytest.mark.parametrize("a, b, s", [("martha", "marhta", 0.961111), ("dixon", "dicksonx", 0.813333), ("abc", "abc", 1.0), ("", "a", 0.0), ("abc", "xyz", 0.0)])
 def test_jaro_winkler(spark, a, b, s):
     assert abs(spark.createDataFrame([(a, b)], "a string, b string").select(scoring.jaro_winkler("a", "b")).first()[0] - s) < 1e-6
