@@ -53,6 +53,24 @@ def test_hybrid_retrieval_equals_a_loop(spark):
     assert same >= len(by(want)) - 1 and len(got) == len(want)
 
 
+def test_hybrid_retrieval_in_small_blocks_equals_one_block(spark):
+    rnd = random.Random(14)
+    chunks = [("hot" if i < 60 else f"s{i % 3}", f"c{i:03}", sentence(rnd, rnd.randint(3, 12))) for i in range(90)] + [("hot", "c990", ""), ("s1", "c991", "\u212aelvin QUERY-rank")]
+    asked = [("hot" if i < 4 else "s1", f"q{i}", sentence(rnd, 4)) for i in range(6)] + [("hot", "none", "?!"), ("away", "far", "query rank")]
+    q, c = spark.createDataFrame(asked, "scope string, qid string, query string"), spark.createDataFrame(chunks, "scope string, cid string, text string")
+    run = lambda **more: {tuple(r) for r in retrieve.hybrid(q, c, "scope", "qid", "query", "cid", "text", hooks.embed, k=5, least=0.2, **more).collect()}
+    one = run()
+    assert len({r[0] for r in one}) == 6
+    assert run(model=hooks.hashing_embedder) == run(block=7) == run(block=7, model=hooks.hashing_embedder) == run(score=lambda a, b: F.lit(1.0) * F.size(F.array_intersect(retrieve.terms(a), retrieve.terms(b))) / F.greatest(F.lit(1), F.size(F.array_distinct(retrieve.terms(a))))) == one
+
+
+def test_header_chunks_are_numbered_through_the_text(spark):
+    text = "start\n# One\n" + "word " * 300 + "\n## Two\n\n# \nlast"
+    got = [(r["k"], r["chunk_no"], r["header"], r["chunk"][:5]) for r in retrieve.header_chunks(spark.createDataFrame([(1, text), (2, None), (3, " ")], "k int, t string"), "k", "t").orderBy("k", "chunk_no").collect()]
+    assert got == [(1, 0, "", "start"), (1, 1, "One", "One\nw"), (1, 2, "One", got[2][3]), (1, 3, "One", got[3][3]), (1, 4, "Two", "Two"), (1, 5, "last", "last")]
+    assert "Exchange" not in retrieve.header_chunks(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_best_overlap_equals_a_loop(spark):
     rnd = random.Random(5)
     listed = [(i, list(dict.fromkeys(sentence(rnd, rnd.randint(1, 9)).split()))) for i in range(80)]
