@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,26 +131,103 @@ def rolling(df: DataFrame, at: str, key: str, seconds: int, value: Column) -> Da
     return out.where("__lent = 0").drop("__us", "__value", "__b", "__lent", "__block")
 
 
-def best_overlap(asked: DataFrame, listed: DataFrame, steps: tuple[float, ...] = (0.6, 0.3)) -> DataFrame:
+def best_overlap(asked: DataFrame, listed: DataFrame, block: int = 262_144) -> DataFrame:
     """(q, score, id): for each set of words the listed set with the highest floor(1000 x Jaccard), the smallest id of the best; sets without a common word do not come out.
 
-    asked (q, qt array) and listed (id, pt array), words distinct. By thresholds: at each, sets meet only by the prefix of their rarest words
-    that a pair so similar must share; a set whose best pair reaches the threshold is settled, the others go on. The last step is by all words.
+    asked (q, qt array) and listed (id, pt array), words distinct. Words that many sets share leave no pair out, so all sets meet: in blocks of about `block`
+    listed sets and, of the asked, a 16th of all (4096 at least, `block` at most), where their common words are counted in numpy; only a block's best leave it.
     """
-    rarity = listed.select(F.explode("pt").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-
-    def ordered(df: DataFrame, key: str, words: str) -> DataFrame:
-        e = df.select(key, F.explode(words).alias("w")).join(rarity, "w", "left")
-        return checkpointed(e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("n"), "w"))), lambda x: x["w"]).alias(words)))
-
-    left, right, out = ordered(asked, "q", "qt"), ordered(listed, "id", "pt"), None
-    for t in (*steps, 0.0):
-        prefix = lambda df, key, words: df.select(key, words, F.explode(F.slice(words, F.lit(1), F.size(words) - F.greatest(F.lit(1), F.ceil(F.size(words) * F.lit(t) - 1e-9).cast("int")) + 1)).alias("w"))  # noqa: E731, B023
-        met = prefix(left, "q", "qt").join(prefix(right, "id", "pt"), "w").where(F.least(F.size("qt"), F.size("pt")) >= F.lit(t) * F.greatest(F.size("qt"), F.size("pt"))).select("q", "id", "qt", "pt").distinct()
-        both = F.size(F.array_intersect("qt", "pt"))
-        score = F.floor(1000 * both / (F.size("qt") + F.size("pt") - both))
-        best = met.withColumn("score", score).groupBy("q").agg(F.max(F.struct("score", (-F.col("id")).alias("less"))).alias("b")).select("q", "b.score", (-F.col("b.less")).alias("id")).where(F.col("score") >= 1000 * t)
-        best = checkpointed(best)
-        out = best if out is None else out.unionAll(best)
-        left = left.join(best.select("q"), "q", "left_anti")
-    return out
+    asked, listed = checkpointed(asked.select("q", "qt").where("size(qt) > 0")), checkpointed(listed.select("id", "pt").where("size(pt) > 0"))
+    n = asked.count()
+    rows, columns = (max(1, math.ceil(k / most)) for k, most in ((n, min(block, max(4096, n // 16))), (listed.count(), block)))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = asked.select("q", "qt", one("q", rows).alias("__row"), every(columns).alias("__column")).groupBy("__row", "__column")
+    right = listed.select("id", "pt", every(rows).alias("__row"), one("id", columns).alias("__column")).groupBy("__row", "__column")
+    kinds = asked.schema["q"].dataType.simpleString(), listed.schema["id"].dataType.simpleString()
+    best = left.cogroup(right).applyInArrow(_best_in_block, f"q {kinds[0]}, score bigint, id {kinds[1]}")
+    best = best.groupBy("q").agg(F.max(F.struct("score", (-F.col("id")).alias("less"))).alias("b"))
+    return best.select("q", "b.score", (-F.col("b.less")).alias("id"))
+
+
+def _best_in_block(asked: pa.Table, listed: pa.Table, *, step: int = 65_536) -> pa.Table:
+    """The best listed set for each asked set of one block.
+
+    Listed sets are ordered by size, then id, so that among sets of one size the first with the most common words is the best of them; they are taken
+    `step` at a time, so that counts stay in the processor's cache. A word adds its row of 0 and 1 to the counts if it is one of the commonest (1024 at
+    most, in a 64th of the sets at least), else 1 at its places.
+    """
+    names = ["q", "score", "id"]
+    if not asked.num_rows or not listed.num_rows:
+        return pa.table([asked["q"].slice(0, 0), pa.array([], pa.int64()), listed["id"].slice(0, 0)], names)
+    words, sizes = _flat(listed["pt"])
+    n = len(sizes)
+    rank, place = np.empty(n, np.int32), np.empty(n, np.int32)
+    rank[pc.sort_indices(listed["id"], null_placement="at_end").to_numpy()] = np.arange(n)
+    order = np.lexsort((rank, sizes))
+    place[order] = np.arange(n)
+    ranks = rank[order].tolist()
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)[np.argsort(np.repeat(place, sizes), kind="stable")]
+    sizes = sizes[order]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    asked_words, asked_sizes = _flat(asked["qt"])
+    asked_codes = pc.fill_null(pc.index_in(asked_words, coded.dictionary), -1).to_numpy(zero_copy_only=False)
+    asked_ends = np.cumsum(asked_sizes).tolist()
+    asked_sizes = asked_sizes.tolist()
+    bests, firsts = [-1] * len(asked_sizes), [-1] * len(asked_sizes)
+    for start in range(0, n, step):
+        stop = min(n, start + step)
+        own = codes[ends[start] : ends[stop]]
+        by = np.argsort(own, kind="stable")
+        held, at, df = np.unique(own[by], return_index=True, return_counts=True)
+        posts = dict(zip(held.tolist(), np.split(np.repeat(np.arange(stop - start, dtype=np.int32), sizes[start:stop])[by], at[1:]), strict=True))
+        common = {}
+        for i in np.argsort(-df, kind="stable")[:1024].tolist():
+            if df[i] * 64 >= stop - start:
+                w = int(held[i])
+                common[w] = np.zeros(stop - start, np.uint8)
+                common[w][posts[w]] = 1
+        size, lo = np.unique(sizes[start:stop], return_index=True)
+        groups = list(zip(size.tolist(), lo.tolist(), [*lo[1:].tolist(), stop - start], strict=True))
+        near: dict[int, list[tuple[int, int, int, int]]] = {}  # by the size of the asked set: the highest score that a size can have, and where it is
+        small, large = np.empty(stop - start, np.uint8), np.empty(stop - start, np.int32)
+        for j, (k, end) in enumerate(zip(asked_sizes, asked_ends, strict=True)):
+            if k not in near:
+                near[k] = sorted(((1000 * min(k, s) // max(k, s), s, a, b) for s, a, b in groups), key=lambda x: -x[0])
+            best, first = bests[j], firsts[j]
+            if near[k][0][0] < best:
+                continue
+            both = small if k < 256 else large
+            both.fill(0)
+            for w in asked_codes[end - k : end].tolist():
+                if w in common:
+                    np.add(both, common[w], out=both)
+                elif w in posts:
+                    both[posts[w]] += 1
+            for most, s, a, b in near[k]:
+                if most < best:
+                    break
+                part = both[a:b]
+                i = int(part.argmax())
+                c = int(part[i])
+                if not c:
+                    continue
+                score, less = 1000 * c // (k + s - c), c
+                while less > 1 and 1000 * (less - 1) // (k + s - less + 1) == score:  # in large sets, fewer common words may give the same
+                    less -= 1
+                if less < c:
+                    i = int((part >= less).argmax())
+                i += start + a
+                if score > best or score == best and ranks[i] < ranks[first]:
+                    best, first = score, i
+            bests[j], firsts[j] = best, first
+    bests, firsts = np.array(bests, np.int64), np.array(firsts, np.int64)
+    met = np.flatnonzero(bests >= 0)
+    return pa.table([asked["q"].take(pa.array(met)), pa.array(bests[met]), listed["id"].take(pa.array(order[firsts[met]]))], names)
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All words in one array, and how many each row has."""
+    one = lists.combine_chunks()
+    return pc.list_flatten(one), pc.list_value_length(one).to_numpy(zero_copy_only=False)

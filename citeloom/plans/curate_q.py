@@ -9,7 +9,7 @@ from citeloom.functions import text as t
 from citeloom.operators import curate, ranking
 from citeloom.operators.ranking import rank_within
 from citeloom.plans.p_core import delivered
-from citeloom.session import table
+from citeloom.session import checkpointed, table
 
 D = "WITH d AS (SELECT * FROM instances WHERE instance_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY loaded_at DESC) = 1)"
 
@@ -249,15 +249,18 @@ def win08_paragraphs(spark, d):
 def top02_best_title(spark, d):
     """For each cited title the crawled paper with the best word overlap: 1000 x Jaccard, 1000 more if equal; the first of the best wins.
 
-    Equal titles have the highest score there is, so they are settled by an equi join; only titles without an equal one go
-    on to candidates, by prefixes of rare words.
+    Equal titles have the highest score there is, so they are settled by an equi join; only titles without an equal one are compared with all.
     """
     p = table(spark, d, "papers", "crawl_no", "title").withColumn("nt", t.normalize_title(F.col("title"))).where("trim(nt) <> ''").select("crawl_no", "nt")
-    p = p.groupBy("nt").agg(F.min("crawl_no").alias("crawl_no")).withColumn("pt", F.array_distinct(t.tokens(F.col("nt"))))
-    c = cited(spark, d).select(t.normalize_title(F.col("title")).alias("q")).where("trim(q) <> ''").distinct()
-    equal = c.join(p, F.col("q") == F.col("nt")).select("q", F.lit(2000).cast("bigint").alias("score"), "crawl_no")
-    rest = c.join(p, F.col("q") == F.col("nt"), "left_anti").withColumn("qt", F.array_distinct(t.tokens(F.col("q"))))
-    best = curate.best_overlap(rest, p.select(F.col("crawl_no").alias("id"), "pt"))
+    p = p.groupBy("nt").agg(F.min("crawl_no").alias("crawl_no"))
+    i = table(spark, d, "instances", "instance_id", "loaded_at", "citation_metadata.title").where("instance_id is not null")
+    i = i.groupBy("instance_id").agg(F.max_by("title", "loaded_at").alias("title"))  # as latest loaded; of citation_metadata only the title is moved
+    c = i.select(t.normalize_title(F.col("title")).alias("q")).where("trim(q) <> ''").distinct()
+    c = checkpointed(c.join(p, F.col("q") == F.col("nt"), "left"))
+    equal = c.where("nt is not null").select("q", F.lit(2000).cast("bigint").alias("score"), "crawl_no")
+    words = lambda title: F.array_distinct(t.tokens(F.col(title)))
+    rest = c.where("nt is null").select("q", words("q").alias("qt"))
+    best = curate.best_overlap(rest, p.select(F.col("crawl_no").alias("id"), words("nt").alias("pt")))
     return equal.unionAll(best.select("q", "score", F.col("id").alias("crawl_no")))
 
 

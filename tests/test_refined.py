@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,43 @@ def test_best_overlap_equals_a_loop(spark):
     assert {r["q"]: (r["score"], r["id"]) for r in got.collect()} == want
 
 
+def test_best_overlap_in_small_blocks_equals_a_loop(spark):
+    rnd = random.Random(15)
+    listed = [(i, list(dict.fromkeys((sentence(rnd, rnd.randint(1, 9)) + " of the").split()))) for i in range(300, 0, -1)]
+    listed += [(0, []), (401, [f"w{i}" for i in range(1500)]), (400, [f"w{i}" for i in range(1501)]), (402, [f"w{i}" for i in range(256)]), (9_007_199_254_740_993, ["alone"])]
+    asked = [(f"q{i}", list(dict.fromkeys((sentence(rnd, rnd.randint(1, 9)) + " of the").split()))) for i in range(60)]
+    asked += [("none", ["xyz"]), ("empty", []), ("long", [f"w{i}" for i in range(1, 1502)]), ("short", ["w1"]), ("256", [f"w{i}" for i in range(256)]), ("rest", ["alone", "zzz"])]
+    want = {}
+    for q, ws in asked:
+        scored = [(-(1000 * len(set(ws) & set(p)) // len(set(ws) | set(p))), i) for i, p in listed if set(ws) & set(p)]
+        if scored:
+            want[q] = (-min(scored)[0], min(scored)[1])
+    a, b = spark.createDataFrame(asked, "q string, qt array<string>"), spark.createDataFrame(listed, "id bigint, pt array<string>")
+    assert want["short"] == (3, 402) and want["long"] == (998, 400)
+    for g in (curate.best_overlap(a, b), curate.best_overlap(a, b, block=7)):
+        assert {r["q"]: (r["score"], r["id"]) for r in g.collect()} == want
+    tables = [x.toArrow() for x in (a.where("size(qt) > 0"), b.where("size(pt) > 0"))]
+    assert {r["q"]: (r["score"], r["id"]) for r in curate._best_in_block(*tables, step=5).to_pylist()} == want
+    assert curate.best_overlap(a, b.where("id < 0")).count() == curate.best_overlap(a.where("q = ''"), b).count() == 0
+
+
+def test_best_overlap_of_few_words_ends(spark):
+    """All of the 64 million pairs share a word, as titles of few words do; joined on words, they took minutes."""
+    sets = [sorted(random.Random(i).sample(WORDS, 6)) + ["the same"] for i in range(8000)]
+    a = spark.createDataFrame([(f"q{i}", ws) for i, ws in enumerate(sets)], "q string, qt array<string>")
+    b = spark.createDataFrame([(i, ws[1:]) for i, ws in enumerate(sets)], "id bigint, pt array<string>")
+    began = time.monotonic()
+    got = {r["q"]: (r["score"], r["id"]) for r in curate.best_overlap(a, b).collect()}
+    assert time.monotonic() - began < 40
+    first = {}
+    for i, ws in enumerate(sets):
+        first.setdefault(frozenset(ws[1:]), i)
+    for i in range(0, 8000, 400):  # 6 of 7 words is the most there can be
+        ws = frozenset(sets[i])
+        assert got[f"q{i}"] == (857, min(first[ws - {w}] for w in ws if ws - {w} in first))
+    assert len(got) == 8000
+
+
 def test_rolling_windows_equal_a_loop(spark):
     rnd = random.Random(6)
     rows = [(f"u{0 if rnd.random() < 0.7 else i % 3}", i, 1_700_000_000 + rnd.randint(0, 400), rnd.randint(0, 9)) for i in range(250)]
